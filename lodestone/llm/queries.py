@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, pii, quality_classifier, simhash
+from lodestone.llm import (
+    bpe, decontaminate, html_text, licenses, pii, quality_classifier, quality_rules, sharding, simhash, substring_dedup,
+)
 from lodestone.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,10 +21,26 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -31,6 +49,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
@@ -46,12 +68,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_html_text": op2_html_text,
         "op3_decontamination": op3_decontamination,
+        "op4_substring_dedup": op4_substring_dedup,
+        "op5_licenses": op5_licenses,
+        "op6_sharding": op6_sharding,
         "op7_bpe": op7_bpe,
         "op8_pii": op8_pii,
+        "op9_quality_rules": op9_quality_rules,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators hash, train or parse beyond SQL; tests/llm hold them against brute force."""
+    return {"op9_quality_rules": quality_rules.SQL}
