@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,22 +16,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder and read back.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (local tests) a temporary one is used.
-    """
-    spark = df.sparkSession
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset, in local tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local[") and context.master != "local":
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed; Spark removes the files when the frame is no longer used."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written as a compact table in the shared folder and read back.
+
+    The table stands for the shuffles that made it, so Spark is told to remove
+    their files as soon as it is written.
+    """
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
+    return spark.read.parquet(path)
+
+
 def byte_texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
     """UTF-8 bytes of a text column, row by row; null is empty."""
     index = batch.schema.get_field_index(column)

@@ -28,12 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import byte_texts, cut
+from lodestone.llm.common import byte_texts, store
 
 WINDOW = 200
 ANCHOR = 40
 REACH = WINDOW - ANCHOR
-GROUP_ROWS = 4096
+GROUP_ROWS = 32768
+BATCH_HOT = 1024
 BLOCK = 16
 PIECE = 1 << 18
 
@@ -61,7 +62,7 @@ def _gram_hashes(data: np.ndarray, length: int) -> np.ndarray:
         if done == length:
             break
         power = power[:-size] * factor + power[size:]
-        factor = factor * factor
+        factor = np.uint64(int(factor) ** 2 & 0xFFFFFFFFFFFFFFFF)
         size *= 2
     out = out ^ (out >> np.uint64(32))
     out = out * np.uint64(0xD6E8FEB86659FD93)
@@ -110,37 +111,148 @@ def _pieces(items: Iterator[tuple[int, bytes]]) -> Iterator[list[tuple[int, byte
         yield part
 
 
+def _low(c):
+    """The low 31 bits."""
+    return c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+
+
 def _source(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, mark, text): key and mark name the document in joins, nulls included."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    doc_id = F.col("doc_id").cast("long")
+    mark = F.xxhash64(text, doc_id.isNull())
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, mark).alias("key"), _low(mark).alias("mark"), text.alias("text"))
+
+
+# Places with the same anchor ----------------------------------------------------
+
+SPAN, PLACE, HOT, MARKER = range(4)
+_PLACE_SCHEMA = "part long, other long, key long, at long, kind int"
+_PLACE_NAMES = ["part", "other", "key", "at", "kind"]
+_KIND_NAMES = ["kind", "h", "c", "key", "at", "n"]
+_KIND_SCHEMA = "kind int, h long, c long, key long, at long, n int"
+
+
+def _local_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, mark, text) -> one row per distinct (anchor, surroundings) of the batch.
+
+    Places whose surroundings recur within the batch are reported as spans at
+    once and stand for one row (n = 2), so that copies are folded before the
+    shuffle.  An anchor with many surroundings within the batch is hot: its rows
+    are dealt by surroundings, and a marker tells the anchor's own partition.
+    kind holds 4 * kind + n; at holds the place above the document's mark.
+    """
+    for batch in batches:
+        keys, marks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        parts: list[tuple[np.ndarray, ...]] = []
+        for part in _pieces((i, d) for i, d in enumerate(byte_texts(batch)) if len(d) >= WINDOW):
+            texts = [d for _, d in part]
+            doc, pos, h = anchors(texts)
+            c = np.empty(len(doc), dtype=np.uint64)
+            for k, (d, p) in enumerate(zip(doc.tolist(), pos.tolist())):
+                low = p - REACH if p > REACH else 0
+                c[k] = xxhash.xxh3_64_intdigest(texts[d][low : p + WINDOW], p - low)
+            row = np.array([i for i, _ in part])[doc]
+            parts.append((h.view(np.int64), c.view(np.int64), keys[row], (pos.astype(np.int64) << 32) | marks[row].astype(np.int64)))
+        if not parts:
+            continue
+        h, c, key, at = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((c, h))
+        h, c, key, at = h[order], c[order], key[order], at[order]
+        new_h = np.concatenate([[True], h[1:] != h[:-1]])
+        new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
+        first = np.nonzero(new_c)[0]
+        sizes = np.diff(np.append(first, len(h)))
+        again = np.repeat(sizes > 1, sizes)
+        n = np.minimum(sizes, 2)
+        of_h = np.cumsum(new_h[first]) - 1
+        hot = (np.bincount(of_h) > BATCH_HOT)[of_h]
+        h1, c1 = h[first], c[first]
+        own = new_h[first] & hot
+        none = np.zeros(own.sum(), dtype=np.int64)
+        zero = np.zeros(again.sum(), dtype=np.int64)
+        columns = (
+            (np.where(hot, c1, h1), h1[own], key[again] ^ (at[again] >> 3)),
+            (np.where(hot, h1, c1), none, zero),
+            (key[first], none, key[again]),
+            (at[first], none, at[again]),
+            (4 * np.where(hot, HOT, PLACE) + n, none + 4 * MARKER, zero + 4 * SPAN),
+        )
+        arrays = [np.concatenate(x) for x in columns]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in arrays[:4]), pa.array(arrays[4].astype(np.int32))], names=_PLACE_NAMES)
+
 
+def _group_places(bound: int):
+    """mapInArrow body over rows sorted by (part, kind downwards, other): spans, places with several surroundings, hot rows.
 
-def anchor_rows(source: DataFrame) -> DataFrame:
-    """(h, c, doc_id, mark, pos, size): anchors, c the hash of all bytes that their windows reach."""
+    Runs through the rows of an anchor in order and holds at most ``bound``
+    distinct surroundings; an anchor with more, or with a marker, is hot.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        anchor: int | None = None
+        held: list[list] = []  # c, key, at, n
+        hot = told = False
+
+        def close() -> None:
+            if hot:
+                out.extend((HOT, anchor, c, k, a, n) for c, k, a, n in held)
+            elif len(held) > 1:
+                out.extend((PLACE, anchor, c, k, a, n) for c, k, a, n in held)
+            held.clear()
+
         for batch in batches:
-            for part in _pieces((i, d) for i, d in enumerate(byte_texts(batch)) if len(d) >= WINDOW):
-                texts = [d for _, d in part]
-                doc, pos, h = anchors(texts)
-                c = np.empty(len(doc), dtype=np.uint64)
-                for k, (d, p) in enumerate(zip(doc.tolist(), pos.tolist())):
-                    low = p - REACH if p > REACH else 0
-                    c[k] = xxhash.xxh3_64_intdigest(texts[d][low : p + WINDOW], p - low)
-                rows = pa.array(np.array([i for i, _ in part])[doc])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h.view(np.int64)),
-                        pa.array(c.view(np.int64)),
-                        batch.column(0).take(rows),
-                        batch.column(1).take(rows),
-                        pa.array(pos.astype(np.int32)),
-                        pa.array(np.array([len(d) for d in texts], dtype=np.int32)[doc]),
-                    ],
-                    names=["h", "c", "doc_id", "mark", "pos", "size"],
-                )
-
-    return source.mapInArrow(run, "h long, c long, doc_id long, mark long, pos int, size int")
+            part, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 4))
+            alone = np.zeros(len(part), dtype=bool)
+            alone[1:-1] = (part[1:-1] != part[:-2]) & (part[1:-1] != part[2:])
+            busy = pa.array(~(alone & (kind >> 2 == PLACE)))
+            for p, other, key, at, code in zip(*(c.filter(busy).to_pylist() for c in batch.columns)):
+                what, n = code >> 2, code & 3
+                if what == SPAN:
+                    out.append((SPAN, 0, 0, key, at, 0))
+                    continue
+                if what == HOT:
+                    out.append((HOT, other, p, key, at, n))
+                    continue
+                if p != anchor:
+                    close()
+                    anchor, hot = p, False
+                if what == MARKER:
+                    hot = True
+                    continue
+                if held and held[-1][0] == other:
+                    last = held[-1]
+                    if last[3] == 1:
+                        out.append((SPAN, 0, 0, last[1], last[2], 0))
+                        last[3] = 2
+                    if n == 1:
+                        out.append((SPAN, 0, 0, key, at, 0))
+                else:
+                    if len(held) > bound:
+                        hot = True
+                        close()
+                    held.append([other, key, at, n])
+            if len(out) > 20_000:
+                yield _kind_batch(out)
+                out.clear()
+        close()
+        if out:
+            yield _kind_batch(out)
+
+    return run
+
+
+def _kind_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_KIND_NAMES)
+
+
+def repeated_places(source: DataFrame, bound: int) -> DataFrame:
+    """(kind, h, c, key, at, n): whole spans, places to compare, and places of hot anchors."""
+    local = source.select("key", "mark", "text").mapInArrow(_local_places, _PLACE_SCHEMA)
+    dealt = local.repartition("part").sortWithinPartitions("part", F.desc("kind"), "other")
+    return store(dealt.mapInArrow(_group_places(bound), _KIND_SCHEMA))
 
 
 # Suffix arrays of one group ---------------------------------------------------
@@ -196,37 +308,43 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int = WINDOW
             yield left, right, own
 
 
+_FOUND_SCHEMA = "kind int, key long, mark int, start int, stop int, h long, at long, before binary, body binary"
+_FOUND_NAMES = ["kind", "key", "mark", "start", "stop", "h", "at", "before", "body"]
+_FOUND_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
+
 def _cover_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, doc_id, mark, pos, before, body) sorted by h -> (doc_id, mark, start, stop)."""
-    names = ["doc_id", "mark", "start", "stop"]
+    """Rows (part, kind, h, key, at, before, body) sorted by part -> spans of whole groups; hot rows go through as they are."""
 
-    def solve(rows: list[tuple]) -> Iterator[tuple[int | None, int, int, int]]:
-        lefts = [r[4][::-1] for r in rows]
-        rights = [r[5] for r in rows]
+    def solve(rows: list[tuple]) -> Iterator[tuple]:
+        lefts = [r[5][::-1] for r in rows]
+        rights = [r[6] for r in rows]
         low, high = [0] * len(rows), [0] * len(rows)
         for left, right, own in maximal_repeats(lefts, rights):
             for i in own:
                 low[i], high[i] = max(low[i], left), max(high[i], right)
         for i, r in enumerate(rows):
             if high[i]:
-                yield r[1], r[2], r[3] - low[i], r[3] + high[i]
+                pos = r[4] >> 32
+                yield SPAN, r[3], r[4] & 0x7FFFFFFF, pos - low[i], pos + high[i], None, None, None, None
 
     def emit(found: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*found))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), _FOUND_KINDS)], names=_FOUND_NAMES)
 
     group: list[tuple] = []
     found: list[tuple] = []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if group and group[0][0] != row[0]:
-                found += solve(group)
-                group = []
-                if len(found) > 20_000:
-                    yield emit(found)
-                    found = []
-            group.append(row)
+            if row[1] == HOT:
+                found.append((HOT, row[3], None, None, None, row[2], row[4], row[5], row[6]))
+            else:
+                if group and group[0][0] != row[0]:
+                    found += solve(group)
+                    group = []
+                group.append(row)
+            if len(found) > 10_000:
+                yield emit(found)
+                found = []
     if group:
         found += solve(group)
     if found:
@@ -236,138 +354,123 @@ def _cover_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 # Groups too large to bring together -------------------------------------------
 
 
+_BLOCK_SCHEMA = "key long, at long, first int, lo int, hi int, inner long, cover long, open boolean"
+_BLOCK_NAMES = ["key", "at", "first", "lo", "hi", "inner", "cover", "open"]
+
+
 def _window_rows(step: int):
-    """mapInArrow body: (h, doc_id, mark, pos, before, body[, first]) -> hashes by block of window offsets.
+    """mapInArrow body: (h, key, at, before, body[, first, open]) -> hashes by block of window offsets.
 
     A block holds the windows that start ``first`` to ``first + step - 1`` bytes
     before the anchor.  inner: the bytes common to these windows; cover: all
-    bytes of those that lie within the text.
+    bytes of those that lie within the text.  Both include the anchor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
             out: list[tuple] = []
-            for row in zip(*columns):
-                h, doc_id, mark, pos, before, body = row[:6]
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                key, at, before, body = row[1:5]
                 text, a = before + body, len(before)
                 least = max(0, WINDOW - len(body))  # a window needs bytes behind the anchor
-                if len(row) > 6:
-                    firsts = range(max(row[6], least), min(row[6] + BLOCK - 1, a) + 1)
+                if len(row) > 5:
+                    firsts = range(max(row[5], least), min(row[5] + BLOCK - 1, a) + 1)
                 else:
                     firsts = range(least - least % step, a + 1, step)
+                is_open = row[6] if len(row) > 6 else True
                 for first in firsts:
                     lo, hi = max(first, least), min(first + step - 1, a)
-                    if lo > hi:
-                        continue
-                    inner = xxhash.xxh3_64_intdigest(text[a - first : a - (first + step - 1) + WINDOW], first)
-                    cover = xxhash.xxh3_64_intdigest(text[a - hi : a - lo + WINDOW], lo * 256 + hi)
-                    out.append((h, doc_id, mark, pos, first, lo, hi, inner - 2**63, cover - 2**63))
+                    if lo <= hi:
+                        inner = xxhash.xxh3_64_intdigest(text[a - first : a - (first + step - 1) + WINDOW], first)
+                        cover = xxhash.xxh3_64_intdigest(text[a - hi : a - lo + WINDOW], lo * 256 + hi)
+                        out.append((key, at, first, lo, hi, inner - 2**63, cover - 2**63, is_open))
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=_BLOCK_NAMES)
+                    out = []
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=_BLOCK_NAMES)
 
     return run
 
 
-_BLOCK_NAMES = ["h", "doc_id", "mark", "pos", "first", "lo", "hi", "inner", "cover"]
-_BLOCK_SCHEMA = "h long, doc_id long, mark long, pos int, first int, lo int, hi int, inner long, cover long"
-
+def _recurring(blocks: DataFrame, name: str) -> DataFrame:
+    return blocks.groupBy(name).agg(F.count("*").alias("n")).filter("n > 1").select(name, F.lit(True).alias(f"{name}_recurs"))
 
-def _recurring(blocks: DataFrame, key: str) -> DataFrame:
-    keys = ["h", "first", key]
-    return blocks.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys, F.lit(True).alias(f"{key}_recurs"))
 
+def _cover_hot(rows: DataFrame) -> DataFrame:
+    """Spans of hot anchors' distinct surroundings, by hash of blocks of windows and then of windows.
 
-def _cover_large(rows: DataFrame) -> DataFrame:
-    """Intervals of groups above the bound, by hash of blocks of windows and then of windows."""
-    schema = _BLOCK_SCHEMA
-    blocks = cut(rows.mapInArrow(_window_rows(BLOCK), schema))
-    judged = blocks.join(_recurring(blocks, "cover"), ["h", "first", "cover"], "left").join(
-        _recurring(blocks, "inner"), ["h", "first", "inner"], "left"
-    )
-    judged = cut(judged.filter("cover_recurs or inner_recurs"))
-    span = [F.col("doc_id"), F.col("mark"), (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + WINDOW).alias("stop")]
+    Where all bytes of a block recur its windows do; where its common bytes
+    don't recur none does; only the blocks between are taken window by window.
+    """
+    blocks = rows.mapInArrow(_window_rows(BLOCK), _BLOCK_SCHEMA)
+    judged = blocks.join(_recurring(blocks, "inner"), "inner").join(_recurring(blocks, "cover"), "cover", "left")
+    judged = judged.select("key", "at", "first", "lo", "hi", "cover", "cover_recurs").repartition("key", "at")  # read three times
+    span = _spans(F.col("hi"), F.col("lo"))
     whole = judged.filter("cover_recurs").select(*span)
-    open_blocks = judged.filter("cover_recurs is null").select("h", "doc_id", "mark", "pos", "first")
-    same = ["h", "mark", "pos"]
-    left = rows.alias("r").join(open_blocks.alias("o"), [F.col(f"r.{k}") == F.col(f"o.{k}") for k in same] + [F.col("r.doc_id").eqNullSafe(F.col("o.doc_id"))])
-    left = left.select("r.h", "r.doc_id", "r.mark", "r.pos", "r.before", "r.body", "o.first")
-    windows = cut(left.mapInArrow(_window_rows(1), schema))
-    # Within open blocks a window recurs only in blocks with the same inner bytes, open or covered: compare with all of them.
-    covered = judged.filter("cover_recurs").groupBy("h", "first", "cover").agg(F.min_by(F.struct("doc_id", "mark", "pos"), F.struct("pos", "mark")).alias("s"))
-    covered = covered.select("h", "s.doc_id", "s.mark", "s.pos", "first").distinct()
-    extra = rows.alias("r").join(covered.alias("o"), [F.col(f"r.{k}") == F.col(f"o.{k}") for k in same] + [F.col("r.doc_id").eqNullSafe(F.col("o.doc_id"))])
-    extra = extra.select("r.h", "r.doc_id", "r.mark", "r.pos", "r.before", "r.body", "o.first").mapInArrow(_window_rows(1), schema)
-    counted = windows.select("h", "first", "cover").unionByName(extra.select("h", "first", "cover"))
-    again = counted.groupBy("h", "first", "cover").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return whole.unionByName(windows.join(again, ["h", "first", "cover"]).select(*span))
+    # An open block's windows recur in blocks with the same common bytes: all open ones, and one of each kind of covered ones.
+    open_blocks = judged.filter("cover_recurs is null").select("key", "at", "first", F.lit(True).alias("open"))
+    covered = judged.filter("cover_recurs").groupBy("cover").agg(F.min(F.struct("key", "at", "first")).alias("s"))
+    wanted = open_blocks.unionByName(covered.select("s.*", F.lit(False).alias("open")))
+    text = rows.join(wanted, ["key", "at"]).select("h", "key", "at", "before", "body", "first", "open")
+    windows = text.mapInArrow(_window_rows(1), _BLOCK_SCHEMA)
+    mine = windows.filter("open").join(_recurring(windows, "cover"), "cover")
+    return whole.unionByName(mine.select(*span))
+
+
+def _spans(before, least=None) -> list:
+    """Columns key, mark, start, stop of windows that start ``least`` to ``before`` bytes before the place."""
+    pos = F.shiftright("at", 32).cast("int")
+    return [F.col("key"), _low(F.col("at")).alias("mark"), (pos - before).alias("start"), (pos - (F.lit(0) if least is None else least) + WINDOW).alias("stop")]
 
 
 # The operator -----------------------------------------------------------------
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, mark, text, places array<struct<h, pos>>) -> (h, doc_id, mark, pos, before, body)."""
+    """(key, text, places array<struct<h, at, kind>>) -> (part, kind, h, key, at, before, body)."""
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["part", "kind", "h", "key", "at", "before", "body"]
+
+    def emit(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
     for batch in batches:
         out: list[tuple] = []
-        for doc_id, mark, data, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_texts(batch), batch.column(3).to_pylist()):
-            for p in places:
-                pos = p["pos"]
-                out.append((p["h"], doc_id, mark, pos, data[max(0, pos - REACH) : pos], data[pos : pos + WINDOW]))
-            if len(out) > 20_000:
-                yield _surrounding_batch(out)
+        for key, data, places in zip(batch.column(0).to_pylist(), byte_texts(batch), batch.column(2)):
+            for p in places.as_py():
+                h, at, kind = p["h"], p["at"], p["kind"]
+                pos = at >> 32
+                part = h if kind == PLACE else (key * 31 + at) % (1 << 62)  # hot rows are dealt out evenly
+                out.append((part, kind, h, key, at, data[max(0, pos - REACH) : pos], data[pos : pos + WINDOW]))
+            if len(out) > 10_000:
+                yield emit(out)
                 out = []
         if out:
-            yield _surrounding_batch(out)
-
-
-def _surrounding_batch(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["h", "doc_id", "mark", "pos", "before", "body"])
-
-
-def _by_doc(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    on = left["doc_id"].eqNullSafe(right["doc_id"]) & (left["mark"] == right["mark"])
-    return left.join(right, on, how)
+            yield emit(out)
 
 
 def repeated_spans(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(doc_id, mark, start, stop): bytes that repeats of at least WINDOW bytes cover, spans may overlap.
-
-    mark is the hash of the text; with doc_id it names a document.
-    """
+    """(key, mark, start, stop): bytes that repeats of at least WINDOW bytes cover; spans may overlap and pass the ends."""
     source = _source(docs)
-    places = cut(anchor_rows(source))
-    kinds = cut(
-        places.groupBy("h", "c").agg(
-            F.count("*").alias("n"), F.min_by(F.struct("doc_id", "mark", "pos"), F.struct("mark", "pos", "doc_id")).alias("place")
-        )
-    )
-    shared = kinds.filter("n > 1").select("h", "c")
-    whole = places.join(shared, ["h", "c"]).select(
-        "doc_id",
-        "mark",
-        F.greatest(F.lit(0), F.col("pos") - REACH).alias("start"),
-        F.least(F.col("size"), F.col("pos") + WINDOW).alias("stop"),
-    )
-    several = kinds.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
-    largest = several.agg(F.max("k")).first()[0] or 0
-
-    def surroundings(groups: DataFrame) -> DataFrame:
-        wanted = kinds.join(groups, "h").select("h", "place.doc_id", "place.mark", "place.pos")
-        listed = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("h", "pos")).alias("places"))  # at most a document's places
-        # Copies of a document share doc_id and mark only if the row itself is repeated.
-        held = _by_doc(source, listed, "inner").select(source["doc_id"], source["mark"], source["text"], "places")
-        return held.mapInArrow(_surroundings, "h long, doc_id long, mark long, pos int, before binary, body binary")
-
-    rows = surroundings(several.filter(F.col("k") <= group_rows))
-    spans = whole.unionByName(
-        rows.repartition("h").sortWithinPartitions("h").mapInArrow(_cover_groups, "doc_id long, mark long, start int, stop int")
-    )
-    if largest > group_rows:
-        large = cut(surroundings(several.filter(F.col("k") > group_rows)).dropDuplicates(["h", "doc_id", "mark", "pos"]))
-        spans = spans.unionByName(_cover_large(large))
+    places = repeated_places(source, group_rows)
+    spans = places.filter(F.col("kind") == SPAN).select(*_spans(F.lit(REACH)))
+    wanted = places.filter(F.col("kind") == PLACE).select("h", "key", "at", "kind")
+    hot = places.filter(F.col("kind") == HOT)
+    any_hot = not hot.isEmpty()
+    if any_hot:
+        kinds = hot.groupBy("h", "c").agg(F.sum("n").alias("total"), F.min(F.struct("key", "at")).alias("s"))
+        again = hot.filter("n = 1").join(kinds.filter("total > 1").select("h", "c"), ["h", "c"])
+        spans = spans.unionByName(again.select(*_spans(F.lit(REACH))))
+        wanted = wanted.unionByName(kinds.select("h", "s.key", "s.at", F.lit(HOT).alias("kind")))
+    listed = wanted.groupBy("key", _low(F.col("at")).alias("mark")).agg(F.collect_set(F.struct("h", "at", "kind")).alias("places"))  # a document's places
+    held = source.join(listed, ["key", "mark"]).select("key", "text", "places")
+    rows = held.mapInArrow(_surroundings, "part long, kind int, h long, key long, at long, before binary, body binary")
+    found = store(rows.repartition("part").sortWithinPartitions("part").mapInArrow(_cover_groups, _FOUND_SCHEMA))
+    spans = spans.unionByName(found.filter(F.col("kind") == SPAN).select("key", "mark", "start", "stop"))
+    if any_hot:
+        spans = spans.unionByName(_cover_hot(found.filter(F.col("kind") == HOT).select("h", "key", "at", "before", "body")))
     return spans
 
 
@@ -390,15 +493,15 @@ def without_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, with_bytes: b
     doc_id stays null; no rows in, no rows out.
     """
     source = _source(docs)
-    spans = cut(repeated_spans(docs, group_rows))
-    listed = spans.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # at most a document's places
-    held = _by_doc(source, listed, "left").select(source["doc_id"], source["text"], "spans")
+    spans = repeated_spans(docs, group_rows)
+    listed = spans.groupBy("key", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # at most a document's places
+    held = source.join(listed, ["key", "mark"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, kept_bytes = [], []
             for data, found in zip(byte_texts(batch), batch.column(2)):
-                gone = merged([(s["start"], s["stop"]) for s in found.as_py() or ()])
+                gone = merged([(max(0, s["start"]), min(len(data), s["stop"])) for s in found.as_py() or ()])
                 at, kept = 0, []
                 for a, b in gone:
                     kept.append(data[at:a])

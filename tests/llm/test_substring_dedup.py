@@ -47,8 +47,9 @@ def corpus(seed):
     return [(i, t) for i, t in enumerate(texts)] + [(2, texts[2]), (None, texts[4])]
 
 
-@pytest.mark.parametrize(("seed", "bound"), [(1, sd.GROUP_ROWS), (2, sd.GROUP_ROWS), (3, 2), (4, 1)])
-def test_against_brute_force(spark, seed, bound):
+@pytest.mark.parametrize(("seed", "bound"), [(1, sd.GROUP_ROWS), (2, sd.GROUP_ROWS), (3, 2), (4, 1), (5, 40)])
+def test_against_brute_force(spark, monkeypatch, seed, bound):
+    monkeypatch.setattr(sd, "BATCH_HOT", 3 if seed == 5 else sd.BATCH_HOT)
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, mark string")
     out = sorted((tuple(r) for r in sd.without_repeats(docs, bound).collect()), key=str)
