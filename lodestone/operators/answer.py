@@ -17,6 +17,7 @@ from lodestone.sources.collections import Collection
 
 REFUSAL_TEXT = "לא מצאתי במסמכים שברשותי."
 CLARIFY_TEXT = "לא ברור לי למה התכוונת. איזה מהנושאים האלה?"
+QUOTE_CHECK = "Does the text itself answer the question from the rules it quotes? Reply with one word: עונה if it does, מסביר if it explains that the rules are about something else."
 #: Names of document kinds (fixed values).
 KINDS = {
     "Instruction": "הוראה",
@@ -187,6 +188,16 @@ def sources(answers: DataFrame, hits: DataFrame, passages: DataFrame, citation:
     return out
 
 
+def _checked_refusals(questions: DataFrame, answers: DataFrame, own: DataFrame, make: Callable[[], LlmTransport]) -> DataFrame:
+    """Sources without those of refusals that a model doesn't find to answer after all."""
+    refused = answers.filter(is_refusal(F.col("text"))).join(own.select("query_id").distinct(), "query_id", "left_semi")
+    rows = refused.select("query_id", "text").join(questions.select("query_id", "question"), "query_id")
+    user = F.concat(F.lit("Question: "), F.col("question"), F.lit("\n\nText:\n"), quote_check_prompt(F.col("text")))
+    told = replies(rows, F.lit(QUOTE_CHECK), user, make, stage="quote-check")
+    dropped = told.filter(F.coalesce(quote_check_verdict(F.col("reply.text")), F.lit("failed")) != "answers").select("query_id")
+    return own.join(dropped, "query_id", "left_anti")
+
+
 def ask(questions: DataFrame, hits: DataFrame, chunks: DataFrame, collection: Collection, make: Callable[[], LlmTransport], settings: Settings = DEFAULT) -> DataFrame:
     """Questions (query_id, question[, topic_codes]) and their hits to checked answers, one row each.
 
@@ -221,10 +232,17 @@ def ask(questions: DataFrame, hits: DataFrame, chunks: DataFrame, collection: Co
     told = replies(user_messages(going, passages, collection.citation), F.lit(system_prompt(collection, settings)), F.col("message"), make)
     answers = told.select("query_id", F.col("reply.text").alias("text"), F.col("reply.error").alias("error"), F.col("reply.input_tokens").alias("input_tokens"), F.col("reply.output_tokens").alias("output_tokens"), truncated(F.col("reply.stop_reason")).alias("truncated"))
     own = sources(answers, ranked, passages, collection.citation, settings)
+    if settings.refusal_quote_check:
+        own = _checked_refusals(going, answers, own, make)
     listed = own.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code", "title", "score"))), lambda h: F.struct(h["code"].alias("code"), h["title"].alias("title"), h["score"].alias("score"))).alias("sources"))
     doubtful = unverified_codes(answers, passages, settings.unverified_allows_passages).groupBy("query_id").agg(F.array_sort(F.collect_list("code")).alias("unverified"))
     order = ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda h: h["code"]).alias("ranked"), F.max("reranked").alias("reranked"), F.max("rerank_reason").alias("rerank_reason"))
-    record = clarify.clarification(gate.filter("state = 'clarify'").select("query_id", "question"), found)
+    asks = gate.filter("state = 'clarify'").select("query_id", "question")
+    if settings.refusal_offers_topics:  # a refusal over several hits offers their topics too
+        several = ranked.groupBy("query_id").agg(F.count("*").alias("n")).filter("n > 1").select("query_id")
+        no = answers.filter(is_refusal(F.col("text")) | (trim_all(F.col("text")) == "")).join(several, "query_id", "left_semi")
+        asks = asks.unionByName(going.join(no.select("query_id"), "query_id", "left_semi").select("query_id", "question"))
+    record = clarify.clarification(asks, found)
     out = gate.join(answers, "query_id", "left").join(listed, "query_id", "left").join(doubtful, "query_id", "left").join(order, "query_id", "left").join(retrieved, "query_id", "left").join(record, "query_id", "left")
     text = F.when(F.col("state") == "gate", REFUSAL_TEXT).when(F.col("state") == "clarify", CLARIFY_TEXT).otherwise(F.col("text"))
     answered = (F.col("state") == "go") & (trim_all(F.coalesce("text", F.lit(""))) != "") & ~is_refusal(F.coalesce("text", F.lit("")))

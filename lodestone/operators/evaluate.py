@@ -233,6 +233,13 @@ def stage_evidence(rows: DataFrame) -> DataFrame:
     )
 
 
+def save_run(run: DataFrame, gold: DataFrame, controls: DataFrame, path: str) -> None:
+    """A run's summary row and its detail rows, as JSON and Parquet under one folder."""
+    run.write.mode("overwrite").json(f"{path}/run")
+    gold.write.mode("overwrite").parquet(f"{path}/gold")
+    controls.write.mode("overwrite").parquet(f"{path}/controls")
+
+
 # Retry meter -----------------------------------------------------------------------
 
 

@@ -43,7 +43,9 @@ def usable_rewrites(reply: Column, question: Column, settings: Settings = DEFAUL
     return F.slice(good, 1, 2)
 
 
-def replies(frame: DataFrame, system: Column, user: Column, make: Callable[[], LlmTransport], name: str = "reply") -> DataFrame:
+def replies(
+    frame: DataFrame, system: Column, user: Column, make: Callable[[], LlmTransport], name: str = "reply", stage: str = "answer", attempts: int = 3
+) -> DataFrame:
     """One model call per row; a failed call leaves a null reply and the error's name."""
 
     @F.pandas_udf("text string, error string, input_tokens long, output_tokens long, stop_reason string")
@@ -52,7 +54,7 @@ def replies(frame: DataFrame, system: Column, user: Column, make: Callable[[], L
         rows = []
         for s, u in zip(systems, users):
             try:
-                r = generate(transport, s, u)
+                r = generate(transport, s, u, stage, attempts)
                 rows.append((r.text, None, r.input_tokens, r.output_tokens, r.stop_reason))
             except Exception as e:  # noqa: BLE001  reported in the row
                 rows.append((None, type(e).__name__, 0, 0, None))

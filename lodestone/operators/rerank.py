@@ -64,6 +64,6 @@ def rerank(questions: DataFrame, hits: DataFrame, make: Callable[[], LlmTranspor
     """Hits reranked by a model; (query_id, question) and hits -> hits."""
     listed = listing(hits, settings).filter("candidates >= 2").join(questions.select("query_id", "question"), "query_id")
     user = F.concat(F.lit("Question: "), F.col("question"), F.lit("\n\nPassages:\n\n"), F.col("listing"))
-    told = replies(listed, F.lit(SYSTEM), user, make)
+    told = replies(listed, F.lit(SYSTEM), user, make, stage="rerank", attempts=settings.rerank_attempts)
     order = F.when(F.col("reply.text").isNotNull(), parse_order(F.col("reply.text"), F.col("candidates")))
     return apply_order(hits, told.select("query_id", order.alias("order")), settings)

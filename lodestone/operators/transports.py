@@ -92,22 +92,41 @@ class HttpLlm:
         self.url, self.model, self.key, self.max_tokens, self.timeout = url, model, key, max_tokens, timeout
 
     def generate(self, system: str, user: str) -> Generated:
-        import json
-        import urllib.error
-        import urllib.request
-
         messages = [{"role": "system", "content": system}, {"role": "user", "content": user}]
-        body = json.dumps({"model": self.model, "messages": messages, "temperature": 0, "max_tokens": self.max_tokens})
-        request = urllib.request.Request(self.url, body.encode(), {"Authorization": f"Bearer {self.key}", "content-type": "application/json"})
-        try:
-            with urllib.request.urlopen(request, timeout=self.timeout) as r:
-                data = json.load(r)
-        except urllib.error.HTTPError as e:
-            raise HttpError(e.code, e.read().decode("utf-8", "replace")[:400]) from e
+        data = _post(self.url, self.key, {"model": self.model, "messages": messages, "temperature": 0, "max_tokens": self.max_tokens}, self.timeout)
         choice, usage = data["choices"][0], data.get("usage", {})
         return Generated(choice["message"]["content"] or "", usage.get("prompt_tokens", 0), usage.get("completion_tokens", 0), choice.get("finish_reason"), self.model)
 
 
+class HttpEmbed:
+    """An embeddings endpoint that takes ``input`` and gives ``data[].embedding``; all limits are parameters."""
+
+    def __init__(self, url: str, model: str, key: str, dims: int, max_batch: int = 64, max_chars: int = 50_000, max_tokens: int = 8_192, timeout: float = 60.0) -> None:
+        if not key:
+            raise ValueError("a key is needed for this transport")
+        self.id = f"http:{model}"
+        self.url, self.model, self.key, self.dims, self.timeout = url, model, key, dims, timeout
+        self.max_batch, self.max_chars, self.max_tokens = max_batch, max_chars, max_tokens
+
+    def embed(self, texts: list[str], purpose: str) -> Embedded:
+        data = _post(self.url, self.key, {"model": self.model, "input": texts, "purpose": purpose}, self.timeout)
+        rows = sorted(data["data"], key=lambda r: r.get("index", 0))
+        return Embedded([r["embedding"] for r in rows], data.get("usage", {}).get("prompt_tokens", 0))
+
+
+def _post(url: str, key: str, body: dict, timeout: float) -> dict:
+    import json
+    import urllib.error
+    import urllib.request
+
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Authorization": f"Bearer {key}", "content-type": "application/json"})
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as r:
+            return json.load(r)
+    except urllib.error.HTTPError as e:
+        raise HttpError(e.code, e.read().decode("utf-8", "replace")[:400]) from e
+
+
 class HttpError(RuntimeError):
     def __init__(self, status: int, body: str) -> None:
         super().__init__(f"HTTP {status}: {body}")

@@ -148,6 +148,26 @@ def test_ask(spark):
     assert asks_back["text"] == answer.CLARIFY_TEXT and len(asks_back["clarification"]["topics"]) == 2 and not asks_back["refused"]
 
 
+def test_ask_refusals_that_quote(spark):
+    quote = "the text of the rule that decides this matter"
+    rows = hits(spark, [(1, "7.1", 0.9), (2, "7.2", 0.8)]).withColumn("text", F.concat(F.lit("x "), F.lit(quote), F.lit(" "), F.col("code")))
+    chunks = rows.select("collection", "id", "code", "title", "index", "text", F.lit(None).cast("array<string>").alias("keywords"), F.lit("Form").alias("doctype"))
+    asked = spark.createDataFrame([(1, "how much?")], "query_id int, question string")
+
+    def run(verdict, **more):
+        def reply(system, user):
+            if system == answer.QUOTE_CHECK:
+                return verdict
+            return f'{answer.REFUSAL_TEXT}\n\nבהוראה 7.1 כתוב "{quote}"'
+
+        return answer.ask(asked, rows, chunks, Collection("c"), lambda: ScriptedLlm(reply), Settings(rerank=False, refusal_keeps_quoted=True, **more)).first()
+
+    assert [s["code"] for s in run("")["sources"]] == ["7.1"]
+    assert [s["code"] for s in run("עונה", refusal_quote_check=True)["sources"]] == ["7.1"]
+    out = run("מסביר", refusal_quote_check=True, refusal_offers_topics=True)
+    assert out["sources"] == [] and out["refused"] and len(out["clarification"]["topics"]) == 2
+
+
 # Transports
 
 

@@ -94,6 +94,19 @@ def test_merge_of_collections(spark):
     assert [g["code"] for g in got] == ["y", "z", "x", "w"]
 
 
+def test_across(spark, corpus):
+    other = corpus.withColumn("collection", F.lit("d")).withColumn("ord", F.col("ord") + 100)
+    both = corpus.unionByName(other)
+    queries = asked(spark, "zebra").withColumn("embed_transport", F.lit("t"))
+    meta = lambda *rows: spark.createDataFrame(rows, "collection string, embed_transport string, embed_model string, dims int")
+    one = retrieve.retrieve_across(queries, both, meta(("c", "t", "m", 3), ("d", "t", "m", 3)), 4).collect()
+    assert {h["collection"] for h in one} == {"c", "d"}
+    apart = retrieve.retrieve_across(queries, both, meta(("c", "t", "m", 3), ("d", "u", "m", 3)), 4).collect()
+    assert {h["collection"] for h in apart} == {"c"} and [h["pos"] for h in apart] == list(range(1, len(apart) + 1))
+    with pytest.raises(ValueError):
+        retrieve.retrieve_across(queries, both, spark.createDataFrame([], "collection string, embed_transport string, embed_model string, dims int"), 4)
+
+
 def test_gate(spark):
     rows = [(1, 0.2, False, False), (1, 0.9, True, False), (2, 0.31, False, False), (3, 0.0, False, True), (4, 0.9, True, False)]
     hits = spark.createDataFrame(rows, "query_id int, score double, lexical boolean, named boolean")
