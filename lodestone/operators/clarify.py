@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, Settings
-from lodestone.functions.text import trim_all
+from lodestone.functions.text import trim_all, ws
 
 NONE_OF_THESE = "אף אחד מאלה"
 
 
 def _title(c: Column) -> Column:
-    return trim_all(F.regexp_replace(F.regexp_replace(c, "[\"'״׳()]", ""), r"(?U)\s+", " "))
+    return trim_all(F.regexp_replace(F.regexp_replace(c, "[\"'״׳()]", ""), ws(r"\s+"), " "))
 
 
 def same_topic(a: Column, b: Column) -> Column:

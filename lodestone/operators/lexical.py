@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, Settings
-from lodestone.functions.text import tokenise
+from lodestone.functions.text import raw_words, tokenise, word_tokens
+from lodestone.sources.spread import spread
 
 
 def chunk_words(settings: Settings = DEFAULT) -> Column:
@@ -18,16 +19,30 @@ def chunk_words(settings: Settings = DEFAULT) -> Column:
     return F.concat_ws(" ", *filled)
 
 
+def token_rows(docs: DataFrame, words: Column, keys: list[str]) -> DataFrame:
+    """(keys, term), a row per token.  Words are exploded before they are looked at, so that all of it is compiled code."""
+    text = docs.select(*keys, F.coalesce(words, F.lit("")).alias("_text"))
+    raw = spread(text).select(*keys, F.explode(raw_words(F.col("_text"))).alias("_raw"))
+    return raw.select(*keys, F.explode(word_tokens(F.col("_raw"))).alias("term"))
+
+
+def doc_lengths(docs: DataFrame, words: Column, keys: list[str]) -> DataFrame:
+    """(keys, length): number of a row's tokens, variants included; rows without tokens are left out."""
+    return token_rows(docs, words, keys).groupBy(*keys).agg(F.count("*").alias("length"))
+
+
 def postings(docs: DataFrame, words: Column, keys: list[str]) -> DataFrame:
-    """(keys, term, tf, length): length is the number of a row's tokens, variants included."""
-    tokens = docs.select(*keys, tokenise(words).alias("tokens")).select(*keys, F.size("tokens").alias("length"), "tokens")
-    return tokens.select(*keys, "length", F.explode("tokens").alias("term")).groupBy(*keys, "term", "length").agg(F.count("*").alias("tf"))
+    """(keys, term, tf, length)."""
+    tf = token_rows(docs, words, keys).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    return tf.join(doc_lengths(docs, words, keys), keys)
 
 
-def corpus_stats(docs: DataFrame, words: Column, by: list[str]) -> DataFrame:
+def corpus_stats(docs: DataFrame, lengths: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, avg_length) over all rows, with or without tokens."""
-    length = F.size(tokenise(words))
-    return docs.select(*by, length.alias("length")).groupBy(*by).agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
+    tokens = lengths.groupBy(*by).agg(F.sum("length").alias("_t"))
+    rows = docs.groupBy(*by).agg(F.count("*").alias("n"))
+    joined = rows.join(tokens, by, "left") if by else rows.withColumn("_t", F.lit(tokens.first()["_t"] or 0))
+    return joined.select(*by, "n", (F.coalesce("_t", F.lit(0)) / F.col("n")).alias("avg_length"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -42,6 +57,7 @@ def bm25(docs: DataFrame, words: Column, queries: DataFrame, k: int, by: list[st
     ``docs`` has the key ``ord`` and the corpus columns ``by``.  Only tokens that
     some query asks for are aggregated, so that postings of the corpus are never
     shuffled whole; the asked terms are broadcast by Spark where they are small.
+    Lengths are counted within each partition before they are shuffled.
     Ties go to the row that shares the earlier query term, then to the lower
     ``ord``.
     """
@@ -49,20 +65,16 @@ def bm25(docs: DataFrame, words: Column, queries: DataFrame, k: int, by: list[st
     keys = [*by, "ord"]
     terms = query_terms(queries)
     asked = terms.select("term").distinct()
-    tokens = docs.select(*keys, tokenise(words).alias("tokens")).withColumn("length", F.size("tokens"))
-    found = (
-        tokens.select(*keys, "length", F.explode("tokens").alias("term"))
-        .join(asked, "term")
-        .groupBy(*keys, "term", "length")
-        .agg(F.count("*").alias("tf"))
-    )
+    lengths = doc_lengths(docs, words, keys)
+    found = token_rows(docs, words, keys).join(asked, "term").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
     df = found.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    stats = tokens.groupBy(*by).agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
+    stats = corpus_stats(docs, lengths, by)
     if by:
         weighed = found.join(df, [*by, "term"]).join(stats, by)
     else:
         s = stats.first()
         weighed = found.join(df, "term").withColumn("n", F.lit(s["n"])).withColumn("avg_length", F.lit(s["avg_length"]))
+    weighed = weighed.join(lengths, keys)
     k1, b = settings.bm25_k1, settings.bm25_b
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * (F.col("length") / F.col("avg_length"))))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, Settings
-from lodestone.functions.text import is_hebrew, trim_all
+from lodestone.functions.text import is_hebrew, trim_all, ws
 from lodestone.operators.transports import LlmTransport, generate
 
 TRANSLATE = (
@@ -37,7 +37,7 @@ def usable_translation(reply: Column, settings: Settings = DEFAULT) -> Column:
 
 def usable_rewrites(reply: Column, question: Column, settings: Settings = DEFAULT) -> Column:
     """At most two rewrites: of fair length, not the question itself, not much longer than it."""
-    lines = F.transform(F.split(reply, r"\r?\n"), lambda x: trim_all(unquoted(F.regexp_replace(x, r"(?U)^[0-9.\-•*\s]+", ""))))
+    lines = F.transform(F.split(reply, r"\r?\n"), lambda x: trim_all(unquoted(F.regexp_replace(x, ws(r"^[0-9.\-•*\s]+"), ""))))
     most = F.greatest(F.lit(60), F.floor(F.length(question) * 1.4 + 0.5).cast("int"))
     good = F.filter(lines, lambda x: F.length(x).between(8, settings.query_chars) & (x != question) & (F.length(x) <= most))
     return F.slice(good, 1, 2)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, Settings
+from lodestone.functions.text import ws
 from lodestone.operators.query_prep import replies
 from lodestone.operators.transports import LlmTransport
 
@@ -21,7 +22,7 @@ def candidate() -> Column:
 def listing(hits: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """(query_id, candidates, listing): numbered passages of each query's candidates, cut to a length."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))
-    text = F.substring(F.regexp_replace("text", r"(?U)\s+", " "), 1, settings.rerank_chars)
+    text = F.substring(F.regexp_replace("text", ws(r"\s+"), " "), 1, settings.rerank_chars)
     entry = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), F.col("code"), F.lit(" — "), F.col("title"), F.lit("\n"), text)
     rows = hits.filter(candidate()).withColumn("n", place).select("query_id", F.struct("n", entry.alias("entry")).alias("e"))
     return rows.groupBy("query_id").agg(

@@ -18,6 +18,7 @@ from lodestone.operators import answer, clarify, evaluate, feedback, lexical, qu
 from lodestone.operators.dense import dense_topk
 from lodestone.sources import collections as sources
 from lodestone.sources import store
+from lodestone.sources.spread import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,6 +39,11 @@ def T(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose long texts are worked on: over all cores, however few its files."""
+    return spread(T(spark, sf, name))
+
+
 # Dense search ----------------------------------------------------------------------
 
 _EVERY = 50
@@ -276,12 +282,12 @@ def estimate_tokens(spark: SparkSession, sf: str) -> DataFrame:
 )
 def normalise_text(spark: SparkSession, sf: str) -> DataFrame:
     built = F.concat(F.lit("‎"), F.replace(F.replace("text", F.lit("\n"), F.lit("\r\n")), F.lit(". "), F.lit(".\n\n\n\n")), F.lit("\r"))
-    return T(spark, sf, "documents").select("doc_id", F.md5(text.normalise_text(built)).alias("digest"))
+    return texts(spark, sf, "documents").select("doc_id", F.md5(text.normalise_text(built)).alias("digest"))
 
 
 @query()
 def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
-    return T(spark, sf, "pages").select("page_id", extract.structured_text(F.col("html")).alias("text"))
+    return texts(spark, sf, "pages").select("page_id", extract.structured_text(F.col("html")).alias("text"))
 
 
 @query("SELECT doc_id, md5('Head ' || doc_id || chr(10) || 'item link bold code' || chr(10)) AS digest FROM documents")
@@ -295,7 +301,7 @@ def markdown_to_text(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_id, count(*) AS sentences FROM s WHERE trim(p) <> '' GROUP BY doc_id"""
 )
 def split_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    d = T(spark, sf, "documents").select("doc_id", F.size(text.split_sentences(F.translate("text", "\n", " "))).cast("long").alias("sentences"))
+    d = texts(spark, sf, "documents").select("doc_id", F.size(text.split_sentences(F.translate("text", "\n", " "))).cast("long").alias("sentences"))
     return d.filter("sentences > 0")
 
 
@@ -308,17 +314,17 @@ def clause_depth(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    d = T(spark, sf, "documents").select(F.col("source").alias("collection"), F.col("doc_id").cast("string").alias("code"), "text")
+    d = texts(spark, sf, "documents").select(F.col("source").alias("collection"), F.col("doc_id").cast("string").alias("code"), "text")
     return build_chunks(d).select("collection", "code", "id", "index", F.length("text").alias("length"), F.md5("text").alias("digest"))
 
 
 @query("SELECT doc_id, true AS within, true AS complete FROM documents")
 def chunk_invariants(spark: SparkSession, sf: str) -> DataFrame:
     """No chunk is longer than the limit, and the words at both ends of a document are kept."""
-    d = T(spark, sf, "documents")
+    d = texts(spark, sf, "documents")
     made = build_chunks(d.select("doc_id", F.col("doc_id").cast("string").alias("code"), "text"))
     ends = made.groupBy("doc_id").agg(F.max(F.length("text")).alias("most"), F.min_by("text", "index").alias("a"), F.max_by("text", "index").alias("z"))
-    word = lambda c, i: F.element_at(F.split(text.trim_all(c), r"(?U)\s+"), i)
+    word = lambda c, i: F.element_at(F.split(text.trim_all(c), text.ws(r"\s+")), i)
     whole = (word(F.col("text"), 1) == word(F.col("a"), 1)) & (word(F.col("text"), -1) == word(F.col("z"), -1))
     blank = text.trim_all(F.col("text")) == ""
     return d.join(ends, "doc_id", "left").select("doc_id", (blank | (F.col("most") <= DEFAULT.chunk_chars)).alias("within"), (blank | whole).alias("complete"))
@@ -393,7 +399,7 @@ def document_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def parent_context(spark: SparkSession, sf: str) -> DataFrame:
-    d = T(spark, sf, "documents").select(F.lit("c").alias("collection"), F.col("doc_id").cast("string").alias("code"), "text", F.col("source").alias("title"))
+    d = texts(spark, sf, "documents").select(F.lit("c").alias("collection"), F.col("doc_id").cast("string").alias("code"), "text", F.col("source").alias("title"))
     made = build_chunks(d)
     hits = made.filter((F.col("index") == 2) & (F.col("code").cast("long") % 40 < 2)).withColumn("query_id", F.floor(F.col("code").cast("long") / 40))
     hits = hits.withColumn("score", F.lit(0.5)).withColumn("lexical", F.lit(False))
@@ -540,7 +546,7 @@ _QUOTE = "length(text) >= 80 AND NOT contains(text, '\"') AND NOT contains(text,
 @query(f"SELECT doc_id AS query_id, 'other' AS code FROM documents WHERE {_QUOTE} AND doc_id % 2 = 1")
 def quoted_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Answers that quote their second passage; the even ones cite it too."""
-    d = T(spark, sf, "documents").filter(_QUOTE)
+    d = texts(spark, sf, "documents").filter(_QUOTE)
     answers = d.select(F.col("doc_id").alias("query_id"), F.concat(F.lit('as "'), F.substring("text", 1, 70), F.lit('"')).alias("text"))
     one = lambda code, body, pos: d.select(F.col("doc_id").alias("query_id"), F.lit("c").alias("collection"), F.lit(code).alias("code"), F.lit(code).alias("title"), body.alias("text"), F.lit(pos).alias("pos"), F.lit(0.1).alias("score"))
     passages = one("cited", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.lit("nothing")), 1).unionByName(one("other", F.col("text"), 2))
@@ -568,18 +574,25 @@ def cost_rollup(spark: SparkSession, sf: str) -> DataFrame:
 def fact_containment(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark texts found in documents: each document is searched for every item of the bounded fact set."""
     facts = T(spark, sf, "benchmark").select("item_id", text.compare_form(F.col("text")).alias("fact"))
-    docs = T(spark, sf, "documents").select("doc_id", text.compare_form(F.col("text")).alias("body"))
+    docs = texts(spark, sf, "documents").select("doc_id", text.compare_form(F.col("text")).alias("body"))
     return _containing(docs, facts)
 
 
 def _containing(docs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Documents and facts meet by a run of four words, then by containment."""
-    runs = lambda c, most: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), most)), lambda i: F.array_join(F.slice(c, i, 4), " ")))
-    d = docs.select("doc_id", "body", F.split("body", " ").alias("w"))
-    f = facts.select("item_id", "fact", F.split("fact", " ").alias("w"))
-    keys = f.select("item_id", "fact", F.array_join(F.slice("w", 2, 4), " ").alias("run"))
-    places = d.select("doc_id", "body", F.explode(runs(F.col("w"), F.size("w") - 3)).alias("run"))
-    return places.join(keys, "run").filter(F.contains("body", F.col("fact"))).select("doc_id", "item_id").distinct()
+    """Documents and facts meet by the fact's longest inner word, which every match holds whole, then by containment.
+
+    Facts of fewer than three words have no inner word; those few are looked for in every document.
+    """
+    words = F.split("fact", " ")
+    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    keyed = facts.withColumn("word", F.array_max(inner)["w"])
+    places = docs.select("doc_id", "body", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
+    found = places.join(keyed.filter(F.col("word").isNotNull()), "word").filter(F.contains("body", F.col("fact")))
+    short = [(r["item_id"], r["fact"]) for r in keyed.filter(F.col("word").isNull() & (F.col("fact") != "")).select("item_id", "fact").collect()]
+    out = found.select("doc_id", "item_id")
+    for item, fact in short:
+        out = out.unionByName(docs.filter(F.contains("body", F.lit(fact))).select("doc_id", F.lit(item).alias("item_id")))
+    return out.distinct()
 
 
 def _eval_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
