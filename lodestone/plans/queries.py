@@ -189,6 +189,17 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return top.groupBy("query_id").agg(F.round(F.max("score"), 6).alias("best"), F.round(F.sum("score"), 5).alias("total"), F.count("*").alias("hits"))
 
 
+@query()
+def bm25_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunking and word search together: the ten best chunks of every tenth benchmark item."""
+    d = texts(spark, sf, "documents").select(F.col("source").alias("collection"), F.col("doc_id").cast("string").alias("code"), F.col("source").alias("title"), "text")
+    made = build_chunks(d).withColumn("keywords", F.array().cast("array<string>"))
+    rows = made.withColumn("ord", F.col("code").cast("long") * 100_000 + F.col("index"))
+    queries = T(spark, sf, "benchmark").filter("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "text")
+    top = lexical.bm25(rows, lexical.chunk_words(), queries, 10)
+    return top.select("query_id", "ord", F.round("score", 6).alias("score"), "rank")
+
+
 @query(
     """WITH l AS (SELECT source, doc_id, 1 AS list, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS pos FROM documents
       UNION ALL SELECT source, doc_id, 2, row_number() OVER (PARTITION BY source ORDER BY doc_id) FROM documents WHERE doc_id % 3 = 0),
