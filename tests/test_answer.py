@@ -62,7 +62,7 @@ def test_topics_merge_like_titles(spark):
 
 def test_same_topic(spark):
     same = lambda a, b: spark.range(1).select(clarify.same_topic(F.lit(a), F.lit(b)).alias("s")).first()["s"]
-    assert same('הוראות תכ"ם', "הוראות תכם") and same("one two three", "zzz one two three") and same("alpha beta gamma delta", "gamma beta alpha omega")
+    assert same('הוראות מע"מ', "הוראות מעמ") and same("one two three", "zzz one two three") and same("alpha beta gamma delta", "gamma beta alpha omega")
     assert not same("alpha beta", "beta gamma")
 
 
