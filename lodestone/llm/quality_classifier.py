@@ -77,8 +77,9 @@ def in_training(column: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> PairwiseGam:
     """Model from at most ``max_train`` labelled rows outside the held-out fifth.
 
-    Null labels are left out; an id labelled both ways counts as 0; no labels
-    or one class gives a constant score.
+    Null labels are left out; an id labelled both ways counts as 0; of documents
+    that share an id the one with the least features is taken; no labels or one
+    class gives a constant score.
     """
     marked = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
@@ -88,14 +89,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Pairw
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_train)
     )
-    chosen = id_and_text(docs).join(F.broadcast(marked), "doc_id").select("y", "text")  # at most max_train small rows
+    chosen = id_and_text(docs).join(F.broadcast(marked), "doc_id").select("doc_id", "y", "text")  # at most max_train small rows
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = _matrix(batch)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    rows = map_batches(chosen, make, "y int, x array<double>").toArrow()  # at most max_train rows for each copy of an id
-    rows = rows.sort_by([("y", "ascending")])
+    # One row for each id, however often it occurs: at most max_train reach the driver.
+    known = map_batches(chosen, make, "doc_id long, y int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("r"))
+    rows = known.select("r.y", "r.x").toArrow()
     x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     y = np.array(rows.column("y").to_pylist(), dtype=float)
     order = np.lexsort((*x.T[::-1], y)) if len(y) else np.arange(0)

@@ -232,7 +232,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFra
 def keep_one(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFrame:
     """The rows of ``docs`` whose doc_id stands for its group; all columns stay.
 
-    Rows that share a doc_id are one document and stay or go together.
+    Rows that share a doc_id are one document and stay or go together; rows
+    without a doc_id can't be named and stay.
     """
     found = near_duplicates(docs, radius, words)
     goes = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
