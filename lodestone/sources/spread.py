@@ -10,9 +10,10 @@ def spread(df: DataFrame) -> DataFrame:
 
     A file of one row group is one task, however many cores there are.  Inputs
     of at least as many partitions as cores, thus all large ones, are left as
-    they are.
+    they are, and so is what comes of a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+    planned = df._jdf.queryExecution()
+    if "Exchange" in planned.executedPlan().toString():  # dealt already; and asking would run its stages
         return df
-    return df.repartition(cores)
+    return df if planned.toRdd().getNumPartitions() >= cores else df.repartition(cores)
