@@ -37,6 +37,7 @@ GROUP_ROWS = 32768
 BATCH_HOT = 1024
 BLOCK = 16
 PIECE = 1 << 18
+SLICE = 1 << 20
 
 _RNG = np.random.default_rng(20)
 _OF_BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
@@ -99,18 +100,39 @@ def anchors(docs: list[bytes], window: int = WINDOW, anchor: int = ANCHOR) -> tu
     return doc, at - (ends - sizes)[doc], grams[at]
 
 
-def _pieces(items: Iterator[tuple[int, bytes]]) -> Iterator[list[tuple[int, bytes]]]:
+def _pieces(docs: list[tuple[int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(row, offset, bytes) of the documents, in lists of bounded size.
+
+    Documents above SLICE bytes come in slices that overlap by all but one byte
+    of a window, so that each window lies in one of them.
+    """
     part, size = [], 0
-    for item in items:
-        part.append(item)
-        size += len(item[1])
-        if size >= PIECE:
-            yield part
-            part, size = [], 0
+    for row, data in docs:
+        for offset in range(0, max(1, len(data) - WINDOW + 1), SLICE):
+            part.append((row, offset, data[offset : offset + SLICE + WINDOW - 1]))
+            size += len(part[-1][2])
+            if size >= PIECE:
+                yield part
+                part, size = [], 0
     if part:
         yield part
 
 
+def _places(docs: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, hash) of the anchors of whole documents; an anchor that two slices name comes once."""
+    rows, places, hashes = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, np.uint64)]
+    for part in _pieces(docs):
+        doc, pos, h = anchors([d for _, _, d in part])
+        rows.append(np.array([r for r, _, _ in part])[doc])
+        places.append(pos + np.array([o for _, o, _ in part])[doc])
+        hashes.append(h)
+    row, place, h = np.concatenate(rows), np.concatenate(places), np.concatenate(hashes)
+    if any(len(d) >= SLICE + WINDOW for _, d in docs):
+        _, first = np.unique((row << 40) | place, return_index=True)
+        row, place, h = row[first], place[first], h[first]
+    return row, place, h
+
+
 def _low(c):
     """The low 31 bits."""
     return c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
@@ -133,8 +155,8 @@ _KIND_NAMES = ["kind", "h", "c", "key", "at", "n"]
 _KIND_SCHEMA = "kind int, h long, c long, key long, at long, n int"
 
 
-def _local_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, mark, text) -> one row per distinct (anchor, surroundings) of the batch.
+def _local_places(batch_hot: int):
+    """mapInArrow body: (key, mark, text) -> one row per distinct (anchor, surroundings) of the batch.
 
     Places whose surroundings recur within the batch are reported as spans at
     once and stand for one row (n = 2), so that copies are folded before the
@@ -142,44 +164,45 @@ def _local_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     are dealt by surroundings, and a marker tells the anchor's own partition.
     kind holds 4 * kind + n; at holds the place above the document's mark.
     """
-    for batch in batches:
-        keys, marks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        parts: list[tuple[np.ndarray, ...]] = []
-        for part in _pieces((i, d) for i, d in enumerate(byte_texts(batch)) if len(d) >= WINDOW):
-            texts = [d for _, d in part]
-            doc, pos, h = anchors(texts)
-            c = np.empty(len(doc), dtype=np.uint64)
-            for k, (d, p) in enumerate(zip(doc.tolist(), pos.tolist())):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, marks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            texts = list(byte_texts(batch))
+            row, pos, grams = _places([(i, d) for i, d in enumerate(texts) if len(d) >= WINDOW])
+            if not len(row):
+                continue
+            c = np.empty(len(row), dtype=np.uint64)
+            for k, (r, p) in enumerate(zip(row.tolist(), pos.tolist())):
                 low = p - REACH if p > REACH else 0
-                c[k] = xxhash.xxh3_64_intdigest(texts[d][low : p + WINDOW], p - low)
-            row = np.array([i for i, _ in part])[doc]
-            parts.append((h.view(np.int64), c.view(np.int64), keys[row], (pos.astype(np.int64) << 32) | marks[row].astype(np.int64)))
-        if not parts:
-            continue
-        h, c, key, at = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((c, h))
-        h, c, key, at = h[order], c[order], key[order], at[order]
-        new_h = np.concatenate([[True], h[1:] != h[:-1]])
-        new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
-        first = np.nonzero(new_c)[0]
-        sizes = np.diff(np.append(first, len(h)))
-        again = np.repeat(sizes > 1, sizes)
-        n = np.minimum(sizes, 2)
-        of_h = np.cumsum(new_h[first]) - 1
-        hot = (np.bincount(of_h) > BATCH_HOT)[of_h]
-        h1, c1 = h[first], c[first]
-        own = new_h[first] & hot
-        none = np.zeros(own.sum(), dtype=np.int64)
-        zero = np.zeros(again.sum(), dtype=np.int64)
-        columns = (
-            (np.where(hot, c1, h1), h1[own], key[again] ^ (at[again] >> 3)),
-            (np.where(hot, h1, c1), none, zero),
-            (key[first], none, key[again]),
-            (at[first], none, at[again]),
-            (4 * np.where(hot, HOT, PLACE) + n, none + 4 * MARKER, zero + 4 * SPAN),
-        )
-        arrays = [np.concatenate(x) for x in columns]
-        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in arrays[:4]), pa.array(arrays[4].astype(np.int32))], names=_PLACE_NAMES)
+                c[k] = xxhash.xxh3_64_intdigest(texts[r][low : p + WINDOW], p - low)
+            h, c = grams.view(np.int64), c.view(np.int64)
+            key, at = keys[row], (pos.astype(np.int64) << 32) | marks[row].astype(np.int64)
+            order = np.lexsort((c, h))
+            h, c, key, at = h[order], c[order], key[order], at[order]
+            new_h = np.concatenate([[True], h[1:] != h[:-1]])
+            new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
+            first = np.nonzero(new_c)[0]
+            sizes = np.diff(np.append(first, len(h)))
+            again = np.repeat(sizes > 1, sizes)
+            n = np.minimum(sizes, 2)
+            of_h = np.cumsum(new_h[first]) - 1
+            hot = (np.bincount(of_h) > batch_hot)[of_h]
+            h1, c1 = h[first], c[first]
+            own = new_h[first] & hot
+            none = np.zeros(own.sum(), dtype=np.int64)
+            zero = np.zeros(again.sum(), dtype=np.int64)
+            columns = (
+                (np.where(hot, c1, h1), h1[own], key[again] ^ (at[again] >> 3)),
+                (np.where(hot, h1, c1), none, zero),
+                (key[first], none, key[again]),
+                (at[first], none, at[again]),
+                (4 * np.where(hot, HOT, PLACE) + n, none + 4 * MARKER, zero + 4 * SPAN),
+            )
+            arrays = [np.concatenate(x) for x in columns]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in arrays[:4]), pa.array(arrays[4].astype(np.int32))], names=_PLACE_NAMES)
+
+    return run
 
 
 def _group_places(bound: int):
@@ -248,9 +271,9 @@ def _kind_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_KIND_NAMES)
 
 
-def repeated_places(source: DataFrame, bound: int) -> DataFrame:
+def repeated_places(source: DataFrame, bound: int, batch_hot: int) -> DataFrame:
     """(kind, h, c, key, at, n): whole spans, places to compare, and places of hot anchors."""
-    local = source.select("key", "mark", "text").mapInArrow(_local_places, _PLACE_SCHEMA)
+    local = source.select("key", "mark", "text").mapInArrow(_local_places(batch_hot), _PLACE_SCHEMA)
     dealt = local.repartition("part").sortWithinPartitions("part", F.desc("kind"), "other")
     return store(dealt.mapInArrow(_group_places(bound), _KIND_SCHEMA))
 
@@ -451,10 +474,10 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield emit(out)
 
 
-def repeated_spans(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def repeated_spans(docs: DataFrame, group_rows: int = GROUP_ROWS, batch_hot: int = BATCH_HOT) -> DataFrame:
     """(key, mark, start, stop): bytes that repeats of at least WINDOW bytes cover; spans may overlap and pass the ends."""
     source = _source(docs)
-    places = repeated_places(source, group_rows)
+    places = repeated_places(source, group_rows, batch_hot)
     spans = places.filter(F.col("kind") == SPAN).select(*_spans(F.lit(REACH)))
     wanted = places.filter(F.col("kind") == PLACE).select("h", "key", "at", "kind")
     hot = places.filter(F.col("kind") == HOT)
@@ -484,7 +507,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, with_bytes: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, with_bytes: bool = False, batch_hot: int = BATCH_HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row.
 
     Each byte covered by a WINDOW-byte string that also starts elsewhere in the
@@ -493,7 +516,7 @@ def without_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, with_bytes: b
     doc_id stays null; no rows in, no rows out.
     """
     source = _source(docs)
-    spans = repeated_spans(docs, group_rows)
+    spans = repeated_spans(docs, group_rows, batch_hot)
     listed = spans.groupBy("key", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # at most a document's places
     held = source.join(listed, ["key", "mark"], "left").select("doc_id", "text", "spans")
 

@@ -47,12 +47,11 @@ def corpus(seed):
     return [(i, t) for i, t in enumerate(texts)] + [(2, texts[2]), (None, texts[4])]
 
 
-@pytest.mark.parametrize(("seed", "bound"), [(1, sd.GROUP_ROWS), (2, sd.GROUP_ROWS), (3, 2), (4, 1), (5, 40)])
-def test_against_brute_force(spark, monkeypatch, seed, bound):
-    monkeypatch.setattr(sd, "BATCH_HOT", 3 if seed == 5 else sd.BATCH_HOT)
+@pytest.mark.parametrize(("seed", "bound", "hot"), [(1, sd.GROUP_ROWS, sd.BATCH_HOT), (2, sd.GROUP_ROWS, sd.BATCH_HOT), (3, 2, 99), (4, 1, 99), (5, 40, 1), (6, 40, 2), (7, 3, 4)])
+def test_against_brute_force(spark, seed, bound, hot):
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, mark string")
-    out = sorted((tuple(r) for r in sd.without_repeats(docs, bound).collect()), key=str)
+    out = sorted((tuple(r) for r in sd.without_repeats(docs, bound, batch_hot=hot).collect()), key=str)
     assert out == brute(rows)
 
 
@@ -71,6 +70,15 @@ def test_intervals():
     assert sorted(sd.prefix_intervals(s)) == [(0, 0, 3), (1, 0, 2), (2, 0, 1)]
 
 
+def test_slices_name_the_same_anchors(monkeypatch):
+    data = bytes(random.Random(8).choices(b"abc ", k=5000))
+    whole = sd._places([(0, data), (1, data[:900])])
+    monkeypatch.setattr(sd, "SLICE", 333)
+    parts = sd._places([(0, data), (1, data[:900])])
+    tell = lambda x: sorted(zip(*(c.tolist() for c in x)))
+    assert tell(whole) == tell(parts)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert sd.without_repeats(docs).count() == 0
