@@ -6,6 +6,10 @@ words are joined by hash with those of the benchmark; a document that holds
 ``share`` of an item's windows, with slot values that agree from window to
 window, is a leak of that item.
 
+An item names its slots; a document's letter case and sentence starts don't.  A
+word of a document that may be a name is read both as itself and as a name, in
+all ways that leave a window three literals.
+
 The benchmark side is a query set against all rows: it is taken in blocks of
 at most ``block_windows`` windows, each sent to the executors, so that what is
 sent has a fixed bound however large the benchmark is.
@@ -36,15 +40,17 @@ UNITS = frozenset(
     "minutes second seconds metre metres meter meters mile miles foot feet inch inches gram grams kilogram kilograms litre litres liter liters "
     "dollar dollars euro euros cent cents pound pounds percent degrees mph kmh".split()
 )
-_NUMBER = re.compile(r"[-+$€£]?[0-9][0-9.,:/]*(?:%|st|nd|rd|th)?")
+_NUMBER = re.compile(r"[-+$€£]?[0-9][0-9.,:/]*(?:%|st|nd|rd|th)?", re.IGNORECASE)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 NUM, NAME, UNIT, FIRST = 1, 2, 3, 16
 _CAP, _END, _UNITLIKE = 1 << 40, 1 << 41, 1 << 42
 _ID = (1 << 40) - 1
 _NOTHING = 1 << 43
+_NAMED = 1 << 44
+SLICE = 50_000
 
 
-def _describe(token: str, vocabulary: dict[str, int]) -> int:
+def _describe(token: str, vocabulary: dict[str, int], names: set[str]) -> int:
     """A raw word's literal id (0: not in the benchmark) and its marks."""
     core = token if token.isalpha() else _EDGE.sub("", token)
     if not core:
@@ -59,21 +65,30 @@ def _describe(token: str, vocabulary: dict[str, int]) -> int:
         out |= _END
     if low in UNITS:
         out |= _UNITLIKE
+    if low in names:
+        out |= _NAMED
     return out
 
 
-def _ids(described: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Template ids: literals, or placeholders by place."""
+def _placed(described: np.ndarray) -> np.ndarray:
+    """Literal ids (0: unknown), with numbers and the units after them replaced."""
     ids = described & _ID
+    unit = np.zeros(len(ids), dtype=bool)
+    unit[1:] = (ids[:-1] == NUM) & ((described[1:] & _UNITLIKE) != 0)
+    return np.where(unit, UNIT, ids)
+
+
+def _readings(described: np.ndarray, line: np.ndarray) -> list[np.ndarray]:
+    """An item's templates: names where it shows them, and no names."""
+    ids = _placed(described)
     if not len(ids):
-        return ids
+        return []
     start = np.ones(len(ids), dtype=bool)
     start[1:] = (line[1:] != line[:-1]) | ((described[:-1] & _END) != 0)
-    number = ids == NUM
-    ids = np.where(((described & _CAP) != 0) & ~start & ~number, NAME, ids)
-    unit = np.zeros(len(ids), dtype=bool)
-    unit[1:] = number[:-1] & ((described[1:] & _UNITLIKE) != 0)
-    return np.where(unit, UNIT, ids)
+    capital = ((described & _CAP) != 0) & (ids >= FIRST)
+    shown = capital & ~start
+    out = [np.where(shown, NAME, ids), ids]
+    return [x for i, x in enumerate(out) if not any((x == y).all() for y in out[:i])]
 
 
 def _hashes(ids: np.ndarray, window: int) -> np.ndarray:
@@ -85,6 +100,15 @@ def _hashes(ids: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
+def _row_hashes(rows: np.ndarray) -> np.ndarray:
+    """As ``_hashes``, of one window a row."""
+    out = np.zeros(len(rows), dtype=np.uint64)
+    for k in range(rows.shape[1]):
+        out = (out ^ rows[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def _words(text: str) -> tuple[list[str], np.ndarray]:
     """Words, and the number of each one's line."""
     lines = [line.split() for line in text.split("\n")]
@@ -94,14 +118,15 @@ def _words(text: str) -> tuple[list[str], np.ndarray]:
 class Memo(dict):
     """Descriptions of raw words, remembered up to a bound."""
 
-    def __init__(self, vocabulary: dict[str, int]) -> None:
+    def __init__(self, vocabulary: dict[str, int], names: set[str]) -> None:
         super().__init__()
         self.vocabulary = vocabulary
+        self.names = names
 
     def __missing__(self, word: str) -> int:
         if len(self) >= MEMO:
             self.clear()
-        out = self[word] = _describe(word, self.vocabulary)
+        out = self[word] = _describe(word, self.vocabulary, self.names)
         return out
 
 
@@ -112,6 +137,7 @@ class Item:
     words: list[str]
     window: int
     counted: set[int]
+    entry: int
 
 
 class Templates:
@@ -124,66 +150,91 @@ class Templates:
                 low = _EDGE.sub("", w).lower()
                 if low and not _NUMBER.fullmatch(low):
                     self.vocabulary.setdefault(low, FIRST + len(self.vocabulary))
-        self.memo = Memo(self.vocabulary)
+        self.names: set[str] = set()
+        self.memo = Memo(self.vocabulary, self.names)
         self.items: list[Item] = []
         self.by_window: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for item_id, text in items:
-            words, ids = self._template(text)
-            window = min(WINDOW, len(ids))
-            counted = {q for q in range(len(ids) - window + 1) if (ids[q : q + window] >= FIRST).sum() >= LITERALS} if window else set()
-            if not counted:
-                continue
-            hashes = _hashes(ids, window)
-            for q in counted:
-                self.by_window[window][int(hashes[q])].append((len(self.items), q))
-            self.items.append(Item(item_id, ids, words, window, counted))
+        for entry, (item_id, text) in enumerate(items):
+            words, described, line = self._described(text)
+            window = min(WINDOW, len(words))
+            for ids in _readings(described, line):
+                self.names.update(_EDGE.sub("", words[i]).lower() for i in np.nonzero(ids == NAME)[0])
+                counted = {q for q in range(len(ids) - window + 1) if (ids[q : q + window] >= FIRST).sum() >= LITERALS}
+                if not counted:
+                    continue
+                hashes = _hashes(ids, window)
+                for q in counted:
+                    self.by_window[window][int(hashes[q])].append((len(self.items), q))
+                self.items.append(Item(item_id, ids, words, window, counted, entry))
+        self.memo.clear()  # the names are known only now
         self.by_window = {w: dict(h) for w, h in self.by_window.items()}
         self.sorted = {w: np.array(sorted(h), dtype=np.uint64) for w, h in self.by_window.items()}
 
-    def _template(self, text: str) -> tuple[list[str], np.ndarray]:
-        """The words that have a letter or digit, and their template ids."""
+    def _described(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words that have a letter or digit, what they are, and their lines."""
         words, line = _words(text)
         described = np.fromiter(map(self.memo.__getitem__, words), dtype=np.int64, count=len(words))
         keep = described != _NOTHING
         if not keep.all():
             words = [words[i] for i in np.nonzero(keep)[0]]
             described, line = described[keep], line[keep]
-        return words, _ids(described, line)
+        return words, described, line
+
+    def _hits(self, ids: np.ndarray, both: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
+        """(place, hash) of each window of a text that the benchmark has, under every reading of its words."""
+        wanted, spare = self.sorted[window], window - LITERALS
+
+        def known(at: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int]]:
+            hit = wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes
+            return zip(at[hit].tolist(), hashes[hit].tolist())
+
+        slots = np.concatenate([[0], np.cumsum(ids < FIRST)])
+        slots = slots[window:] - slots[:-window]
+        at = np.nonzero(slots <= spare)[0]
+        if len(at):
+            yield from known(at, _hashes(ids, window)[at])
+        open_ = np.concatenate([[0], np.cumsum(both)])
+        at = np.nonzero((slots < spare) & (open_[window:] > open_[:-window]))[0]
+        masks = np.array([m for m in np.ndindex(*[2] * window) if 0 < sum(m) <= spare], dtype=bool).reshape(-1, window)
+        for i in range(0, len(at), SLICE):
+            part = at[i : i + SLICE]
+            places = part[:, None] + np.arange(window)
+            fits = ~((~both[places]).astype(np.int8) @ masks.T.astype(np.int8)).astype(bool)
+            fits &= slots[part][:, None] + masks.sum(axis=1)[None, :] <= spare
+            row, mask = np.nonzero(fits)
+            if len(row):
+                read = np.where(masks[mask], NAME, ids[places[row]])
+                yield from known(part[row], _row_hashes(read))
 
     def match(self, text: str, share: float = SHARE) -> list[tuple[int, int, int, float]]:
-        """(item_id, windows, windows found, share of them) of each item that leaks into the text."""
+        """(item_id, windows, windows found, share of them) of each item that leaks into the text, by its best reading."""
         if not self.items:
             return []
-        words, ids = self._template(text)
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-        for window, wanted in self.sorted.items():
-            if len(ids) < window:
-                continue
-            at = np.nonzero(unknown[window:] == unknown[:-window])[0]
-            if not len(at):
-                continue
-            hashes = _hashes(ids, window)[at]
-            place = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-            hit = wanted[place] == hashes
-            for p, h in zip(at[hit].tolist(), hashes[hit].tolist()):
-                for item, q in self.by_window[window][h]:
-                    found[item].append((p, q))
-        out = []
-        for item, pairs in found.items():
-            own = self.items[item]
+        words, described, _ = self._described(text)
+        ids = _placed(described)
+        both = (ids >= FIRST) & ((described & (_CAP | _NAMED)) != 0)
+        ids = np.where(ids == 0, NAME, ids)
+        found: dict[int, set[tuple[int, int]]] = defaultdict(set)
+        for window in self.sorted:
+            if len(ids) >= window:
+                for p, h in self._hits(ids, both, window):
+                    for item, q in self.by_window[window][h]:
+                        found[item].add((p, q))
+        best: dict[int, tuple[int, int, int, float]] = {}
+        for item in sorted(found):
+            own, pairs = self.items[item], found[item]
             need = len(own.counted)
             if len({q for _, q in pairs}) < share * need:
                 continue
-            good = self._consistent(own, words, ids, pairs)
-            if good >= share * need:
-                out.append((own.item_id, need, good, good / need))
-        return out
+            good = self._consistent(own, words, sorted(pairs))
+            if good >= share * need and (own.entry not in best or good / need > best[own.entry][3]):
+                best[own.entry] = (own.item_id, need, good, good / need)
+        return list(best.values())
 
-    def _consistent(self, item: Item, words: list[str], ids: np.ndarray, pairs: list[tuple[int, int]]) -> int:
+    def _consistent(self, item: Item, words: list[str], pairs: list[tuple[int, int]]) -> int:
         """Item windows found whose slots all hold the value that their slot has most often."""
         if not (item.ids < FIRST).any():
-            return len({q for _, q in pairs if q in item.counted})
+            return len({q for _, q in pairs})
         value = lambda w: _EDGE.sub("", w).lower()
         seen: dict[tuple[int, str], Counter] = defaultdict(Counter)
         filled = []
@@ -197,7 +248,7 @@ class Templates:
             for slot, v in slots:
                 seen[slot][v] += 1
         usual = {s: max(c, key=lambda v, c=c: (c[v], v)) for s, c in seen.items()}
-        return len({q for q, slots in filled if q in item.counted and all(usual[s] == v for s, v in slots)})
+        return len({q for q, slots in filled if all(usual[s] == v for s, v in slots)})
 
 
 def blocks(benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> Iterator[list[tuple[int, str]]]:
