@@ -79,15 +79,15 @@ def _placed(described: np.ndarray) -> np.ndarray:
 
 
 def _readings(described: np.ndarray, line: np.ndarray) -> list[np.ndarray]:
-    """An item's templates: names where it shows them, and no names."""
+    """An item's templates: names where it shows them, sentence starts as names too, and no names."""
     ids = _placed(described)
     if not len(ids):
         return []
     start = np.ones(len(ids), dtype=bool)
     start[1:] = (line[1:] != line[:-1]) | ((described[:-1] & _END) != 0)
     capital = ((described & _CAP) != 0) & (ids >= FIRST)
-    shown = capital & ~start
-    out = [np.where(shown, NAME, ids), ids]
+    shown = capital & np.isin(ids, ids[capital & ~start])
+    out = [np.where(shown, NAME, ids), np.where(shown | (capital & start), NAME, ids), ids]
     return [x for i, x in enumerate(out) if not any((x == y).all() for y in out[:i])]
 
 

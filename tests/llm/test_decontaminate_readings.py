@@ -23,3 +23,12 @@ def test_passages_in_any_case_are_all_caught_and_nothing_else():
     found = {(r["doc_id"], m[0]) for r in docs for m in own.match(r["text"])}
     assert held <= found and {(1699, 130), (6420, 37), (8376, 101)} <= found
     assert {d for d, _ in found} == {d for d, _ in held} | {1699, 6420, 8376}
+
+
+def test_names_at_sentence_starts():
+    item = "Tom buys three red pens today. Tom gives two of them away. Tom keeps the last one at home. Tom then walks to school."
+    own = dc.Templates([(4, item)])
+    assert [m[0] for m in own.match(item.replace("Tom", "Sara"))] == [4]
+    assert [m[0] for m in own.match(item.replace("Tom", "Home"))] == [4]
+    item = item.replace("two of them", "Tom's two of Tom Hill")
+    assert [m[0] for m in dc.Templates([(5, item)]).match(item.replace("Tom", "Sara"))] == [5]
