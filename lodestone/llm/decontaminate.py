@@ -226,11 +226,37 @@ class Templates:
             need = len(own.counted)
             if len({q for _, q in pairs}) < share * need:
                 continue
-            good = self._consistent(own, words, sorted(pairs))
+            good = self._best_occurrence(own, words, pairs, share * need)
             if good >= share * need and (own.entry not in best or good / need > best[own.entry][3]):
                 best[own.entry] = (own.item_id, need, good, good / need)
         return list(best.values())
 
+    def _best_occurrence(self, item: Item, words: list[str], pairs: set[tuple[int, int]], least: float) -> int:
+        """Most consistent windows of one occurrence, or of the whole text for an item that lies scattered.
+
+        An occurrence's hits have alignments (place in the text less place in
+        the item) that differ by at most half the item's length.
+        """
+        order = sorted(pairs, key=lambda x: (x[0] - x[1], x))
+        best = self._consistent(item, words, order)
+        if best == len(item.counted) or not (item.ids < FIRST).any():
+            return best
+        reach, end = len(item.ids) // 2, 0
+        inside: Counter = Counter()
+        for begin, (p, q) in enumerate(order):
+            while end < len(order) and order[end][0] - order[end][1] <= p - q + reach:
+                inside[order[end][1]] += 1
+                end += 1
+            first = not begin or p - q != order[begin - 1][0] - order[begin - 1][1]
+            if first and len(inside) >= max(least, best + 1):
+                best = max(best, self._consistent(item, words, order[begin:end]))
+                if best == len(item.counted):
+                    break
+            inside[q] -= 1
+            if not inside[q]:
+                del inside[q]
+        return best
+
     def _consistent(self, item: Item, words: list[str], pairs: list[tuple[int, int]]) -> int:
         """Item windows found whose slots all hold the value that their slot has most often."""
         if not (item.ids < FIRST).any():

@@ -32,3 +32,12 @@ def test_names_at_sentence_starts():
     assert [m[0] for m in own.match(item.replace("Tom", "Home"))] == [4]
     item = item.replace("two of them", "Tom's two of Tom Hill")
     assert [m[0] for m in dc.Templates([(5, item)]).match(item.replace("Tom", "Sara"))] == [5]
+
+
+def test_each_copy_has_its_own_values():
+    item = "The shop sold 12 pens for 30 coins on 4 days while the mill made 7 sacks from 90 kilos in 5 hours of hard work by 8 men"
+    own = dc.Templates([(6, item)])
+    filled = [item.replace("12", str(i)).replace("30", str(100 - i)).replace(" 4 ", f" {i * 7} ").replace("7 sacks", f"{50 - i} sacks").replace("90", str(i * 3)) for i in range(20, 40)]
+    assert [m[0] for m in own.match("\n".join(filled))] == [6]
+    assert own.match("\n".join(filled))[0][3] == 1.0
+    assert [m[0] for m in own.match(" ".join(filled[:2]))] == [6]
