@@ -93,7 +93,7 @@ def base_spans(text: str) -> list[Span]:
 
 _GENERATORS = {
     "secret": re.compile(
-        r"(?:(?<=[\"'=:\s])|^)(?=[A-Za-z0-9_+/=.-]{0,64}[0-9])(?:[A-Fa-f0-9]{24,128}|[A-Za-z0-9_+/-]{20,200}={0,2})(?=[\"'\s,;.)]|$)"
+        r"(?:(?<=[\"'=:\s])|^)(?=[A-Za-z0-9_+/-]{20})[A-Za-z0-9_+/-]++(?:\.[A-Za-z0-9_-]{20,}+)*+={0,2}(?=[\"'\s,;.)]|$)"
     ),
     "account": re.compile(r"(?<![0-9A-Za-z.])[0-9]{4}(?:[ -]?[0-9]{2,6}){2,4}(?![0-9A-Za-z])"),
     "local_phone": re.compile(r"(?<![0-9A-Za-z+.])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])"),
@@ -117,9 +117,9 @@ _CONTEXT = {
 def candidates(text: str) -> list[Span]:
     """Spans that may be personal data, overlaps included."""
     found: list[Span] = []
-    digit = _DIGIT.search(text) is not None
-    if digit:
-        for kind in ("secret", "account", "local_phone", "national_id", "iban"):
+    found += [("secret", *m.span()) for m in _GENERATORS["secret"].finditer(text)]
+    if _DIGIT.search(text):
+        for kind in ("account", "local_phone", "national_id", "iban"):
             found += [(kind, *m.span()) for m in _GENERATORS[kind].finditer(text)]
     if " dot " in text or "(dot)" in text or "[dot]" in text:
         found += [("spelled_email", *m.span()) for m in _GENERATORS["spelled_email"].finditer(text)]
