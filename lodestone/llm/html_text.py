@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 80
-REGION_SHARE = 0.3
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"""
@@ -56,6 +55,7 @@ class Line:
     text: str
     weight: int
     article: bool
+    dropped: bool = False
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -92,7 +92,7 @@ def lines(page: str) -> list[Line]:
         if text:
             dropped, article = any(d for _, d, _ in stack), any(a for _, _, a in stack)
             weight = 0 if dropped or (not article and linked * 2 > len(text)) else len(text)
-            out.append(Line(text, weight, article))
+            out.append(Line(text, weight, article, dropped))
         linked = breaks = 0
 
     at, n = 0, len(page)
@@ -176,13 +176,11 @@ def main_text(page: str | None) -> str:
     """The article's blocks joined by line feeds; empty if there is none."""
     if not page:
         return ""
-    found = lines(page)
+    found = [x for x in lines(page) if not x.dropped]  # removed lines make no gap in the text
     within = any(x.article and x.weight for x in found)
     weights = [x.weight if x.article or not within else 0 for x in found]
     parts = regions(weights, surge=1 if within else SURGE)
-    most = max((sum(weights[a:b]) for a, b in parts), default=0)
-    least = 0 if within else REGION_SHARE * most
-    return "\n".join(found[i].text for a, b in parts if sum(weights[a:b]) >= least for i in range(a, b) if weights[i])
+    return "\n".join(found[i].text for a, b in parts for i in range(a, b) if weights[i])
 
 
 def extract(pages: DataFrame) -> DataFrame:
