@@ -115,13 +115,16 @@ def _shard_of(cuts: list[str]) -> Column:
     return shard
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, slot_buckets: int = 1024) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, bucket_rows: int = 100_000) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row.
 
     size is the text's UTF-8 bytes plus 1, null texts count as empty.  Equal
     texts stay together, so one group larger than the rest fills a shard of its
-    own.  slot counts from 0 without gaps in each shard.  Repeated rows each
-    get a slot; a null doc_id stays null; no rows in, no rows out.
+    own.  slot counts from 0 without gaps in each shard: rows are numbered as
+    they are read, the numbers deal a shard's rows into buckets of about
+    ``bucket_rows``, and a bucket's rows follow those of the buckets before it.
+    So null and repeated ids spread like any other.  Repeated rows each get a
+    slot; a null doc_id stays null; no rows in, no rows out.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = cut(
@@ -130,21 +133,23 @@ def shard_documents(docs: DataFrame, shards: int = 16, slot_buckets: int = 1024)
             (F.octet_length(text).cast("long") + 1).alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.sha2(text, 256).alias("digest"),
+            F.monotonically_increasing_id().alias("number"),
         )
     )
     groups = cut(rows.groupBy("digest").agg(F.sum("size").alias("bytes")))
     _, cuts = minimax_cuts(groups, shards)
-    placed = rows.withColumn("shard", _shard_of(cuts)).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(slot_buckets)).cast("int"))
+    buckets = max(64, -(-rows.count() // bucket_rows))
+    placed = rows.withColumn("shard", _shard_of(cuts)).withColumn("bucket", F.pmod(F.xxhash64("number"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("shard", "bucket")
         .agg(F.count("*").alias("n"))
         .select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "digest")
+    within = Window.partitionBy("shard", "bucket").orderBy("number")
     return (
         placed.withColumn("rank", F.row_number().over(within))
-        .join(F.broadcast(offsets), ["shard", "bucket"])  # at most shards * slot_buckets rows
+        .join(offsets, ["shard", "bucket"])  # dealt by these columns already
         .select(
             "doc_id",
             "size",
