@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.sources.spread import spread
@@ -21,19 +23,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_told: set[str] = set()
+
+
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset, in local tests."""
+    """This application's own folder below the one that the cluster names in ``spark.checkpoint.dir``.
+
+    A temporary folder is used only where that is unset, in local tests.  The
+    folder goes when the driver ends.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local[") and context.master != "local":
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-"))
-    return context._jsc.sc().getCheckpointDir().get()
+    folder = context._jsc.sc().getCheckpointDir().get()
+    if folder not in _told:
+        _told.add(folder)
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        atexit.register(_remove, path.getFileSystem(context._jsc.hadoopConfiguration()), path)
+    return folder
+
+
+def _remove(fs, path) -> None:
+    """Best effort: the JVM may be gone by then."""
+    with contextlib.suppress(Exception):
+        fs.delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed; Spark removes the files when the frame is no longer used."""
+    """``df`` checkpointed in the shared folder."""
     _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -42,19 +62,15 @@ def store(df: DataFrame) -> DataFrame:
     """``df`` written as a compact table in the shared folder and read back.
 
     The table stands for the shuffles that made it, so Spark is told to remove
-    their files as soon as it is written.
+    their files as soon as it is written.  It is told so in a copy of the
+    session that runs this one job; the session itself stays as it is.
     """
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN_UP, None)
-    spark.conf.set(_CLEAN_UP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEAN_UP)
-        else:
-            spark.conf.set(_CLEAN_UP, before)
+    own = spark._jsparkSession.cloneSession()
+    own.conf().set(_CLEAN_UP, "true")
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own, df._jdf.queryExecution().logical())
+    rows.write().option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -97,3 +113,22 @@ def with_text(batch: pa.RecordBatch, new: list[str], lengths: str | None = "n_ch
 
 def id_and_text(docs: DataFrame) -> DataFrame:
     return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+
+
+def same_text(text: Column) -> Column:
+    """A mark that equal texts share; null is empty."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def keep_representatives(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``root`` of placed (doc_id, same, root); all columns stay.
+
+    It is the row with the least doc_id (rows without one come last), then the
+    least mark.  Rows with the same doc_id but other texts are told apart; of
+    rows with the same doc_id and text one stays, whatever their other columns.
+    """
+    named = lambda doc_id, same: F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), same)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "same")).alias("r")
+    kept = placed.groupBy("root").agg(first).select(named(F.col("r.doc_id"), F.col("r.same")).alias("_row_mark"))
+    marked = docs.withColumn("_row_mark", named(F.col("doc_id"), same_text(F.col("text"))))
+    return marked.join(kept, "_row_mark", "left_semi").dropDuplicates(["_row_mark"]).drop("_row_mark")

@@ -2,14 +2,14 @@
 
 Distinct fingerprints are compared in tiles with numpy exclusive-or and bit
 counts; a pair of tiles whose population counts differ beyond the radius is
-skipped.  Which rows meet in a tile is decided by agreeing bits: the 64 bits
+skipped.  This is so in every bucket, whatever its size.  Which rows meet in a tile is decided by agreeing bits: the 64 bits
 are cut into ``radius + 2`` blocks, so two fingerprints within the radius
 agree in at least two whole blocks and meet under that pair of blocks.  The
 comparison is exact, and its cost grows with the bucket sizes instead of with
 the square of the corpus.
 
-A bucket above ``tile_rows`` rows is dealt out again, by population count and a
-hash, into pairs of tiles that each make a task of bounded size.
+A bucket above ``tile_rows`` rows is split by the bits of the blocks that it
+doesn't name, and dealt by population count and hash only if that isn't enough.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import byte_texts, cut, id_and_text, map_batches
+from lodestone.llm import shingles
+from lodestone.llm.common import byte_texts, cut, id_and_text, keep_representatives, map_batches, same_text
 from lodestone.llm.components import connected_components
+from lodestone.llm.shingles import runs
 
-TILE = 1024
+TILE = 512
 
 
 def fingerprint(data: bytes, words: int = 3, seed: int = 42) -> int:
@@ -49,40 +51,47 @@ def fingerprint(data: bytes, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per document, fp the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 3, with_text_mark: bool = False) -> DataFrame:
+    """(doc_id, fp[, same]): one row per document, fp the fingerprint as a signed long, same the mark of its text."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(x, words) for x in byte_texts(batch)], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+        marks = [batch.column(2)] if with_text_mark else []
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *marks], names=["doc_id", "fp", "same"][: 2 + len(marks)])
 
-    return map_batches(id_and_text(docs), make, "doc_id long, fp long")
+    named = id_and_text(docs)
+    if with_text_mark:
+        return map_batches(named.withColumn("same", same_text(F.col("text"))), make, "doc_id long, fp long, same string")
+    return map_batches(named, make, "doc_id long, fp long")
 
 
-def close_pairs(left: np.ndarray, right: np.ndarray | None, radius: int, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within the radius, tile pair by tile pair.
+def close_pairs(fp: np.ndarray, bucket: np.ndarray, radius: int, side: np.ndarray | None = None, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius and of one bucket, tile pair by tile pair.
 
-    ``right`` None compares ``left`` with itself, each pair once.
+    ``bucket`` is sorted.  Rows are ordered by bucket and population count and
+    cut into tiles; two tiles are compared if they have a bucket in common and
+    population counts there that differ by no more than the radius.  With
+    ``side``, only rows of different sides make a pair.
     """
-    own = right is None
-    right = left if own else right
-    lc, rc = np.bitwise_count(left), np.bitwise_count(right)
-    lo, ro = np.argsort(lc, kind="stable"), np.argsort(rc, kind="stable")
-    for i in range(0, len(lo), tile):
-        a = lo[i : i + tile]
-        least, most = int(lc[a[0]]), int(lc[a[-1]])
-        for j in range(i if own else 0, len(ro), tile):
-            b = ro[j : j + tile]
-            if int(rc[b[0]]) - most > radius:
-                break
-            if least - int(rc[b[-1]]) > radius:
-                continue
-            near = np.bitwise_count(left[a][:, None] ^ right[b][None, :]) <= radius
-            if own and i == j:
+    counts = np.bitwise_count(fp)
+    order = np.lexsort((counts, bucket))
+    f, g, c = fp[order], bucket[order], counts[order]
+    s = None if side is None else side[order]
+    for i in range(0, len(f), tile):
+        last = min(i + tile, len(f)) - 1
+        a = slice(i, last + 1)
+        for j in range(i, len(f), tile):
+            if j > i and (g[j] != g[last] or int(c[j]) - int(c[last]) > radius):
+                break  # later tiles have later buckets, or larger counts of this one
+            b = slice(j, min(j + tile, len(f)))
+            near = (np.bitwise_count(f[a, None] ^ f[None, b]) <= radius) & (g[a, None] == g[None, b])
+            if s is not None:
+                near &= s[a, None] != s[None, b]
+            if i == j:
                 near = np.triu(near, 1)
             x, y = np.nonzero(near)
             if len(x):
-                yield a[x], b[y]
+                yield order[i + x], order[j + y]
 
 
 def _spanning(nodes: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,35 +113,15 @@ def _spanning(nodes: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]])
 
 
 def _link_groups(radius: int):
-    """mapInArrow body over rows (g1, g2, g3, side, fp) sorted by the group columns."""
-
-    def link(group: np.ndarray, side: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.concatenate([[0], np.nonzero(group[1:] != group[:-1])[0] + 1, [len(group)]])
-        sizes = np.diff(starts)
-        small = np.repeat(sizes <= 32, sizes)
-        g, f = group[small], fp[small]
-        at = np.arange(len(g))
-        step = 1
-        while True:  # rows at distance 1, 2, ... of the same group, for all small groups at once
-            at = at[at + step < len(g)]
-            at = at[g[at] == g[at + step]]
-            if not len(at):
-                break
-            near = at[np.bitwise_count(f[at] ^ f[at + step]) <= radius]
-            if len(near):
-                yield _links(f[near], f[near + step])
-            step += 1
-        for start, size in zip(starts[:-1][sizes > 32], sizes[sizes > 32]):
-            own = fp[start : start + size]
-            left, right = own[side[start : start + size] == 0], own[side[start : start + size] == 1]
-            if len(right):
-                n = len(left)
-                pairs = ((x, y + n) for x, y in close_pairs(left, right, radius))
-                a, b = _spanning(np.concatenate([left, right]), pairs)
-            else:
-                a, b = _spanning(left, close_pairs(left, None, radius))
-            if len(a):
-                yield _links(a, b)
+    """mapInArrow body over rows (g1, g2, g3, g4, side, fp) sorted by the group columns; side is -1 where a bucket has none."""
+
+    def link(bucket: np.ndarray, side: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for own in (side < 0, side >= 0):
+            if own.any():
+                sides = side[own] if side[own][0] >= 0 else None
+                a, b = _spanning(fp[own], close_pairs(fp[own], bucket[own], radius, sides))
+                if len(a):
+                    yield _links(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -141,71 +130,83 @@ def _link_groups(radius: int):
                 continue
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             kept = [np.concatenate([k, c]) for k, c in zip(kept, columns)] if kept else columns
-            ids = _runs(kept[:3])
+            ids = runs(kept[:4])
             last = np.searchsorted(ids, ids[-1])
             if last:
-                yield from link(ids[:last], kept[3][:last], kept[4][:last].view(np.uint64))
+                yield from link(ids[:last], kept[4][:last], kept[5][:last].view(np.uint64))
                 kept = [k[last:] for k in kept]
         if kept:
-            yield from link(_runs(kept[:3]), kept[3], kept[4].view(np.uint64))
+            yield from link(runs(kept[:4]), kept[4], kept[5].view(np.uint64))
 
     return run
 
 
-def _runs(columns: list[np.ndarray]) -> np.ndarray:
-    new = np.zeros(len(columns[0]), dtype=np.int64)
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    return np.cumsum(new)
-
-
 def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
 
-def _block_keys(radius: int) -> list:
+def _blocks(radius: int) -> list[tuple[Column, int]]:
+    """The bits of each of ``radius + 2`` blocks, with the block's width."""
+    edges = [64 * i // (radius + 2) for i in range(radius + 3)]
+    return [(F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)), hi - lo) for lo, hi in zip(edges, edges[1:])]
+
+
+def _block_keys(radius: int) -> list[Column]:
     """One key per pair of blocks: the pair's number above the bits of both blocks."""
-    blocks = radius + 2
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    part = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:])]
-    width = [hi - lo for lo, hi in zip(edges, edges[1:])]
-    return [
-        (F.shiftleft(part[i], width[j]) + part[j]).bitwiseOR(F.lit(n << 56)) for n, (i, j) in enumerate(combinations(range(blocks), 2))
-    ]
+    pairs = enumerate(combinations(_blocks(radius), 2))
+    return [(F.shiftleft(a, width) + b).bitwiseOR(F.lit(n << 56)) for n, ((a, _), (b, width)) in pairs]
+
+
+def _finer_keys(radius: int) -> Column:
+    """Keys that split the bucket of a pair of blocks by the bits of the others.
+
+    ``radius`` blocks are left.  Two fingerprints within the radius either agree
+    in one of them, or differ by one bit in each: then they agree in the first
+    one with that bit left out.
+    """
+    own = None
+    for n, pair in enumerate(combinations(range(radius + 2), 2)):
+        rest = [x for i, x in enumerate(_blocks(radius)) if i not in pair]
+        tagged = [part.bitwiseOR(F.lit((i + 1) << 40)) for i, (part, _) in enumerate(rest)]
+        first, width = rest[0]
+        tagged += [first.bitwiseAND(F.lit(~(1 << k))).bitwiseOR(F.lit((radius + 1 + k) << 40)) for k in range(width)]
+        chosen = F.shiftrightunsigned("key", 56) == n
+        own = F.when(chosen, F.array(*tagged)) if own is None else own.when(chosen, F.array(*tagged))
+    return own
 
 
 def near_links(prints: DataFrame, radius: int = 3, tile_rows: int = 16384) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (a, b) that join all pairs within the radius."""
+    """Distinct fingerprints (fp) -> links (a, b) that join all pairs within the radius.
+
+    A bucket above ``tile_rows`` rows is split by the bits of the remaining
+    blocks; what is still above it then, by population count and hash, into
+    pairs of tiles.
+    """
+    none = F.lit(0).cast("long")
     keyed = prints.select("fp", F.explode(F.array(*_block_keys(radius))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = keyed.join(shared, "key")
-    # A bucket above the bound: pairs of tiles by population count and hash.
+    whole = met.filter(F.col("n") <= tile_rows).select(F.col("key").alias("g1"), none.alias("g2"), none.alias("g3"), none.alias("g4"), F.lit(-1).alias("side"), "fp")
+    finer = met.filter(F.col("n") > tile_rows).select("key", "fp", F.explode(_finer_keys(radius)).alias("sub"))
+    many = finer.groupBy("key", "sub").agg(F.count("*").alias("n")).filter("n > 1")
+    finer = finer.join(many, ["key", "sub"])
+    split = finer.filter(F.col("n") <= tile_rows).select(
+        F.col("key").alias("g1"), F.col("sub").alias("g2"), none.alias("g3"), none.alias("g4"), F.lit(-1).alias("side"), "fp"
+    )
+    number = lambda count, part: count.cast("long") * F.lit(1 << 20) + part
     tiles = F.ceil(F.col("n") / tile_rows).cast("int")
-    number = lambda count, sub: count * F.lit(1 << 20) + sub
-    own = number(F.bit_count("fp"), F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    own = number(F.bit_count("fp"), F.pmod(F.xxhash64("fp"), F.col("tiles")))
     others = F.flatten(
         F.transform(
             F.sequence(F.greatest(F.lit(0), F.bit_count("fp") - radius), F.least(F.lit(64), F.bit_count("fp") + radius)),
             lambda p: F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: number(p, t)),
         )
     )
-    spread = (
-        met.filter(F.col("n") > tile_rows)
-        .withColumn("tiles", tiles)
-        .select("key", "fp", own.alias("own"), F.explode(others).alias("other"))
-        .select(
-            F.col("key").alias("g1"),
-            F.least("own", "other").alias("g2"),
-            F.greatest("own", "other").alias("g3"),
-            (F.col("own") > F.col("other")).cast("int").alias("side"),
-            "fp",
-        )
-    )
-    whole = met.filter(F.col("n") <= tile_rows).select(
-        F.col("key").alias("g1"), F.lit(0).alias("g2"), F.lit(0).alias("g3"), F.lit(0).alias("side"), "fp"
-    )
-    groups = whole.unionByName(spread)
-    dealt = groups.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3")
+    large = finer.filter(F.col("n") > tile_rows).withColumn("tiles", tiles).select("key", "sub", "fp", own.alias("own"), F.explode(others).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
+    spread = large.select(F.col("key").alias("g1"), F.col("sub").alias("g2"), F.least("own", "other").alias("g3"), F.greatest("own", "other").alias("g4"), side.alias("side"), "fp")
+    groups = ["g1", "g2", "g3", "g4"]
+    dealt = whole.unionByName(split).unionByName(spread).repartition(*groups).sortWithinPartitions(*groups)
     return dealt.mapInArrow(_link_groups(radius), "a long, b long")
 
 
@@ -220,21 +221,36 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFra
     """
     ids = cut(fingerprints(docs, words))
     prints = cut(ids.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(near_links(prints.select("fp"), radius))
-    placed = prints.join(roots, prints["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    placed = _rooted(prints, radius)
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = placed.join(named, "root").select("fp", "component_id")
     return ids.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """Distinct fingerprints with ``root``, the mark of their component."""
+    roots = connected_components(near_links(prints.select("fp"), radius))
+    return prints.join(roots, prints["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def keep_one(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id stands for its group; all columns stay.
+    """One row of each group of near duplicates, by fingerprints within the radius; all columns stay.
+
+    Rows are judged by their texts: see ``common.keep_representatives``.  For
+    groups by similarity of five-word shingles see ``keep_similar``.
+    """
+    ids = cut(fingerprints(docs, words, with_text_mark=True))
+    rooted = _rooted(cut(ids.select("fp").distinct()), radius)
+    return keep_representatives(docs, ids.join(rooted, "fp").select("doc_id", "same", "root"))
+
+
+def keep_similar(docs: DataFrame) -> DataFrame:
+    """One row of each group of near duplicates, by five-word similarity of 0.8 or more; all columns stay.
 
-    Rows that share a doc_id are one document and stay or go together; rows
-    without a doc_id can't be named and stay.
+    Texts that similar differ in about ten of 64 fingerprint bits, a radius at
+    which no bit blocks agree often enough to be dealt by, so that fingerprints
+    would lose links.  The sets themselves are compared instead (``shingles``),
+    as fingerprints are here: in tiles, by exclusive-or and bit counts of
+    1,024-bit maps, and verified.  No link is lost.
     """
-    found = near_duplicates(docs, radius, words)
-    goes = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(goes, "doc_id", "left_anti")
+    return shingles.keep_one(docs)

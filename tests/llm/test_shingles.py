@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline as cp
 from lodestone.llm import shingles
 
@@ -48,11 +51,36 @@ def test_stage_on_the_test_data(spark):
 
 
 def test_large_groups_meet_in_tiles(monkeypatch):
-    import numpy as np
-    import pyarrow as pa
-
     monkeypatch.setattr(shingles, "TILE", 7)
-    n = np.full(50, 20)
-    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(50, int)), pa.array(np.arange(50)), pa.array(n), pa.array(n * 0)], names=["key", "digest", "n", "place"])
-    found = [p for b in shingles._candidates(iter([batch])) for p in zip(*(c.to_pylist() for c in b.columns))]
-    assert sorted(found) == [(i, j) for i in range(50) for j in range(i + 1, 50)]
+    zero = pa.array(np.zeros(50, int))
+    bits = pa.array([bytes(128)] * 50, pa.binary())
+    root = np.arange(50) // 5 * 5  # five sets each are linked already
+    columns = [zero, zero, zero, pa.array(np.full(50, -1)), pa.array(np.arange(50)), pa.array(root), pa.array(np.full(50, 20)), zero, bits]
+    batch = pa.RecordBatch.from_arrays(columns, names=["key", "g", "h", "side", "digest", "root", "n", "place", "bits"])
+    found = [p for b in shingles._cross_pairs(iter([batch])) for p in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(found) == [(i, j) for i in range(50) for j in range(i + 1, 50) if i // 5 != j // 5]
+
+
+def test_a_large_group_is_dealt_and_not_paired_out(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(500)]
+    base = rng.choices(words, k=80)
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        rows.append((i, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = shingles._signatures(docs, np.zeros(0, np.int64)).cache()
+    prints = ids.selectExpr("digest", "doc_id AS least", "n", "prefix", "bits").dropDuplicates(["digest"]).cache()
+    links = shingles.similar_links(docs, prints, tile_rows=16)
+    of = {r["digest"]: r["doc_id"] for r in ids.collect()}
+    pairs = [(of[r["a"]], of[r["b"]]) for r in links.collect()]
+    assert len(pairs) < 150 * 12
+    least = dict.fromkeys(of.values())
+    least = {d: d for d in least}
+    for _ in range(200):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    assert set(least.values()) == kept(rows)
