@@ -1,16 +1,22 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into one line per block.  Lines of menus, headers, footers,
-sidebars, notices, adverts, forms and comments weigh nothing, every other line
-weighs its text length.  Lengths are summed over a sliding window of lines; the
-text begins where the sums surge and ends where they dive to nothing, and the
-weighing lines between these points are kept.
+sidebars, notices, adverts, forms and comments are taken out; of the others,
+lines that are mostly links weigh nothing and the rest weighs its text length.
+Lengths are summed over a sliding window of lines: the text begins where the
+sums surge and ends where they dive to nothing, and the lines between these
+points are kept.
+
+An ``<article>`` element is a weight, not a switch: its lines weigh even where
+they are links, and its lines and those outside of any article are weighed
+apart.  The heavier side is searched for the text, by the same windows.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +26,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 80
+#: A line that never surges is still text if it has so many words or ends like a sentence.
+SENTENCE_WORDS = 6
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"""
@@ -47,21 +55,42 @@ MARKS = frozenset(
     "replies share sharing social related recommended footer masthead pagination pager toolbar widget login search copyright disclaimer "
     "sitenav topbar header".split()
 )
-ARTICLE = frozenset({"article", "main"})
+#: Words that may stand beside a mark in one name without changing what it says.
+BESIDE = frozenset(
+    "site page main top bottom left right box bar block blocks container wrapper wrap section list inner outer area item items unit slot post posts user "
+    "users reader readers links link buttons button icons icon form panel col column row content global primary secondary small large mobile desktop "
+    "the on of by js widget widgets".split()
+)
+#: Names of elements that hold the text, whatever else they are called.
+HOLDERS = frozenset("content article entry story text body articlebody entry-content post-content article-body article-content main-content story-body".split())
+_SAYS_NOTICE = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.IGNORECASE)
 
 
 @dataclass
 class Line:
     text: str
-    weight: int
-    article: bool
+    linked: int  # characters within links
+    article: int  # number of the outermost article element, 0 outside of any
     dropped: bool = False
+    title: bool = False
+
+    @property
+    def weight(self) -> int:
+        """The text's length; nothing for lines outside of articles that are mostly links."""
+        return 0 if not self.article and self.linked * 2 > len(self.text) else len(self.text)
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
 
 
+def _is_marked(name: str, in_article: bool) -> bool:
+    """A class name or id says that this isn't text: it holds a mark, and no word that says something else."""
+    words = {w for w in _NAME.findall(name) if not w.isdigit()}
+    marks = words & MARKS
+    return bool(marks) and words <= MARKS | BESIDE and (marks != {"header"} or not in_article)
+
+
 def _is_dropped(tag: str, raw: str, in_article: bool) -> bool:
     if tag in DROPPED or (tag == "header" and not in_article):
         return True
@@ -72,29 +101,33 @@ def _is_dropped(tag: str, raw: str, in_article: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none", attrs.get("style", "").lower()):
         return True
-    names = set(_NAME.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
-    marks = names & MARKS
-    return bool(marks - {"header"}) or ("header" in marks and not in_article)
+    names = [*attrs.get("class", "").lower().split(), attrs.get("id", "").lower()]
+    return not HOLDERS & set(names) and any(_is_marked(n, in_article) for n in names)
 
 
 def lines(page: str) -> list[Line]:
     """One line per block with text, in page order."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, article
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, whether it or one around it is dropped, within article or main, article
+    opened: Counter = Counter()
+    articles = 0
     pieces: list[str] = []
     linked, in_link, breaks = 0, 0, 0
-    skip = ""
 
     def flush() -> None:
         nonlocal linked, breaks
         text = " ".join("".join(pieces).split())
         pieces.clear()
         if text:
-            dropped, article = any(d for _, d, _ in stack), any(a for _, _, a in stack)
-            weight = 0 if dropped or (not article and linked * 2 > len(text)) else len(text)
-            out.append(Line(text, weight, article, dropped))
+            top = stack[-1] if stack else ("", False, False, 0)
+            out.append(Line(text, linked, top[3], top[1], top[0] == "h1"))
         linked = breaks = 0
 
+    def close(to: int) -> None:
+        for tag, *_ in stack[to:]:
+            opened[tag] -= 1
+        del stack[to:]
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at) or _LOOSE.match(page, at)
@@ -118,16 +151,16 @@ def lines(page: str) -> list[Line]:
                 in_link = max(0, in_link - 1)
             if tag in BLOCKS:
                 flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                if opened[tag]:
+                    to = len(stack) - 1
+                    while stack[to][0] != tag:
+                        to -= 1
+                    close(to)
             continue
         if tag in RAW:
             if m["attrs"].rstrip().endswith("/"):
                 continue
-            skip = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE)
-            end = skip.search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else n
             continue
         if tag == "br":
@@ -142,12 +175,18 @@ def lines(page: str) -> list[Line]:
         if tag in BLOCKS:
             flush()
             if stack and stack[-1][0] == "p":
-                stack.pop()
+                close(len(stack) - 1)
             if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-                stack.pop()
+                close(len(stack) - 1)
             if tag not in VOID:
-                in_article = tag in ARTICLE or any(a for _, _, a in stack) or 'itemprop="articlebody"' in m["attrs"].lower()
-                stack.append((tag, _is_dropped(tag, m["attrs"], in_article), in_article))
+                _, dropped, within, article = stack[-1] if stack else ("", False, False, 0)
+                own = tag == "article" or 'itemprop="articlebody"' in m["attrs"].lower()
+                if own and not article:
+                    articles += 1
+                    article = articles
+                within = within or own or tag == "main"
+                stack.append((tag, dropped or _is_dropped(tag, m["attrs"], within), within, article))
+                opened[tag] += 1
     flush()
     return out
 
@@ -172,15 +211,43 @@ def regions(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> lis
     return out
 
 
+def _heaviest(found: list[Line]) -> list[Line]:
+    """The lines outside of articles, or those of the articles, whichever hold the largest body of text.
+
+    Where that is an article, the others count too.
+    """
+    total: Counter = Counter()
+    for x in found:
+        total[x.article] += x.weight
+    if not total:
+        return []
+    best = max(total, key=lambda k: (total[k], k))
+    return [x for x in found if bool(x.article) == bool(best)]
+
+
+def _reads_as_text(line: Line) -> bool:
+    return (line.title or len(line.text.split()) >= SENTENCE_WORDS or line.text[-1] in ".!?…:\"”»") and not _SAYS_NOTICE.match(line.text)
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks joined by line feeds; empty if there is none."""
     if not page:
         return ""
-    found = [x for x in lines(page) if not x.dropped]  # removed lines make no gap in the text
-    within = any(x.article and x.weight for x in found)
-    weights = [x.weight if x.article or not within else 0 for x in found]
-    parts = regions(weights, surge=1 if within else SURGE)
-    return "\n".join(found[i].text for a, b in parts for i in range(a, b) if weights[i])
+    own = _heaviest([x for x in lines(page) if not x.dropped])  # removed lines make no gap in the text
+    weights = [x.weight for x in own]
+    inside = [False] * len(own)
+    for a, b in regions(weights):
+        inside[a:b] = [True] * (b - a)
+    kept = []
+    for i, x in enumerate(own):
+        if inside[i]:  # a single line of links belongs to the text around it, a list of them doesn't
+            alone = 0 < i < len(own) - 1 and weights[i - 1] and weights[i + 1] and inside[i - 1] and inside[i + 1]
+            keep = bool(weights[i]) or alone
+        else:  # a paragraph behind an inserted list, or a title before one
+            keep = bool(weights[i]) and any(inside) and _reads_as_text(x)
+        if keep:
+            kept.append(x.text)
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
