@@ -5,7 +5,12 @@ Licenses and notices are templates whose markup tells optional regions
 (``<<var;max=N>>``: up to N words; ``<<alt;a b|c>>``: one of the wordings) from
 mandatory wording.  A template compiles into a token automaton; a text is
 accepted where its words take the automaton to its end, so that the mandatory
-wording matches exactly.  Fixed base phrases are found beside that.
+wording matches exactly.  Of templates that are accepted from the same word on,
+the longest tells the license.  A short notice behind a denial ("not licensed
+under ...") is none.  Fixed base phrases are found beside that.
+
+The templates are in ``license_texts``: full texts, notices, and the families
+and tags that are built by rule.
 """
 
 from __future__ import annotations
@@ -19,47 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.llm.common import byte_texts, id_and_text
+from lodestone.llm.license_texts import templates
 
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label -> templates, as text.
-TEMPLATES: dict[str, list[str]] = {
-    "mit": [
-        "<<alt;released|licensed|distributed|available>> under the <<beginOptional>>terms of the<<endOptional>> MIT license",
-        """Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;max=12>> (the "Software"), to deal in the
-        Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
-        and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following
-        conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall
-        be included in all copies or substantial portions of the Software.""",
-    ],
-    "apache-2.0": [
-        """licensed under the Apache License, <<beginOptional>>Version<<endOptional>> 2.0
-        <<beginOptional>>(the "License"); you may not use this file except in compliance with the License<<endOptional>>""",
-        "SPDX-License-Identifier: Apache-2.0",
-    ],
-    "gpl-2.0": [
-        "licensed under the <<beginOptional>>terms of the<<endOptional>> GNU General Public License <<alt;version 2|v2>>",
-        "terms of the GNU General Public License as published by the Free Software Foundation; <<beginOptional>>either<<endOptional>> version 2",
-    ],
-    "gpl-3.0": [
-        "licensed under the <<beginOptional>>terms of the<<endOptional>> GNU General Public License <<alt;version 3|v3>>",
-        "terms of the GNU General Public License as published by the Free Software Foundation, <<beginOptional>>either<<endOptional>> version 3",
-    ],
-    "bsd": [
-        """Redistribution and use in source and binary forms, with or without modification, are permitted
-        <<beginOptional>>(subject to the limitations in the disclaimer below)<<endOptional>> provided that the following conditions are met""",
-    ],
-    "isc": [
-        """Permission to use, copy, modify, <<alt;and/or|and>> distribute this software for any purpose with or without fee is hereby granted,
-        provided that the above copyright notice and this permission notice appear in all copies""",
-    ],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-    "cc-by-4.0": ["licensed under <<beginOptional>>a<<endOptional>> <<alt;CC BY|Creative Commons Attribution>> 4.0"],
-    "cc-by-sa-4.0": ["licensed under <<beginOptional>>a<<endOptional>> <<alt;CC BY-SA|Creative Commons Attribution-ShareAlike>> 4.0"],
-    "cc-by-nc-4.0": ["licensed under <<beginOptional>>a<<endOptional>> <<alt;CC BY-NC|Creative Commons Attribution-NonCommercial>> 4.0"],
-    "cc-by-nd-4.0": ["licensed under <<beginOptional>>a<<endOptional>> <<alt;CC BY-ND|Creative Commons Attribution-NoDerivatives>> 4.0"],
-}
+#: A grant behind one of these words, up to NEAR words before it, isn't one (fixed values).
+DENIALS = frozenset(b"not never nor isn aren wasn cannot without neither no".split())
+NEAR = 3
+SHORT = 20
 
 #: Separators become blanks, A-Z small letters, all else stays: words of digits, letters and bytes from 0x80.
 _TABLE = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -184,8 +157,43 @@ class Found:
 
 
 @lru_cache(maxsize=1)
-def automata() -> list[tuple[str, Automaton]]:
-    return [(label, compile_template(t)) for label, texts in TEMPLATES.items() for t in texts]
+def automata() -> list[tuple[bytes, list[tuple[str, Automaton, frozenset[bytes]]]]]:
+    """(gate, [(label, automaton, words it may begin with)]): all are looked for only where their gate, a word of the lead, stands."""
+    by_gate: dict[bytes, list[tuple[str, Automaton, frozenset[bytes]]]] = {}
+    for label, text in templates():
+        own = compile_template(text)
+        firsts = frozenset(w for s in own.close({0}) for w in own.steps[s])
+        gate = max(own.lead.split(), key=lambda w: (len(w), w))
+        by_gate.setdefault(b" " + gate + b" ", []).append((label, own, firsts))
+    return list(by_gate.items())
+
+
+def _accepted(words: list[bytes], joined: bytes) -> list[tuple[str, int, int]]:
+    """(label, first word, end word) of accepted templates, the longest from each first word."""
+    where: dict[bytes, list[int]] = {}
+    best: dict[int, tuple[int, set[str]]] = {}
+    for gate, group in automata():
+        if gate not in joined:
+            continue
+        for label, own, firsts in group:
+            if own.lead not in joined:
+                continue
+            if not where:
+                for i, w in enumerate(words):
+                    where.setdefault(w, []).append(i)
+            done = 0
+            for i in sorted(i for w in firsts for i in where.get(w, ())):
+                if i < done or (end := own.accepts_at(words, i)) is None:
+                    continue
+                done = end
+                if end - i < SHORT and DENIALS.intersection(words[max(0, i - NEAR) : i]):
+                    continue
+                known = best.get(i, (0, set()))
+                if end > known[0]:
+                    best[i] = (end, {label})
+                elif end == known[0]:
+                    known[1].add(label)
+    return sorted((label, i, end) for i, (end, labels) in best.items() for label in labels)
 
 
 def scan(data: bytes) -> Found:
@@ -201,18 +209,7 @@ def scan(data: bytes) -> Found:
             seen = at
             places.append((word, label))
             at = joined.find(key, at + 1)
-    accepted = []
-    for label, own in automata():
-        if own.lead in joined:
-            done = 0
-            firsts = set(own.steps[0])
-            for s in own.close({0}):
-                firsts |= set(own.steps[s])
-            for i, w in enumerate(words):
-                if i >= done and w in firsts and (end := own.accepts_at(words, i)) is not None:
-                    accepted.append((label, i, end))
-                    done = end
-    return Found(len(words), sorted(places), accepted)
+    return Found(len(words), sorted(places), _accepted(words, joined))
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
