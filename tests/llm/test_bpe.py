@@ -27,9 +27,15 @@ def test_same_ids_as_the_library():
 
 def test_cuts_are_never_merged_over():
     own = bpe.codec(bpe.read_spec(PATH))
-    word = "".join(own.letters[b] for b in "zq\x07éx~~Qj".encode())
-    parts = list(own.fragments(word))
-    assert "".join(parts) == word and len(parts) > 1
+    word = "zq\x07éx~~Qj".encode()
+    parts = own.fragments(word)
+    assert b"".join(parts) == word and len(parts) > 1
+    lib = Tokenizer.from_file(PATH).model
+    rng = random.Random(1)
+    words = [bytes(rng.choices([*range(32, 127), 0xC3, 0xA9, 7], k=rng.randint(1, 70))) for _ in range(500)] + [b"aaaaaaa", b"ab" * 60]
+    want = [[t.id for t in lib.tokenize("".join(own.letters[b] for b in w))] for w in words]
+    assert own.merged(words) == want  # cut or not, the ids are the same
+    assert [[i for part in own.fragments(w) for i in own._merged_long(part)] for w in words] == want
 
 
 def test_query(spark):
