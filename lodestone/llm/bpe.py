@@ -207,10 +207,9 @@ class Codec:
         yield from self._told(held, fresh)
 
     def _told(self, held: list[list[str | int]], fresh: set[str]) -> Iterator[list[Piece]]:
-        every = self.known
-        every = every | self.learn(fresh) if fresh else every
+        known, found = self.known.get, self.learn(fresh)  # learning may start a new table
         for own in held:
-            yield [every[w] for w in own]
+            yield [known(w) or found[w] for w in own]
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for own in self.encoded([text]) for ids, _, _ in own for i in ids.split(",")]
