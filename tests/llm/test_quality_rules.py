@@ -33,7 +33,7 @@ def test_same_as_sql_and_host_verdict(spark, tmp_path):
     assert not out[(2000, 12)]["kept"] and not out[(2000, 12)]["base_failed"]
     assert all(out[(100 + i, 12)]["kept"] for i in range(400))
     verdicts = {r["host"]: r for r in qr.host_verdicts(qr.measured(docs)).collect()}
-    assert verdicts["bad"]["rejected"] and verdicts["tiny"]["shrunk"] < 1
+    assert verdicts["bad"]["rejected"] and verdicts["tiny"]["rate_few_words"] < 1
     docs.write.parquet(f"{tmp_path}/d")
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
