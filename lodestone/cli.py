@@ -2,13 +2,15 @@
 
     python -m lodestone.cli ingest --docs DIR --index DIR --collection NAME [--fresh]
     python -m lodestone.cli retrieve --index DIR --collection NAME [--k N] QUESTION
-    python -m lodestone.cli ask --index DIR --collection NAME --llm NAME QUESTION
+    python -m lodestone.cli ask --index DIR --collection NAME --llm NAME [--llm-url URL --llm-model MODEL --llm-key-env NAME] QUESTION
 """
 
 from __future__ import annotations
 
 import argparse
+import functools
 import json
+import os
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +60,10 @@ def run_ask(spark: SparkSession, a: argparse.Namespace) -> dict:
     chunks, hits = find(spark, a)
     questions = spark.createDataFrame([(1, a.question)], "query_id int, question string")
     collection = Collection(a.collection, language=a.language, citation=a.citation)
-    return answer.ask(questions, hits, chunks, collection, lambda: llm_transport(a.llm)).first().asDict(recursive=True)
+    options = {"url": a.llm_url, "model": a.llm_model, "key": os.environ.get(a.llm_key_env, "") if a.llm_key_env else None}
+    make = functools.partial(llm_transport, a.llm, **{k: v for k, v in options.items() if v is not None})
+    make()  # what is missing shows before anything runs
+    return answer.ask(questions, hits, chunks, collection, make).first().asDict(recursive=True)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -79,6 +84,9 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--k", type=int, default=DEFAULT.rerank_candidates)
             c.add_argument("question")
     sub.choices["ask"].add_argument("--llm", required=True)
+    sub.choices["ask"].add_argument("--llm-url")
+    sub.choices["ask"].add_argument("--llm-model")
+    sub.choices["ask"].add_argument("--llm-key-env", help="name of the variable that holds the key")
     return p
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.config import DEFAULT, Settings
 from lodestone.functions.text import cites, codes_claimed, is_refusal, normalise_quote, quoted_spans, refusal_remainder, trim_all
 from lodestone.operators import clarify, rerank
-from lodestone.operators.query_prep import replies
+from lodestone.operators.query_prep import EVENTS, replies
 from lodestone.operators.retrieve import chunks_per_doc, confident, neighbours, parent_context, parent_vote
 from lodestone.operators.transports import LlmTransport
 from lodestone.sources.collections import Collection
@@ -188,21 +188,38 @@ def sources(answers: DataFrame, hits: DataFrame, passages: DataFrame, citation:
     return out
 
 
-def _checked_refusals(questions: DataFrame, answers: DataFrame, own: DataFrame, make: Callable[[], LlmTransport]) -> DataFrame:
-    """Sources without those of refusals that a model doesn't find to answer after all."""
+def _refusal_checks(questions: DataFrame, answers: DataFrame, own: DataFrame, make: Callable[[], LlmTransport]) -> DataFrame:
+    """(query_id, reply) for refusals that name sources: does the text answer after all?"""
     refused = answers.filter(is_refusal(F.col("text"))).join(own.select("query_id").distinct(), "query_id", "left_semi")
     rows = refused.select("query_id", "text").join(questions.select("query_id", "question"), "query_id")
     user = F.concat(F.lit("Question: "), F.col("question"), F.lit("\n\nText:\n"), quote_check_prompt(F.col("text")))
-    told = replies(rows, F.lit(QUOTE_CHECK), user, make, stage="quote-check")
+    return replies(rows, F.lit(QUOTE_CHECK), user, make, stage="quote-check").select("query_id", "reply")
+
+
+def _checked_sources(own: DataFrame, told: DataFrame) -> DataFrame:
+    """Sources without those of refusals that a model doesn't find to answer after all."""
     dropped = told.filter(F.coalesce(quote_check_verdict(F.col("reply.text")), F.lit("failed")) != "answers").select("query_id")
     return own.join(dropped, "query_id", "left_anti")
 
 
+def _usage(calls: list[DataFrame]) -> DataFrame:
+    """(query_id, input_tokens, output_tokens, wait_ms, rejected_ms, call_events) over all model calls of a query."""
+    rows = calls[0].select("query_id", "reply")
+    for c in calls[1:]:
+        rows = rows.unionByName(c.select("query_id", "reply"))
+    events = F.flatten(F.collect_list("reply.events"))
+    spent = lambda kind: F.aggregate(F.filter("call_events", lambda e: e["kind"] == kind), F.lit(0).cast("long"), lambda s, e: s + e["ms"])
+    total = rows.groupBy("query_id").agg(F.sum("reply.input_tokens").alias("input_tokens"), F.sum("reply.output_tokens").alias("output_tokens"), events.alias("call_events"))
+    return total.withColumn("wait_ms", spent("wait")).withColumn("rejected_ms", spent("rejected"))
+
+
 def ask(questions: DataFrame, hits: DataFrame, chunks: DataFrame, collection: Collection, make: Callable[[], LlmTransport], settings: Settings = DEFAULT) -> DataFrame:
     """Questions (query_id, question[, topic_codes]) and their hits to checked answers, one row each.
 
     Gate and clarification read the hits before votes and reranking; questions
-    that stop there never reach the model.
+    that stop there never reach the model.  Every model call of a question is
+    made once (see ``replies``); tokens, cost, waits and events are those of all
+    its calls, reranking and checks included.
     """
     threshold = F.lit(settings.min_score.get(collection.language, settings.min_score["he"]))
     chosen = F.coalesce(F.size("topic_codes") > 0, F.lit(False)) if "topic_codes" in questions.columns else F.lit(False)
@@ -223,17 +240,24 @@ def ask(questions: DataFrame, hits: DataFrame, chunks: DataFrame, collection: Co
     live = hits.join(going.select("query_id"), "query_id", "left_semi")
     if settings.parent_vote:
         live = parent_vote(live, chunks_per_doc(chunks), settings).drop("applied")
-    ranked = rerank.rerank(going, live, make, settings) if settings.rerank else live.withColumn("reranked", F.lit(False)).withColumn("rerank_reason", F.lit("off"))
+    calls = []
+    if settings.rerank:
+        calls.append(rerank.asked(going, live, make, settings))
+        ranked = rerank.ordered(live, calls[-1], settings)
+    else:
+        ranked = live.withColumn("reranked", F.lit(False)).withColumn("rerank_reason", F.lit("off"))
     detail = chunks.select("collection", "id", "title", "keywords", "doctype")
     if settings.parent_context:
         passages = parent_context(ranked, chunks, settings).drop("title").join(detail, ["collection", "id"], "left")
     else:
         passages = neighbours(ranked, chunks, settings.neighbour_radius).join(detail, ["collection", "id"], "left")
-    told = replies(user_messages(going, passages, collection.citation), F.lit(system_prompt(collection, settings)), F.col("message"), make)
-    answers = told.select("query_id", F.col("reply.text").alias("text"), F.col("reply.error").alias("error"), F.col("reply.input_tokens").alias("input_tokens"), F.col("reply.output_tokens").alias("output_tokens"), truncated(F.col("reply.stop_reason")).alias("truncated"))
+    told = replies(user_messages(going, passages, collection.citation), F.lit(system_prompt(collection, settings)), F.col("message"), make, attempts=settings.generate_attempts)
+    calls.append(told)
+    answers = told.select("query_id", F.col("reply.text").alias("text"), F.col("reply.error").alias("error"), "reply.first_token_ms", "reply.total_ms", truncated(F.col("reply.stop_reason")).alias("truncated"))
     own = sources(answers, ranked, passages, collection.citation, settings)
     if settings.refusal_quote_check:
-        own = _checked_refusals(going, answers, own, make)
+        calls.append(_refusal_checks(going, answers, own, make))
+        own = _checked_sources(own, calls[-1])
     listed = own.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code", "title", "score"))), lambda h: F.struct(h["code"].alias("code"), h["title"].alias("title"), h["score"].alias("score"))).alias("sources"))
     doubtful = unverified_codes(answers, passages, settings.unverified_allows_passages).groupBy("query_id").agg(F.array_sort(F.collect_list("code")).alias("unverified"))
     order = ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda h: h["code"]).alias("ranked"), F.max("reranked").alias("reranked"), F.max("rerank_reason").alias("rerank_reason"))
@@ -243,7 +267,7 @@ def ask(questions: DataFrame, hits: DataFrame, chunks: DataFrame, collection: Co
         no = answers.filter(is_refusal(F.col("text")) | (trim_all(F.col("text")) == "")).join(several, "query_id", "left_semi")
         asks = asks.unionByName(going.join(no.select("query_id"), "query_id", "left_semi").select("query_id", "question"))
     record = clarify.clarification(asks, found)
-    out = gate.join(answers, "query_id", "left").join(listed, "query_id", "left").join(doubtful, "query_id", "left").join(order, "query_id", "left").join(retrieved, "query_id", "left").join(record, "query_id", "left")
+    out = gate.join(answers, "query_id", "left").join(_usage(calls), "query_id", "left").join(listed, "query_id", "left").join(doubtful, "query_id", "left").join(order, "query_id", "left").join(retrieved, "query_id", "left").join(record, "query_id", "left")
     text = F.when(F.col("state") == "gate", REFUSAL_TEXT).when(F.col("state") == "clarify", CLARIFY_TEXT).otherwise(F.col("text"))
     answered = (F.col("state") == "go") & (trim_all(F.coalesce("text", F.lit(""))) != "") & ~is_refusal(F.coalesce("text", F.lit("")))
     return out.select(
@@ -264,10 +288,20 @@ def ask(questions: DataFrame, hits: DataFrame, chunks: DataFrame, collection: Co
         F.coalesce("input_tokens", F.lit(0)).alias("input_tokens"),
         F.coalesce("output_tokens", F.lit(0)).alias("output_tokens"),
         cost(F.coalesce("input_tokens", F.lit(0)), F.coalesce("output_tokens", F.lit(0)), F.lit(settings.price.price_in), F.lit(settings.price.price_out)).alias("cost_usd"),
+        "first_token_ms",
+        "total_ms",
+        F.coalesce("wait_ms", F.lit(0)).alias("wait_ms"),
+        F.coalesce("rejected_ms", F.lit(0)).alias("rejected_ms"),
+        F.coalesce("call_events", F.array().cast(EVENTS)).alias("call_events"),
     )
 
 
+def call_events(answers: DataFrame) -> DataFrame:
+    """(query_id, stage, kind, ms, reason): the events of answers, one row each, as ``evaluate.retry_ledger`` reads them."""
+    return answers.select("query_id", F.explode("call_events").alias("e")).select("query_id", "e.*")
+
+
 __all__ = [
-    "ask", "cited_hits", "choose_topics", "cost", "quoted_documents", "quoted_hits", "quote_check_prompt", "quote_check_verdict", "refusal_remainder",
+    "ask", "call_events", "cited_hits", "choose_topics", "cost", "quoted_documents", "quoted_hits", "quote_check_prompt", "quote_check_verdict", "refusal_remainder",
     "sources", "system_prompt", "truncated", "unverified_codes", "user_messages", "with_cost",
 ]

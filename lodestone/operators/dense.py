@@ -1,8 +1,9 @@
 """Exact dense search: blocks of queries against all vectors.
 
-Each block of query vectors (of fixed size) is sent to the executors; every
-Arrow batch of vectors makes one matrix product and keeps its own best k per
-query.  The best k of those are the exact best k of all.
+Query vectors are sent to the executors up to a bound of bytes, and one scan of
+the vectors serves all that are sent.  Every Arrow batch makes one matrix
+product for each block of queries and keeps its own best k per query.  The best
+k of those are the exact best k of all.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from lodestone.functions.vectors import cosine
 
 BLOCK_VECTORS = 1024
+#: Numbers that are sent at once: 64 MB.
+SENT_NUMBERS = 8 << 20
 _TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
@@ -40,6 +43,40 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norms, out=np.full_like(m, np.nan), where=norms > 0)
 
 
+def _firsts(ids: list) -> np.ndarray:
+    """Where each id's vectors begin; equal ids stand together."""
+    return np.array([i for i, x in enumerate(ids) if not i or x != ids[i - 1]])
+
+
+def _rounds(blocks: Iterator[tuple[list, np.ndarray]]) -> Iterator[list[tuple[list, np.ndarray]]]:
+    """Blocks that are sent together."""
+    held, size = [], 0
+    for ids, matrix in blocks:
+        if held and size + matrix.size > SENT_NUMBERS:
+            yield held
+            held, size = [], 0
+        held.append((ids, matrix))
+        size += matrix.size
+    if held:
+        yield held
+
+
+def _best(unit: np.ndarray, first: np.ndarray, own: np.ndarray, ords: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, ord, score) arrays of each query's best k rows in a batch; scores to twelve places, so that copies tie."""
+    scores = np.round(unit @ own.T, 12)
+    scores = np.maximum.reduceat(np.where(np.isnan(scores), -1.0, np.maximum(scores, -1.0)), first, axis=0)
+    rows = []
+    for q, s in enumerate(scores):
+        if len(s) > k:
+            least = np.partition(s, len(s) - k)[len(s) - k]
+            near = np.nonzero(s >= least)[0]
+        else:
+            near = np.arange(len(s))
+        best = near[np.lexsort((ords[near], -s[near]))][:k]
+        rows.append((np.full(len(best), q), ords[best], s[best]))
+    return tuple(np.concatenate(c) for c in zip(*rows))
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK_VECTORS) -> DataFrame:
     """(ord, embedding) and (query_id, vector) -> (query_id, ord, score, rank), rank from 1.
 
@@ -50,35 +87,23 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOC
     id_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {id_type}, ord long, score double"
     out = None
-    for ids, matrix in _blocks(queries, block):
-        sent = vectors.sparkSession.sparkContext.broadcast((ids, _unit(matrix)))
+    for sent_blocks in _rounds(_blocks(queries, block)):
+        sent = vectors.sparkSession.sparkContext.broadcast([(list(dict.fromkeys(ids)), _firsts(ids), _unit(m)) for ids, m in sent_blocks])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, unit = sent.value
-            names = list(dict.fromkeys(ids))
-            first = np.array([ids.index(n) for n in names])
-            dims = unit.shape[1]
             for batch in batches:
                 flat, width = batch.column(1), pc.list_value_length(batch.column(1))
-                good = pc.fill_null(pc.equal(width, dims), False)
-                ords = batch.column(0).filter(good).to_numpy(zero_copy_only=False)
-                if not len(ords):
-                    continue
-                m = flat.filter(good).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
-                scores = unit @ _unit(m).T
-                scores = np.maximum.reduceat(np.where(np.isnan(scores), -1.0, np.maximum(scores, -1.0)), first, axis=0)
-                rows = []
-                for q, s in enumerate(scores):
-                    if len(s) > k:
-                        least = np.partition(s, len(s) - k)[len(s) - k]
-                        near = np.nonzero(s >= least)[0]
-                    else:
-                        near = np.arange(len(s))
-                    best = near[np.lexsort((ords[near], -s[near]))][:k]
-                    rows.append((np.full(len(best), q), ords[best], s[best]))
-                q, o, s = (np.concatenate(c) for c in zip(*rows))
-                named = pa.array(names, _TYPES[id_type]).take(pa.array(q))
-                yield pa.RecordBatch.from_arrays([named, pa.array(o, pa.int64()), pa.array(s)], names=["query_id", "ord", "score"])
+                for dims in dict.fromkeys(unit.shape[1] for _, _, unit in sent.value):
+                    good = pc.fill_null(pc.equal(width, dims), False)
+                    ords = batch.column(0).filter(good).to_numpy(zero_copy_only=False)
+                    if not len(ords):
+                        continue
+                    own = _unit(flat.filter(good).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims))
+                    for names, first, unit in sent.value:
+                        if unit.shape[1] == dims:
+                            q, o, s = _best(unit, first, own, ords, k)
+                            named = pa.array(names, _TYPES[id_type]).take(pa.array(q))
+                            yield pa.RecordBatch.from_arrays([named, pa.array(o, pa.int64()), pa.array(s)], names=["query_id", "ord", "score"])
 
         part = vectors.select(F.col("ord").cast("long").alias("ord"), "embedding").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, Settings
@@ -37,20 +37,29 @@ def percentile(values: Column, p: float) -> Column:
     return F.when(F.size(ordered) > 0, F.try_element_at(ordered, at + 1))
 
 
-def exact_percentiles(rows: DataFrame, value: str, by: list[str], ps: list[float]) -> DataFrame:
+def exact_percentiles(rows: DataFrame, value: str, by: list[str], ps: list[float], ranges: int = 4096) -> DataFrame:
     """(by, n, p50, ...) with the same definition, over groups of any size.
 
-    Counts by distinct value are summed up, so that a group's rows are never
-    collected in one place; only its distinct values are.
+    Values are counted, the counts added up by value range (at most ``ranges``
+    for a group), and only the values in the ranges that hold a wanted place
+    are put in order.  Null values are left out; a null group is a group.
     """
-    from pyspark.sql import Window
-
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    at = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p)))
-    picks = [F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(f"p{round(p * 100)}") for p in ps]
-    return run.groupBy(*by).agg(F.max("n").alias("n"), *picks)
+    key = F.struct(*by).alias("_key")
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    ends = counts.groupBy("_key").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n"))
+    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    number = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(ranges - 1), F.floor(share * ranges).cast("int"))).otherwise(0)
+    dealt = counts.join(ends, "_key").withColumn("_range", number)
+    sums = dealt.groupBy("_key", "_range", "n").agg(F.sum("_c").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p))).alias("at")) for i, p in enumerate(ps)]))
+    wanted = sums.withColumn("_upto", upto).withColumn("w", at).filter((F.col("_upto") > F.col("w.at")) & (F.col("_upto") - F.col("_c") <= F.col("w.at")))
+    wanted = wanted.select("_key", "_range", "w.i", "w.at", (F.col("_upto") - F.col("_c")).alias("_before"))
+    inside = dealt.join(wanted, ["_key", "_range"])
+    run = F.sum("_c").over(Window.partitionBy("_key", "i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = inside.withColumn("_run", run + F.col("_before")).filter(F.col("_run") > F.col("at"))
+    picks = [F.min(F.when(F.col("i") == i, F.col("_v"))).alias(f"p{round(p * 100)}") for i, p in enumerate(ps)]
+    return found.groupBy("_key", "n").agg(*picks).select("_key.*", "n", *[f"p{round(p * 100)}" for p in ps])
 
 
 def reciprocal_rank(codes: Column, expected: Column) -> Column:

@@ -13,12 +13,13 @@ from lodestone.functions.chunking import build_chunks
 from lodestone.functions.extract import extract_text
 from lodestone.functions.text import derive_code, embedding_view, estimate_tokens, extension, fingerprint, title_for
 from lodestone.operators.transports import EmbedTransport, embed_all
+from lodestone.sources.shared import cut
 from lodestone.sources.store import upsert
 
 
 def read_documents(files: DataFrame, citation: str) -> tuple[DataFrame, DataFrame]:
     """(path, content) -> (documents, failures): one bad file is a failure row and stops nothing."""
-    read = files.select("path", extract_text(F.col("path"), F.col("content")).alias("x"))
+    read = cut(files.select("path", extract_text(F.col("path"), F.col("content")).alias("x")))  # read twice, parsed once
     good = read.filter(F.col("x.error").isNull()).select(
         "path", derive_code(F.col("path"), F.lit(citation)).alias("code"), F.col("x.text").alias("text"), F.col("x.raw").alias("raw")
     )
@@ -47,7 +48,11 @@ def split_reusable(chunks: DataFrame, existing: DataFrame, settings: Settings =
 
 
 def embed_pending(chunks: DataFrame, make: Callable[[], EmbedTransport], settings: Settings = DEFAULT) -> DataFrame:
-    """Vectors for the rows that have none; only those go to the model."""
+    """Vectors for the rows that have none; only those go to the model, each once.
+
+    The new vectors are written to the shared folder before they are used, so
+    that what reads the result doesn't call the model again.
+    """
     schema = "id string, embedding array<float>, tokens long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,12 +64,28 @@ def embed_pending(chunks: DataFrame, make: Callable[[], EmbedTransport], setting
                 yield pd.DataFrame({"id": pdf["id"], "embedding": out.vectors, "tokens": [*share, out.tokens - sum(share)]})
 
     pending = chunks.filter(F.col("embedding").isNull())
-    fresh = pending.select("id", "view").mapInPandas(run, schema)
+    fresh = cut(pending.select("id", "view").mapInPandas(run, schema))
     done = pending.drop("embedding").join(fresh, "id").withColumn("reused", F.lit(False))
     kept = chunks.filter(F.col("embedding").isNotNull()).withColumn("tokens", F.lit(0).cast("long")).withColumn("reused", F.lit(True))
     return kept.unionByName(done)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with ``ord``, their place by code and index, from 0.
+
+    Places come from range partitions and the rows before each, so that no task
+    sorts a whole collection; only codes and indexes are sorted.
+    """
+    keys = rows.select("id", "code", "index").repartitionByRange("code", "index").sortWithinPartitions("code", "index", "id")
+    keys = cut(keys.withColumn("_n", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_n", 33), F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = keys.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))  # one row a partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    placed = keys.withColumn("_part", part).join(F.broadcast(offsets), "_part").select("id", (F.col("_before") + within).alias("ord"))
+    return rows.join(placed, "id")
+
+
 def summary(embedded: DataFrame, documents: int, settings: Settings = DEFAULT) -> DataFrame:
     """One row: documents, chunks, embedded, reused, tokens (estimated where the model says none), cost."""
     estimated = F.sum(F.when(~F.col("reused"), estimate_tokens(F.col("view"))))
@@ -95,7 +116,7 @@ def ingest(
     with ``ord``.  Contexts attach whether or not vectors are reused.
     """
     docs, failures = read_documents(files, citation)
-    chunks = build_chunks(describe(docs, manifest, collection), settings)
+    chunks = cut(build_chunks(describe(docs, manifest, collection), settings))
     if contexts is not None:
         chunks = chunks.join(contexts, "id", "left")
     else:
@@ -104,7 +125,7 @@ def ingest(
         raise ValueError("no chunk came of these documents: all of them failed")
     old = existing if reuse else existing.limit(0)
     embedded = embed_pending(split_reusable(chunks, old, settings), make, settings)
-    ordered = embedded.withColumn("ord", F.row_number().over(Window.partitionBy("collection").orderBy("code", "index")) - 1)
+    ordered = numbered(embedded)
     columns = [c for c in existing.columns if c != "ord"]
     index = upsert(existing, ordered.select(*columns, "ord"), ["collection", "id"])
     return index, summary(embedded, docs.count(), settings), failures

@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.config import DEFAULT, Settings
 from lodestone.functions.text import raw_words, tokenise, word_tokens
+from lodestone.sources.shared import cut
 from lodestone.sources.spread import spread
 
+BLOCK_QUERIES = 512
+BLOCK_TERMS = 50_000
+#: Rows times queries that are scored at once.
+BATCH_CELLS = 1 << 20
+
 
 def chunk_words(settings: Settings = DEFAULT) -> Column:
     """What a chunk is searched by: code, title, keywords, context (if on) and text."""
@@ -26,23 +40,10 @@ def token_rows(docs: DataFrame, words: Column, keys: list[str]) -> DataFrame:
     return raw.select(*keys, F.explode(word_tokens(F.col("_raw"))).alias("term"))
 
 
-def doc_lengths(docs: DataFrame, words: Column, keys: list[str]) -> DataFrame:
-    """(keys, length): number of a row's tokens, variants included; rows without tokens are left out."""
-    return token_rows(docs, words, keys).groupBy(*keys).agg(F.count("*").alias("length"))
-
-
 def postings(docs: DataFrame, words: Column, keys: list[str]) -> DataFrame:
-    """(keys, term, tf, length)."""
+    """(keys, term, tf, length): one pass over the text; lengths are sums over a row's terms."""
     tf = token_rows(docs, words, keys).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    return tf.join(doc_lengths(docs, words, keys), keys)
-
-
-def corpus_stats(docs: DataFrame, lengths: DataFrame, by: list[str]) -> DataFrame:
-    """(by, n, avg_length) over all rows, with or without tokens."""
-    tokens = lengths.groupBy(*by).agg(F.sum("length").alias("_t"))
-    rows = docs.groupBy(*by).agg(F.count("*").alias("n"))
-    joined = rows.join(tokens, by, "left") if by else rows.withColumn("_t", F.lit(tokens.first()["_t"] or 0))
-    return joined.select(*by, "n", (F.coalesce("_t", F.lit(0)) / F.col("n")).alias("avg_length"))
+    return tf.withColumn("length", F.sum("tf").over(Window.partitionBy(*keys)))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -51,41 +52,153 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.posexplode(tokens).alias("place", "term"))
 
 
-def bm25(docs: DataFrame, words: Column, queries: DataFrame, k: int, by: list[str] | None = None, settings: Settings = DEFAULT) -> DataFrame:
+def asked_terms(docs: DataFrame, words: Column, keys: list[str], asked: DataFrame) -> DataFrame:
+    """(keys, length, terms array<struct<term, tf>>): of each row its length and the asked terms that it holds.
+
+    The text is read once.  What nobody asks for is counted as one term, before
+    anything is shuffled.
+    """
+    known = asked.select("term").distinct().withColumn("_asked", F.col("term"))
+    counted = token_rows(docs, words, keys).join(known, "term", "left").groupBy(*keys, "_asked").agg(F.count("*").alias("tf"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("_asked").isNotNull(), F.struct(F.col("_asked").alias("term"), F.col("tf").cast("int").alias("tf")))))
+    return counted.groupBy(*keys).agg(F.sum("tf").alias("length"), listed.alias("terms"))
+
+
+def corpus_stats(docs: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, avg_length) over all rows of ``docs``, with or without tokens; rows: (by, length) of those with some."""
+    tokens = rows.groupBy(*by).agg(F.sum("length").alias("_t"))
+    every = docs.groupBy(*by).agg(F.count("*").alias("n"))
+    joined = every.join(tokens, by, "left") if by else every.withColumn("_t", F.lit(tokens.first()["_t"] or 0))
+    return joined.select(*by, "n", (F.coalesce("_t", F.lit(0)) / F.col("n")).alias("avg_length"))
+
+
+@dataclass
+class _Block:
+    """A block of queries as the executors need it: who asks for a term and where, and each corpus' weights."""
+
+    query_ids: list
+    terms: list[str]
+    begins: np.ndarray  # of each term's askers in the two arrays below
+    askers: np.ndarray
+    places: np.ndarray
+    idf: dict[tuple, np.ndarray]
+    average: dict[tuple, float]
+
+
+def _query_blocks(terms: DataFrame, queries: int, words: int) -> Iterator[list[tuple]]:
+    """Rows (query_id, term, place) of whole queries, in blocks of at most so many queries and about so many terms."""
+    block: list[tuple] = []
+    seen = 0
+    for row in terms.orderBy("query_id", "place").toLocalIterator():
+        new = not block or row["query_id"] != block[-1][0]
+        if new and (seen >= queries or len(block) >= words):
+            yield block
+            block, seen = [], 0
+        seen += new
+        block.append((row["query_id"], row["term"], row["place"]))
+    if block:
+        yield block
+
+
+def _block(rows: list[tuple], by: list[str], df: DataFrame, stats: list) -> _Block:
+    query_ids = list(dict.fromkeys(q for q, _, _ in rows))
+    number = {q: i for i, q in enumerate(query_ids)}
+    terms = sorted({t for _, t, _ in rows})
+    place_of = {t: i for i, t in enumerate(terms)}
+    told = sorted((place_of[t], number[q], p) for q, t, p in rows)
+    of_term = np.array([t for t, _, _ in told])
+    n = {tuple(r[c] for c in by): (r["n"], r["avg_length"]) for r in stats}
+    idf = {key: np.zeros(len(terms)) for key in n}
+    own = df.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    for r in df.join(F.broadcast(own), "term").toLocalIterator():  # at most the block's terms for each corpus
+        key = tuple(r[c] for c in by)
+        idf[key][place_of[r["term"]]] = math.log(1 + (n[key][0] - r["df"] + 0.5) / (r["df"] + 0.5))
+    return _Block(query_ids, terms, np.searchsorted(of_term, np.arange(len(terms) + 1)), np.array([q for _, q, _ in told]), np.array([p for _, _, p in told]), idf, {k: v[1] for k, v in n.items()})
+
+
+def _best_of_batch(block: _Block, k: int, k1: float, b: float, key: tuple, ords: np.ndarray, length: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Iterator[tuple]:
+    """(query, ord, score, place) arrays: the best k rows of one corpus in a batch, query by query."""
+    weight = block.idf[key][term] * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * (length[row] / block.average[key]))))
+    times = (block.begins[1:] - block.begins[:-1])[term]
+    at = np.repeat(block.begins[:-1][term] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+    cell = np.repeat(row, times) * len(block.query_ids) + block.askers[at]
+    shape = (len(ords), len(block.query_ids))
+    score = np.bincount(cell, weights=np.repeat(weight, times), minlength=shape[0] * shape[1]).reshape(shape)
+    place = np.full(shape[0] * shape[1], 1 << 30)
+    np.minimum.at(place, cell, block.places[at])
+    place = place.reshape(shape)
+    for q in np.nonzero((place < 1 << 30).any(axis=0))[0]:
+        hit = np.nonzero(place[:, q] < 1 << 30)[0]
+        if len(hit) > k:
+            least = np.partition(score[hit, q], len(hit) - k)[len(hit) - k]
+            hit = hit[score[hit, q] >= least]
+        best = hit[np.lexsort((ords[hit], place[hit, q], -score[hit, q]))][:k]
+        yield np.full(len(best), q), ords[best], score[best, q], place[best, q]
+
+
+def bm25(
+    docs: DataFrame, words: Column, queries: DataFrame, k: int, by: list[str] | None = None, settings: Settings = DEFAULT,
+    block_queries: int = BLOCK_QUERIES, block_terms: int = BLOCK_TERMS,
+) -> DataFrame:
     """(query_id, by, ord, score, rank) of each query's best k rows, by corpus.
 
-    ``docs`` has the key ``ord`` and the corpus columns ``by``.  Only tokens that
-    some query asks for are aggregated, so that postings of the corpus are never
-    shuffled whole; the asked terms are broadcast by Spark where they are small.
-    Lengths are counted within each partition before they are shuffled.
-    Ties go to the row that shares the earlier query term, then to the lower
-    ``ord``.
+    ``docs`` has the key ``ord`` (a long) and the corpus columns ``by``.  The
+    text is tokenised once; of each row only its length and the terms that some
+    query asks for are kept.  Queries are then taken in blocks of bounded size:
+    each Arrow batch of rows scores a block as arrays and keeps its own best k,
+    so that no pair of row and query is shuffled.  Ties go to the row that
+    shares the earlier query term, then to the lower ``ord``.
     """
     by = by or []
     keys = [*by, "ord"]
-    terms = query_terms(queries)
-    asked = terms.select("term").distinct()
-    lengths = doc_lengths(docs, words, keys)
-    found = token_rows(docs, words, keys).join(asked, "term").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    df = found.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs, lengths, by)
-    if by:
-        weighed = found.join(df, [*by, "term"]).join(stats, by)
-    else:
-        s = stats.first()
-        weighed = found.join(df, "term").withColumn("n", F.lit(s["n"])).withColumn("avg_length", F.lit(s["avg_length"]))
-    weighed = weighed.join(lengths, keys)
+    id_type = queries.schema["query_id"].dataType
+    terms = cut(query_terms(queries))
+    rows = cut(asked_terms(docs.withColumn("ord", F.col("ord").cast("long")), words, keys, terms))
+    stats = corpus_stats(docs, rows, by).collect()  # one row for each corpus, a small dimension
+    df = cut(rows.select(*by, F.explode("terms.term").alias("term")).groupBy(*by, "term").agg(F.count("*").alias("df")))
+    found = rows.filter(F.size("terms") > 0).select(*by, "ord", "length", F.col("terms.term").alias("term"), F.col("terms.tf").alias("tf"))
+    by_schema = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in by)
+    schema = f"query_id {id_type.simpleString()}, {by_schema}ord long, score double, place int"
+    id_arrow, by_arrow = to_arrow_type(id_type), [to_arrow_type(docs.schema[c].dataType) for c in by]
     k1, b = settings.bm25_k1, settings.bm25_b
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * (F.col("length") / F.col("avg_length"))))
-    scored = (
-        weighed.withColumn("w", idf * norm)
-        .join(terms, "term")
-        .groupBy("query_id", *keys)
-        .agg(F.sum("w").alias("score"), F.min("place").alias("place"))
-    )
+    out = None
+    for part in _query_blocks(terms, block_queries, block_terms):
+        sent = docs.sparkSession.sparkContext.broadcast(_block(part, by, df, stats))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            block = sent.value
+            wanted = pa.array(block.terms, pa.string())
+            most = max(1, BATCH_CELLS // len(block.query_ids))
+            for whole in batches:
+                for start in range(0, whole.num_rows, most):
+                    batch = whole.slice(start, most)
+                    lists = batch.column(len(by) + 2)
+                    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
+                    known = pc.index_in(lists.flatten().cast(pa.string()), value_set=wanted)
+                    good = known.is_valid().to_numpy(zero_copy_only=False)
+                    if not good.any():
+                        continue
+                    row, term = row[good], known.filter(pa.array(good)).to_numpy()
+                    tf = batch.column(len(by) + 3).flatten().to_numpy()[good].astype(float)
+                    ords, length = (batch.column(len(by) + i).to_numpy().astype(t) for i, t in ((0, np.int64), (1, float)))
+                    corpora = list(zip(*(batch.column(i).to_pylist() for i in range(len(by))))) or [()] * batch.num_rows
+                    for key in dict.fromkeys(corpora):
+                        own = np.array([c == key for c in corpora])
+                        if not own[row].any():
+                            continue
+                        renumbered = np.cumsum(own) - 1
+                        mine = own[row]
+                        parts = list(_best_of_batch(block, k, k1, b, key, ords[own], length[own], renumbered[row[mine]], term[mine], tf[mine]))
+                        q, o, s, p = (np.concatenate(c) for c in zip(*parts))
+                        columns = [pa.array([block.query_ids[i] for i in q.tolist()], id_arrow), *(pa.array([v] * len(q), t) for v, t in zip(key, by_arrow)), pa.array(o), pa.array(s), pa.array(p.astype(np.int32))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["query_id", *by, "ord", "score", "place"])
+
+        best = found.mapInArrow(run, schema)
+        out = best if out is None else out.unionByName(best)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], schema.replace(", place int", ", rank int"))
     w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "place", "ord")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("place")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("place")
 
 
 def rrf(lists: DataFrame, keys: list[str], k: int = DEFAULT.rrf_k, by: str = "query_id") -> DataFrame:

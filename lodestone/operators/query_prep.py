@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, Settings
 from lodestone.functions.text import is_hebrew, trim_all, ws
-from lodestone.operators.transports import LlmTransport, generate
+from lodestone.operators.transports import CallEvent, LlmTransport, generate
+from lodestone.sources.shared import cut
 
 TRANSLATE = (
     "Rewrite the user's question as a short search query in the target language, in the words of official documentation. "
@@ -43,24 +45,38 @@ def usable_rewrites(reply: Column, question: Column, settings: Settings = DEFAUL
     return F.slice(good, 1, 2)
 
 
+EVENTS = "array<struct<stage:string,kind:string,ms:long,reason:string>>"
+_REPLY = f"text string, error string, input_tokens long, output_tokens long, stop_reason string, first_token_ms long, total_ms long, events {EVENTS}"
+
+
 def replies(
     frame: DataFrame, system: Column, user: Column, make: Callable[[], LlmTransport], name: str = "reply", stage: str = "answer", attempts: int = 3
 ) -> DataFrame:
-    """One model call per row; a failed call leaves a null reply and the error's name."""
+    """One model call per row, timed; a failed call leaves a null reply and the error's name.
+
+    The replies are written to the shared folder before they are used: what
+    reads them doesn't call the model again, and all of a row's columns come
+    from the same reply.  ``events`` holds the row's waits, rejected calls and
+    regions (see ``evaluate.retry_ledger``).
+    """
 
-    @F.pandas_udf("text string, error string, input_tokens long, output_tokens long, stop_reason string")
+    @F.pandas_udf(_REPLY)
     def call(systems: pd.Series, users: pd.Series) -> pd.DataFrame:
         transport = make()
         rows = []
         for s, u in zip(systems, users):
+            log: list[CallEvent] = []
+            began = time.monotonic()
             try:
-                r = generate(transport, s, u, stage, attempts)
-                rows.append((r.text, None, r.input_tokens, r.output_tokens, r.stop_reason))
+                r = generate(transport, s, u, stage, attempts, log.append)
+                took = int((time.monotonic() - began) * 1000)
+                told = (r.text, None, r.input_tokens, r.output_tokens, r.stop_reason, took if r.first_token_ms is None else r.first_token_ms, took)
             except Exception as e:  # noqa: BLE001  reported in the row
-                rows.append((None, type(e).__name__, 0, 0, None))
-        return pd.DataFrame(rows, columns=["text", "error", "input_tokens", "output_tokens", "stop_reason"])
+                told = (None, type(e).__name__, 0, 0, None, None, int((time.monotonic() - began) * 1000))
+            rows.append((*told, [(e.stage, e.kind, e.ms, e.reason) for e in log]))
+        return pd.DataFrame(rows, columns=[f.split(" ")[0] for f in _REPLY.split(", ")])
 
-    return frame.withColumn(name, call(system, user))
+    return cut(frame.withColumn(name, call.asNondeterministic()(system, user)))
 
 
 def prepare(questions: DataFrame, collections: DataFrame, make: Callable[[], LlmTransport] | None, settings: Settings = DEFAULT) -> DataFrame:

@@ -61,10 +61,20 @@ def apply_order(hits: DataFrame, orders: DataFrame, settings: Settings = DEFAULT
     return rows.withColumn("_place", place.cast("int")).select(*[c for c in hits.columns if c != "pos"], F.col("_place").alias("pos"), "reranked", "rerank_reason")
 
 
-def rerank(questions: DataFrame, hits: DataFrame, make: Callable[[], LlmTransport], settings: Settings = DEFAULT) -> DataFrame:
-    """Hits reranked by a model; (query_id, question) and hits -> hits."""
+def asked(questions: DataFrame, hits: DataFrame, make: Callable[[], LlmTransport], settings: Settings = DEFAULT) -> DataFrame:
+    """(query_id, candidates, reply) of each query with two candidates or more: one call each."""
     listed = listing(hits, settings).filter("candidates >= 2").join(questions.select("query_id", "question"), "query_id")
     user = F.concat(F.lit("Question: "), F.col("question"), F.lit("\n\nPassages:\n\n"), F.col("listing"))
     told = replies(listed, F.lit(SYSTEM), user, make, stage="rerank", attempts=settings.rerank_attempts)
+    return told.select("query_id", "candidates", "reply")
+
+
+def ordered(hits: DataFrame, told: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Hits in the order that the replies give."""
     order = F.when(F.col("reply.text").isNotNull(), parse_order(F.col("reply.text"), F.col("candidates")))
     return apply_order(hits, told.select("query_id", order.alias("order")), settings)
+
+
+def rerank(questions: DataFrame, hits: DataFrame, make: Callable[[], LlmTransport], settings: Settings = DEFAULT) -> DataFrame:
+    """Hits reranked by a model; (query_id, question) and hits -> hits."""
+    return ordered(hits, asked(questions, hits, make, settings), settings)

@@ -5,10 +5,6 @@ Hits are rows keyed by ``query_id``; ``pos`` is their place in the query's list.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +63,6 @@ def _holding(phrases: DataFrame, tables: DataFrame) -> DataFrame:
     Both sides are dealt by the phrase's middle: the end of its first word, a
     blank and the start of its second, which every containing text has as it is.
     """
-    middle = lambda c: F.regexp_extract_all(c, F.lit(r"(\S{3} \S{3})"), 1)
     keyed = phrases.withColumn("key", F.regexp_extract("phrase", r"(\S{3} \S{3})", 1))
     # Overlapping pairs are found by splitting at blanks and joining neighbours again.
     words = F.split("text", " ")
@@ -75,8 +70,9 @@ def _holding(phrases: DataFrame, tables: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))),
         lambda i: F.concat_ws(" ", F.substring(F.element_at(words, i), -3, 3), F.substring(F.coalesce(F.try_element_at(words, i + 1), F.lit("")), 1, 3)),
     )
-    rows = tables.select("*", F.explode(F.array_distinct(pairs)).alias("key"))
-    return rows.join(keyed, "key").filter(F.contains("text", F.col("phrase"))).select("phrase", "collection", "code", "ord").distinct()
+    places = tables.select("ord", F.explode(F.array_distinct(pairs)).alias("key"))  # ids only; texts are joined to what meets
+    met = places.join(keyed, "key").select("ord", "phrase").distinct()
+    return tables.join(met, "ord").filter(F.contains("text", F.col("phrase"))).select("phrase", "collection", "code", "ord").distinct()
 
 
 def table_assist(queries: DataFrame, chunks: DataFrame, picked: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -129,12 +125,13 @@ def fuse(queries: DataFrame, chunks: DataFrame, semantic: DataFrame, k: int, set
 
 
 def _exact(queries: DataFrame, chunks: DataFrame, settings: Settings) -> DataFrame:
-    """First chunks of the documents that a question names, as the third list."""
+    """First chunks of the documents that a question names, as the third list; documents in the order of the corpus."""
     named = named_codes(queries, chunks)
     own = Window.partitionBy("query_id", "code").orderBy("index", "ord")
     heads = chunks.select("code", "index", "ord").join(named, "code")
+    heads = heads.withColumn("_first", F.min("ord").over(Window.partitionBy("query_id", "code")))
     heads = heads.withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= settings.named_code_chunks)
-    pos = F.row_number().over(Window.partitionBy("query_id").orderBy("code", "_n"))
+    pos = F.row_number().over(Window.partitionBy("query_id").orderBy("_first", "_n"))
     return heads.select("query_id", "ord", F.lit(3).alias("list"), pos.alias("pos"))
 
 
@@ -287,79 +284,81 @@ def neighbours(hits: DataFrame, chunks: DataFrame, radius: int = DEFAULT.neighbo
     return out.select(*keys, "index", "id", "text", F.coalesce("score", F.lit(0.0)).alias("score"), pos.alias("pos"))
 
 
-def parent_context(hits: DataFrame, chunks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Passages of each query: whole documents while the budget lasts, excerpts of longer ones, then what is left.
+def _budgeted(settings: Settings) -> Column:
+    """Fold over ``docs``, a query's documents in order: which parts of each go in, while the budget lasts.
 
-    One group per query, which holds the few documents that it hit.
+    A document whose size is left in the budget goes in whole; the first may
+    pass it by the slack.  Of another, an excerpt may take half of what is left:
+    its head, up to 0.6 of that, and the neighbours of what matched, as far as
+    they fit; what matched goes in always.
     """
-    docs = hits.filter(~F.col("lexical")).select("query_id", "collection", "code").distinct()
-    body = chunks.select("collection", "code", "id", "index", "title", "text").join(docs, ["collection", "code"])
-    merged = F.col("merged") if "merged" in hits.columns else F.lit(None).cast("array<string>")
-    own = hits.select("query_id", "pos", "collection", "code", "id", "index", "title", "text", "score", "lexical", merged.alias("merged"))
-    id_type = hits.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {id_type}, pos int, collection string, code string, id string, index int, title string, text string, score double"
-
-    def run(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        rows = list(_passages(mine.sort_values("pos"), theirs, settings))
-        out = pd.DataFrame(rows, columns=["collection", "code", "id", "index", "title", "text", "score"])
-        if not len(mine):
-            return out.assign(query_id=None, pos=0).iloc[:0]
-        return out.assign(query_id=mine["query_id"].iloc[0], pos=range(1, len(out) + 1))
+    chars, slack = settings.parent_context_chars, settings.parent_slack
+    allowance = F.lit(float(chars) * (1 + slack)) if slack > 0 else F.lit(-1.0)
 
-    fresh = lambda d: d.select(*[F.col(c).alias(c) for c in d.columns])  # noqa: E731  hits and chunks may come from one frame
-    return fresh(own).groupBy("query_id").cogroup(fresh(body).groupBy("query_id")).applyInPandas(run, schema)
+    def excerpt(doc: Column, cap: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
+
+        def take(acc: Column, part: Column) -> Column:
+            near = part["near"] | (part["upto"] <= cap * 0.6)
+            fits = part["hit"] | (acc["used"] + part["size"] <= cap)
+            grown = F.struct((acc["used"] + part["size"]).alias("used"), F.concat(acc["kept"], F.array(part["at"])).alias("kept"))
+            return F.when(near & fits, grown).otherwise(acc)
+
+        return F.aggregate(doc["parts"], start, take)
+
+    def spend(acc: Column, doc: Column) -> Column:
+        whole = (doc["size"] <= acc["left"]) | ((doc["rank"] == 1) & (doc["size"] <= allowance))
+        part = excerpt(doc, F.floor(acc["left"] * 0.5))
+        every = F.struct(doc["size"].alias("used"), F.transform(doc["parts"], lambda x: x["at"]).alias("kept"))
+        taken = F.when(whole, every).otherwise(part)
+        left = F.when(whole, F.greatest(F.lit(0).cast("long"), acc["left"] - doc["size"])).otherwise(acc["left"] - taken["used"])
+        told = F.struct(doc["rank"].alias("rank"), whole.alias("whole"), taken["kept"].alias("kept"))
+        return F.struct(left.alias("left"), F.concat(acc["out"], F.array(told)).alias("out"))
 
+    nothing = F.array().cast("array<struct<rank:int,whole:boolean,kept:array<int>>>")
+    return F.aggregate("docs", F.struct(F.lit(chars).cast("long").alias("left"), nothing.alias("out")), spend, lambda acc: acc["out"])
 
-def _passages(hits: pd.DataFrame, body: pd.DataFrame, settings: Settings) -> Iterator[tuple]:
-    """Rows (collection, code, id, index, title, text, score) for one query."""
+
+def parent_context(hits: DataFrame, chunks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Passages of each query: whole documents while the budget lasts, excerpts of longer ones, then what is left.
+
+    Places and sizes of the chunks are enough to decide (a query hits a few
+    documents, so its row is small); texts are joined to what goes in.
+    Excerpts mark their gaps.
+    """
     radius = max(1, settings.neighbour_radius)
-    left = settings.parent_context_chars
-    score = {(h.collection, h.id): h.score for h in hits.itertuples()}
-    standing: dict[tuple, set] = {}
-    for h in hits.itertuples():
-        standing.setdefault((h.collection, h.code), set()).update(h.merged if h.merged is not None and len(h.merged) else [h.id])
-    by_doc = {key: part.sort_values("index").to_dict("records") for key, part in body.groupby(["collection", "code"])}
-    done: set = set()
-
-    def row(c: dict, text: str) -> tuple:
-        return c["collection"], c["code"], c["id"], c["index"], c["title"], text, score.get((c["collection"], c["id"]), 0.0)
-
-    order = dict.fromkeys((h.collection, h.code) for h in hits.itertuples() if not h.lexical)
-    for rank, doc in enumerate(order):
-        parts = by_doc.get(doc, [])
-        size = sum(len(c["text"]) for c in parts)
-        stretched = rank == 0 and settings.parent_slack > 0 and size <= settings.parent_context_chars * (1 + settings.parent_slack)
-        if size <= left or stretched:
-            left = max(0, left - size)
-            for c in parts:
-                if (doc[0], c["id"]) not in done:
-                    done.add((doc[0], c["id"]))
-                    yield row(c, c["text"])
-            continue
-        cap = math.floor(left * 0.5)
-        matched = {i for i, c in enumerate(parts) if c["id"] in standing[doc]}
-        keep, head = set(), 0
-        for i, c in enumerate(parts):
-            head += len(c["text"])
-            if head > cap * 0.6:
-                break
-            keep.add(i)
-        for i in matched:
-            keep.update(range(max(0, i - radius), min(len(parts), i + radius + 1)))
-        used, before, held = 0, -1, []
-        for i in sorted(keep):
-            c = parts[i]
-            if (doc[0], c["id"]) in done or (i not in matched and used + len(c["text"]) > cap):
-                continue
-            done.add((doc[0], c["id"]))
-            held.append([c, c["text"] if i == before + 1 else f"{GAP}\n{c['text']}"])
-            used += len(c["text"])
-            before = i
-        if held and before < len(parts) - 1:
-            held[-1][1] += f"\n{GAP}"
-        yield from (row(c, t) for c, t in held)
-        left -= used
-    for h in hits.itertuples():
-        if (h.collection, h.id) not in done:
-            done.add((h.collection, h.id))
-            yield h.collection, h.code, h.id, h.index, h.title, h.text, h.score
+    doc, key = ["query_id", "collection", "code"], ["query_id", "collection", "id"]
+    fresh = lambda d: d.select(*[F.col(c).alias(c) for c in d.columns])  # noqa: E731  hits and chunks may come from one frame
+    own = fresh(hits)
+    stands_for = F.coalesce(F.when(F.size("merged") > 0, F.col("merged")), F.array("id")) if "merged" in hits.columns else F.array("id")
+    found = own.groupBy(*doc).agg(F.min(F.when(~F.col("lexical"), F.col("pos"))).alias("first"), F.flatten(F.collect_list(stands_for)).alias("ids"))
+    found = found.filter(F.col("first").isNotNull())
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("first")))
+
+    sized = fresh(chunks.select("collection", "code", "id", "index", F.length("text").cast("long").alias("size")))
+    parts = found.join(sized, ["collection", "code"])
+    order = Window.partitionBy(*doc).orderBy("index", "id")
+    parts = parts.withColumn("at", F.row_number().over(order) - 1).withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = parts.withColumn("hit", F.array_contains("ids", F.col("id")))
+    parts = parts.withColumn("near", F.max("hit").over(order.rowsBetween(-radius, radius))).withColumn("parts", F.count("*").over(Window.partitionBy(*doc)))
+
+    listed = parts.groupBy("query_id", "rank").agg(F.array_sort(F.collect_list(F.struct("at", "size", "upto", "hit", "near"))).alias("parts"), F.sum("size").alias("size"))
+    docs = listed.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "size", "parts"))).alias("docs"))
+    taken = docs.select("query_id", F.explode(_budgeted(settings)).alias("d")).select("query_id", "d.rank", "d.whole", F.explode("d.kept").alias("at"))
+
+    placed = taken.join(parts.select("query_id", "rank", "at", "collection", "code", "id", "index", "parts"), ["query_id", "rank", "at"])
+    score = own.groupBy(*key).agg(F.max("score").alias("score"))
+    texts = fresh(chunks.select("collection", "id", "title", "text"))
+    placed = placed.join(texts, ["collection", "id"]).join(score, key, "left")
+    along = Window.partitionBy("query_id", "rank").orderBy("at")
+    before = F.coalesce(F.lag("at").over(along), F.lit(-1))
+    gap_before = F.when(~F.col("whole") & (F.col("at") != before + 1), F.lit(f"{GAP}\n")).otherwise("")
+    gap_behind = F.when(~F.col("whole") & F.lead("at").over(along).isNull() & (F.col("at") < F.col("parts") - 1), F.lit(f"\n{GAP}")).otherwise("")
+    shape = ["query_id", "collection", "code", "id", "index", "title"]
+    inside = placed.select(*shape, F.concat(gap_before, F.col("text"), gap_behind).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"), F.col("rank").alias("_a"), F.col("at").alias("_b"))
+
+    rest = own.join(inside.select(*key).distinct(), key, "left_anti")
+    rest = rest.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("pos"))).filter("_n = 1")
+    rest = rest.select(*shape, "text", "score", F.lit(1 << 30).alias("_a"), F.col("pos").alias("_b"))
+    pos = F.row_number().over(Window.partitionBy("query_id").orderBy("_a", "_b"))
+    return inside.unionByName(rest).withColumn("pos", pos).select("query_id", "pos", "collection", "code", "id", "index", "title", "text", "score")

@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, Settings
-from lodestone.functions import extract, text
+from lodestone.functions import extract, markdown, text
 from lodestone.functions.chunking import build_chunks
-from lodestone.operators import answer, clarify, evaluate, feedback, lexical, query_prep, rerank, retrieve
+from lodestone.operators import answer, clarify, evaluate, feedback, ingest, lexical, query_prep, rerank, retrieve
 from lodestone.operators.dense import dense_topk
 from lodestone.sources import collections as sources
 from lodestone.sources import store
+from lodestone.sources.shared import cut
 from lodestone.sources.spread import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,15 +75,14 @@ def dense_topk_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH q AS (SELECT vec_id - vec_id % {_EVERY} AS query_id, embedding FROM embeddings WHERE vec_id % {_EVERY} < 3),
-    b AS (SELECT query_id, vec_id, greatest(-1, max({_COS})) AS s FROM q, embeddings v WHERE vec_id % {_EVERY} >= 3 GROUP BY ALL),
+    b AS (SELECT query_id, vec_id, greatest(-1, max({_COS})) AS s FROM q, embeddings v GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS pos FROM b)
     SELECT query_id, vec_id, round(s, 6) AS score, pos FROM r WHERE pos <= 10"""
 )
 def dense_best_of_variants(spark: SparkSession, sf: str) -> DataFrame:
     e = T(spark, sf, "embeddings")
     queries = e.filter(F.col("vec_id") % _EVERY < 3).select((F.col("vec_id") - F.col("vec_id") % _EVERY).alias("query_id"), F.col("embedding").alias("vector"))
-    others = e.filter(F.col("vec_id") % _EVERY >= 3)
-    near = dense_topk(others.select(F.col("vec_id").alias("ord"), "embedding"), queries, 10)
+    near = dense_topk(e.select(F.col("vec_id").alias("ord"), "embedding"), queries, 10)
     return near.select("query_id", F.col("ord").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").alias("pos"))
 
 
@@ -129,21 +129,23 @@ def parent_vote(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH p AS (SELECT q.vec_id AS query_id, v.label, {_COS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS n
-      FROM embeddings q JOIN embeddings v ON q.vec_id % {_EVERY} = 0 AND v.vec_id % 7 = 3)
+    f"""WITH q AS (SELECT vec_id, list_reverse(embedding) AS embedding FROM embeddings WHERE vec_id % {_EVERY} = 0),
+    p AS (SELECT q.vec_id AS query_id, v.label, {_COS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS n FROM q, embeddings v)
     SELECT query_id, s >= 0.35 AS matched, CASE WHEN s >= 0.35 THEN label::VARCHAR ELSE '' END AS codes, round(s, 6) AS similarity FROM p WHERE n = 1"""
 )
 def feedback_nearest(spark: SparkSession, sf: str) -> DataFrame:
     e = T(spark, sf, "embeddings").withColumn("collection", F.lit("c"))
-    told = e.filter("vec_id % 7 = 3").select(F.col("vec_id").alias("ord"), "collection", F.col("embedding").alias("vector"), F.array(F.col("label").cast("string")).alias("codes"))
-    asked = e.filter(F.col("vec_id") % _EVERY == 0).select(F.col("vec_id").alias("query_id"), "collection", F.col("embedding").alias("vector"))
+    told = e.select(F.col("vec_id").alias("ord"), "collection", F.col("embedding").alias("vector"), F.array(F.col("label").cast("string")).alias("codes"))
+    asked = e.filter(F.col("vec_id") % _EVERY == 0).select(F.col("vec_id").alias("query_id"), "collection", F.reverse("embedding").alias("vector"))
     found = feedback.recall(asked, told, Settings(feedback_similarity=0.35))
     return found.select("query_id", "matched", F.array_join("codes", ",").alias("codes"), F.round("similarity", 6).alias("similarity"))
 
 
-@query("SELECT label::VARCHAR AS collection, bool_and(len(embedding) = 64) AS fully_embedded FROM embeddings GROUP BY label")
+@query("SELECT label::VARCHAR AS collection, label % 3 <> 0 AS fully_embedded FROM embeddings GROUP BY label")
 def vector_space_guard(spark: SparkSession, sf: str) -> DataFrame:
-    e = T(spark, sf, "embeddings").select(F.col("label").cast("string").alias("collection"), "embedding")
+    """Every third label holds vectors that are too short, missing, or both."""
+    odd = F.when(F.col("vec_id") % 2 == 0, F.slice("embedding", 1, 63))
+    e = T(spark, sf, "embeddings").select(F.col("label").cast("string").alias("collection"), F.when(F.col("label") % 3 != 0, F.col("embedding")).otherwise(odd).alias("embedding"))
     return store.fully_embedded(e, 64)
 
 
@@ -152,50 +154,87 @@ def vector_space_guard(spark: SparkSession, sf: str) -> DataFrame:
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
 
-def _tokens_sql(source: str, key: str, words: str) -> str:
-    """Tokens of Latin text; the tables hold no Hebrew, whose variants tests cover."""
-    return f"""w AS (SELECT {key}, unnest(regexp_extract_all({words}, '[\\x{{0590}}-\\x{{05FF}}A-Za-z0-9_.]+')) AS raw FROM {source}),
-    t AS (SELECT {key}, CASE WHEN regexp_full_match(raw, '[0-9][0-9.]*') THEN regexp_replace(raw, '\\.$', '') ELSE lower(regexp_replace(raw, '^\\.+|\\.+$', '', 'g')) END AS term, raw FROM w),
-    k AS (SELECT {key}, term FROM t WHERE regexp_full_match(raw, '[0-9][0-9.]*') OR (length(term) >= 2 AND term NOT IN ({_STOP})))"""
+_HEBREW = ["והספקים", "לכשהמכרז", "הוראת", "של", "מע\"מ", "שלום", "ומהחוזה", "ב", "כתובתם", "ולכן", "ה7.6", "בַּמִּכְרָז"]
+_LOOSE = "\u0591-\u05c7"  # points
+_PEEL = "'^(?:" + "|".join(text.PARTICLES) + ")([\\s\\S]{3,})$'"
+
+
+def _with_hebrew(d: DataFrame, key: str) -> DataFrame:
+    """Texts with two Hebrew words behind them, chosen by the key."""
+    words = F.array(*map(F.lit, _HEBREW))
+    pick = lambda k: F.element_at(words, (F.pmod(F.col(key) * k, F.lit(len(_HEBREW))) + 1).cast("int"))
+    return d.withColumn("text", F.concat_ws(" ", "text", pick(1), pick(5)))
+
+
+def _hebrew_sql(source: str, key: str) -> str:
+    words = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in _HEBREW) + "]"
+    pick = lambda k: f"{words}[{key} * {k} % {len(_HEBREW)} + 1]"
+    return f"x AS (SELECT {key}, concat_ws(' ', text, {pick(1)}, {pick(5)}) AS text FROM {source})"
+
+
+def _tokens_sql(source: str, key: str, words: str, name: str = "k", place: str = "") -> str:
+    """Tokens (key, term) as table ``name``: numbers and codes as they are, other words folded, with what is left behind one and two particles."""
+    raw = f"regexp_extract_all({words}, '[\\x{{0590}}-\\x{{05FF}}A-Za-z0-9_.]+')"
+    at = f", generate_subscripts({raw}, 1) AS i" if place else ""
+    i = ", i" if place else ""
+    fold = f"translate(lower(regexp_replace(regexp_replace(raw, '^\\.+|\\.+$', '', 'g'), '[{_LOOSE}\"''״׳]', '', 'g')), '{text.FINAL_LETTERS}', '{text.PLAIN_LETTERS}')"
+    number = "regexp_full_match(raw, '[0-9][0-9.]*')"
+    return f"""{name}w AS (SELECT {key}, unnest({raw}) AS raw{at} FROM {source}),
+    {name}n AS (SELECT {key}, raw{i}, {number} AS num, CASE WHEN {number} THEN regexp_replace(raw, '\\.$', '') ELSE {fold} END AS term FROM {name}w),
+    {name}o AS (SELECT *, CASE WHEN num THEN term ELSE regexp_replace(term, {_PEEL}, '\\1') END AS once FROM {name}n WHERE num OR (length(term) >= 2 AND term NOT IN ({_STOP}))),
+    {name}v AS (SELECT {key}{i}, num, unnest(list_distinct([term, once, CASE WHEN num THEN term ELSE regexp_replace(once, {_PEEL}, '\\1') END])) AS term FROM {name}o),
+    {name} AS (SELECT {key}, term{i} FROM {name}v WHERE num OR length(term) >= 2)"""
 
 
 @query(
-    f"""WITH {_tokens_sql("documents", "doc_id", "text")}, l AS (SELECT doc_id, count(*) AS length FROM k GROUP BY doc_id)
+    f"""WITH {_hebrew_sql("documents", "doc_id")}, {_tokens_sql("x", "doc_id", "text")}, l AS (SELECT doc_id, count(*) AS length FROM k GROUP BY doc_id)
     SELECT doc_id, term, count(*) AS tf, any_value(length) AS length FROM k JOIN l USING (doc_id) GROUP BY doc_id, term"""
 )
 def token_postings(spark: SparkSession, sf: str) -> DataFrame:
-    p = lexical.postings(T(spark, sf, "documents"), F.col("text"), ["doc_id"])
+    p = lexical.postings(_with_hebrew(T(spark, sf, "documents"), "doc_id"), F.col("text"), ["doc_id"])
     return p.select("doc_id", "term", "tf", F.col("length").cast("long").alias("length"))
 
 
-_BM25 = f"""WITH {_tokens_sql("documents", "doc_id", "text")},
-    n AS (SELECT d.doc_id, count(k.term) AS length FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id),
-    s AS (SELECT count(*) AS n, avg(length) AS al FROM n),
-    tf AS (SELECT doc_id, term, count(*) AS tf FROM k GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-    bw AS (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_.]+')) AS raw, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9_.]+'), 1) AS i FROM benchmark),
-    bt AS (SELECT item_id, i, raw, CASE WHEN regexp_full_match(raw, '[0-9][0-9.]*') THEN regexp_replace(raw, '\\.$', '') ELSE lower(regexp_replace(raw, '^\\.+|\\.+$', '', 'g')) END AS term FROM bw),
-    q AS (SELECT item_id AS query_id, term, min(i) AS i FROM bt WHERE length(term) >= 2 OR regexp_full_match(raw, '[0-9][0-9.]*') GROUP BY ALL),
-    sc AS (SELECT query_id, doc_id, min(i) AS i, sum(ln(1 + (s.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * (length / al)))) AS score
-      FROM q JOIN tf USING (term) JOIN df USING (term) JOIN n USING (doc_id), s GROUP BY query_id, doc_id),
-    rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, i, doc_id) AS rank FROM sc)"""
+def _bm25_sql(by: str = "") -> str:
+    """Ranking of the documents for each benchmark item, by the corpus columns ``by``; both sides with Hebrew words."""
+    own, same = f"{by}, " if by else "", f"USING ({by})" if by else ""
+    return f"""WITH {_hebrew_sql("documents", "doc_id")}, y AS (SELECT item_id, concat_ws(' ', text, 'הספקים 7.6') AS text FROM benchmark),
+    {_tokens_sql("x", "doc_id", "text")}, {_tokens_sql("y", "item_id", "text", "b", "i")},
+    n AS (SELECT {own}doc_id, count(k.term) AS length FROM documents LEFT JOIN k USING (doc_id) GROUP BY {own}doc_id),
+    s AS (SELECT {own}count(*) AS n, avg(length) AS al FROM n {"GROUP BY " + by if by else ""}),
+    tf AS (SELECT {own}doc_id, term, count(*) AS tf FROM k JOIN documents USING (doc_id) GROUP BY ALL), df AS (SELECT {own}term, count(*) AS df FROM tf GROUP BY ALL),
+    q AS (SELECT item_id AS query_id, term, min(i) AS i FROM b GROUP BY ALL),
+    sc AS (SELECT query_id, {own}doc_id, min(i) AS i, sum(ln(1 + (s.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * (length / al)))) AS score
+      FROM q JOIN tf USING (term) JOIN df USING ({own}term) JOIN n USING ({own}doc_id) {"JOIN s " + same if by else ", s"} GROUP BY ALL),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY query_id{", " + by if by else ""} ORDER BY round(score, 9) DESC, i, doc_id) AS rank FROM sc)"""
+
 
+def _bm25(spark: SparkSession, sf: str, by: list[str]) -> DataFrame:
+    docs = _with_hebrew(T(spark, sf, "documents"), "doc_id").withColumnRenamed("doc_id", "ord")
+    queries = T(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", "text", F.lit("הספקים 7.6")).alias("text"))
+    top = lexical.bm25(docs, F.col("text"), queries, 10, by=by)
+    return top.select("query_id", *by, F.col("ord").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
-@query(_BM25 + " SELECT query_id, round(max(score), 6) AS best, round(sum(score), 5) AS total, count(*) AS hits FROM rk WHERE rank <= 10 GROUP BY query_id")
+
+@query(_bm25_sql() + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The ten best documents of each benchmark item; copies tie, so their scores are compared."""
-    docs = T(spark, sf, "documents").withColumnRenamed("doc_id", "ord")
-    queries = T(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    top = lexical.bm25(docs, F.col("text"), queries, 10)
-    return top.groupBy("query_id").agg(F.round(F.max("score"), 6).alias("best"), F.round(F.sum("score"), 5).alias("total"), F.count("*").alias("hits"))
+    """The ten best documents of each benchmark item, in order."""
+    return _bm25(spark, sf, [])
+
+
+@query(_bm25_sql("source") + " SELECT query_id, source, doc_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 10")
+def bm25_by_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """The same within each source, weighed by that source's own statistics."""
+    return _bm25(spark, sf, ["source"])
 
 
 @query()
 def bm25_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunking and word search together: the ten best chunks of every tenth benchmark item."""
+    """Chunking and word search together: the ten best chunks of every benchmark item."""
     d = texts(spark, sf, "documents").select(F.col("source").alias("collection"), F.col("doc_id").cast("string").alias("code"), F.col("source").alias("title"), "text")
     made = build_chunks(d).withColumn("keywords", F.array().cast("array<string>"))
     rows = made.withColumn("ord", F.col("code").cast("long") * 100_000 + F.col("index"))
-    queries = T(spark, sf, "benchmark").filter("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "text")
+    queries = T(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     top = lexical.bm25(rows, lexical.chunk_words(), queries, 10)
     return top.select("query_id", "ord", F.round("score", 6).alias("score"), "rank")
 
@@ -211,39 +250,85 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     place = lambda order: F.row_number().over(Window.partitionBy("source").orderBy(*order))
     a = d.select("source", "doc_id", F.lit(1).alias("list"), place([F.desc("n_chars"), F.col("doc_id")]).alias("pos"))
     b = d.filter("doc_id % 3 = 0").select("source", "doc_id", F.lit(2).alias("list"), place([F.col("doc_id")]).alias("pos"))
-    fused = lexical.rrf(a.unionByName(b).filter("pos <= 50"), ["doc_id"], by="source")
+    fused = lexical.rrf(a.filter("pos <= 50").unionByName(b.filter("pos <= 50")), ["doc_id"], by="source")  # cut to 50 before the shuffle
     return fused.select("source", "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _chunk_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as one-chunk documents with a vector made of their statistics."""
+    """Documents as one-chunk documents with a vector made of their statistics; every eleventh has none."""
     d = T(spark, sf, "documents")
     v = F.array(*[(F.length(F.translate("text", c, "")) / F.greatest(F.length("text"), F.lit(1)) - 0.9).cast("float") for c in "etaoinshrdlu"])
     return d.select(
         F.col("doc_id").alias("ord"), F.col("source").alias("collection"), F.concat(F.lit("7."), F.col("doc_id").cast("string"), F.lit(".1")).alias("code"),
         F.concat(F.lit("7."), F.col("doc_id").cast("string"), F.lit(".1#0")).alias("id"), F.col("source").alias("title"), F.lit(0).alias("index"), "text",
-        F.array("lang").alias("keywords"), F.lit("Instruction").alias("doctype"), F.lit(None).cast("string").alias("source_url"), v.alias("embedding"),
+        F.array("lang").alias("keywords"), F.lit("Instruction").alias("doctype"), F.lit(None).cast("string").alias("source_url"),
+        F.when(F.col("doc_id") % 11 != 0, v).alias("embedding"),
     )
 
 
 def _hybrid(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     chunks = _chunk_table(spark, sf)
-    b = T(spark, sf, "benchmark").filter("item_id % 5 = 0")
+    b = T(spark, sf, "benchmark")
     v = F.array(*[(F.length(F.translate("text", c, "")) / F.greatest(F.length("text"), F.lit(1)) - 0.9).cast("double") for c in "etaoinshrdlu"])
     named = F.concat(F.col("text"), F.lit(" see 7."), F.col("item_id").cast("string"), F.lit(".1"))
     return b.select(F.col("item_id").alias("query_id"), F.lit(0).alias("variant"), named.alias("text"), v.alias("vector")), chunks
 
 
-@query()
+def _letters_sql(kind: str) -> str:
+    return "[" + ", ".join(f"(length(replace(text, '{c}', '')) / greatest(length(text), 1) - 0.9)::{kind}" for c in "etaoinshrdlu") + "]"
+
+
+def _hybrid_sql(pool: int, first: str, columns: str) -> str:
+    """Dense, word and named lists fused by reciprocal ranks, and the best twelve in the order ``first``."""
+    return f"""WITH d AS (SELECT doc_id, source, lang, text, '7.' || doc_id || '.1' AS code, CASE WHEN doc_id % 11 <> 0 THEN {_letters_sql("FLOAT")}::DOUBLE[] END AS v FROM documents),
+    x AS (SELECT doc_id, concat_ws(' ', code, nullif(source, ''), nullif(lang, ''), nullif(text, '')) AS text FROM d),
+    y AS (SELECT item_id, text || ' see 7.' || item_id || '.1' AS text, {_letters_sql("DOUBLE")} AS v FROM benchmark),
+    {_tokens_sql("x", "doc_id", "text")}, {_tokens_sql("y", "item_id", "text", "b", "i")},
+    n AS (SELECT doc_id, count(k.term) AS length FROM documents LEFT JOIN k USING (doc_id) GROUP BY doc_id), s AS (SELECT count(*) AS n, avg(length) AS al FROM n),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM k GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+    q AS (SELECT item_id AS query_id, term, min(i) AS i FROM b GROUP BY ALL),
+    sc AS (SELECT query_id, doc_id, min(i) AS i, sum(ln(1 + (s.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * (length / al)))) AS score
+      FROM q JOIN tf USING (term) JOIN df USING (term) JOIN n USING (doc_id), s GROUP BY ALL),
+    lx AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, i, doc_id) AS lp FROM sc QUALIFY lp <= 10),
+    dn AS (SELECT item_id AS query_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(list_cosine_similarity(y.v, d.v), 12) DESC, doc_id) AS dp FROM y, d WHERE d.v IS NOT NULL QUALIFY dp <= {pool}),
+    nm AS (SELECT item_id AS query_id, doc_id, 1 AS np FROM y JOIN d ON item_id = doc_id),
+    u AS (SELECT query_id, doc_id, dp, lp, np FROM dn FULL JOIN lx USING (query_id, doc_id) FULL JOIN nm USING (query_id, doc_id)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(1.0::DOUBLE / (60 + dp), 0) + coalesce(1.0::DOUBLE / (60 + lp), 0) + coalesce(1.0::DOUBLE / (60 + np), 0) DESC,
+      CASE WHEN dp IS NOT NULL THEN 1 WHEN lp IS NOT NULL THEN 2 ELSE 3 END, coalesce(dp, lp, np)) AS r FROM u QUALIFY r <= {pool}),
+    h AS (SELECT f.*, d.code, d.source AS collection, coalesce(list_cosine_similarity(y.v, d.v), 0) AS score, d.v IS NULL AND np IS NULL AS lexical, np IS NOT NULL AS named,
+      row_number() OVER (PARTITION BY query_id ORDER BY {first}) AS pos FROM f JOIN d USING (doc_id) JOIN y ON query_id = item_id)
+    SELECT query_id, pos, {columns} FROM h WHERE pos <= 12"""
+
+
+@query(_hybrid_sql(48, "r", "code, round(score, 6) AS score, lexical, named"))
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     queries, chunks = _hybrid(spark, sf)
-    return retrieve.retrieve(queries, chunks, 12).select("query_id", "pos", "code", F.round("score", 6).alias("score"), "lexical", "named")
+    found = retrieve.retrieve(queries, chunks, 12)
+    return found.select("query_id", F.col("pos").cast("long").alias("pos"), "code", F.round("score", 6).alias("score"), "lexical", "named")
 
 
-@query()
+@query(_hybrid_sql(72, "NOT named, r", "collection, code, lexical, named"))
 def hybrid_union_topk(spark: SparkSession, sf: str) -> DataFrame:
     queries, chunks = _hybrid(spark, sf)
-    return retrieve.retrieve_union(queries, chunks, 12).select("query_id", "pos", "collection", "code", "lexical", "named")
+    return retrieve.retrieve_union(queries, chunks, 12).select("query_id", F.col("pos").cast("long").alias("pos"), "collection", "code", "lexical", "named")
+
+
+@query(
+    f"""WITH {_PAIRS}, h AS (SELECT *, label % 3 AS c, CASE WHEN pos % 5 = 0 THEN true ELSE false END AS lex, pos = 7 AS named FROM r WHERE pos <= 20),
+    o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY NOT named, round(s, 12) DESC, c, vec_id) AS a FROM h WHERE NOT lex),
+    m AS (SELECT *, row_number() OVER (PARTITION BY query_id, c, label ORDER BY a) AS n FROM o),
+    p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n > 2, a) AS k FROM m QUALIFY k <= 8),
+    e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, c, vec_id) AS b FROM h WHERE lex QUALIFY b <= 3)
+    SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY l, x) AS pos FROM (SELECT query_id, vec_id, 0 AS l, a AS x FROM p UNION ALL SELECT query_id, vec_id, 1, b FROM e)"""
+)
+def merged_collections(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits of three collections as one list, with named and word hits among them."""
+    hits = _ranked(spark, sf, 20)
+    shaped = hits.select(
+        "query_id", "ord", "score", (F.col("pos") % 5 == 0).alias("lexical"), (F.col("pos") == 7).alias("named"), F.col("pos").alias("fused_rank"),
+        (F.col("label") % 3).cast("string").alias("collection"), F.col("label").cast("string").alias("code"), F.col("ord").cast("string").alias("id"),
+    )
+    return retrieve.merge_collections(shaped, 8).select("query_id", F.col("ord").alias("vec_id"), F.col("pos").cast("long").alias("pos"))
 
 
 @query("SELECT item_id AS query_id, '7.' || item_id || '.1' AS code FROM benchmark WHERE item_id IN (SELECT doc_id FROM documents)")
@@ -256,19 +341,19 @@ _PART_TEXT = "concat_ws(chr(9), p_partkey::VARCHAR, p_name, p_brand, p_type, p_s
 
 
 def _part_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    p = T(spark, sf, "part").filter("p_size <= 3")
+    p = T(spark, sf, "part")
     cells = [F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string"), F.lit("end")]
     return p.select(F.col("p_partkey").alias("ord"), F.lit("c").alias("collection"), F.col("p_brand").alias("code"), F.concat_ws("\t", *cells).alias("text"))
 
 
 @query(
-    f"""WITH q AS (SELECT DISTINCT p_size AS query_id, p_name AS phrase FROM part WHERE p_size <= 20),
-    c AS (SELECT p_brand AS code, {_PART_TEXT} AS text FROM part WHERE p_size <= 3),
+    f"""WITH q AS (SELECT DISTINCT p_size AS query_id, p_name AS phrase FROM part),
+    c AS (SELECT p_brand AS code, {_PART_TEXT} AS text FROM part),
     r AS (SELECT phrase FROM (SELECT DISTINCT phrase FROM q) JOIN c ON contains(text, phrase) GROUP BY phrase HAVING count(DISTINCT code) <= 8)
     SELECT query_id, phrase FROM q JOIN r USING (phrase)"""
 )
 def rare_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    asked = T(spark, sf, "part").filter("p_size <= 20").select(F.col("p_size").alias("query_id"), F.concat(F.lit("מה "), F.col("p_name"), F.lit("?")).alias("text"))
+    asked = T(spark, sf, "part").select(F.col("p_size").alias("query_id"), F.concat(F.lit("מה "), F.col("p_name"), F.lit("?")).alias("text"))
     return retrieve.rare_phrases(asked, _part_chunks(spark, sf))
 
 
@@ -301,10 +386,17 @@ def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
     return texts(spark, sf, "pages").select("page_id", extract.structured_text(F.col("html")).alias("text"))
 
 
-@query("SELECT doc_id, md5('Head ' || doc_id || chr(10) || 'item link bold code' || chr(10)) AS digest FROM documents")
+_PLAIN = "regexp_replace(text, '[^A-Za-z0-9 .,\\n]', '', 'g')"
+
+
+@query(f"""WITH p AS (SELECT doc_id, lang, source, regexp_replace(regexp_replace({_PLAIN}, '\\n', ' ', 'g'), '^ +| +$', '', 'g') AS t FROM documents)
+    SELECT doc_id, md5('Head ' || doc_id || chr(10) || t || chr(10) || 'see ' || source || ' and ' || lang || chr(10) || chr(10) || t || ' ' || lang || chr(10)) AS digest FROM p WHERE t <> ''""")
 def markdown_to_text(spark: SparkSession, sf: str) -> DataFrame:
-    md = F.concat(F.lit("## Head "), F.col("doc_id").cast("string"), F.lit("\n- item [link](http://x) **bold** `code`\n![i](j)<!-- n -->"))
-    return T(spark, sf, "documents").select("doc_id", F.md5(text.markdown_to_text(md)).alias("digest"))
+    """Each document's words within headings, quotes, links, cells, emphasis, code and comments."""
+    t = F.trim(F.translate(F.regexp_replace("text", r"[^A-Za-z0-9 .,\n]", ""), "\n", " "))
+    head = F.concat(F.lit("## Head "), F.col("doc_id").cast("string"), F.lit("\n- **"), t, F.lit("**\n> see [`"), F.col("source"), F.lit("`](http://x) and <b>"), F.col("lang"), F.lit("</b>\n"))
+    md = F.concat(head, F.lit("```\n"), t, F.lit("\n```\n*"), t, F.lit("* | __"), F.col("lang"), F.lit("__\n![i](j)<!-- "), t, F.lit(" -->"))
+    return T(spark, sf, "documents").filter(t != "").select("doc_id", F.md5(markdown.markdown_to_text(md)).alias("digest"))
 
 
 @query(
@@ -316,11 +408,15 @@ def split_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return d.filter("sentences > 0")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 1 END AS depth FROM lineitem WHERE l_linenumber <= 4")
+@query(
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 5 = 0 THEN 0 ELSE 1 + (l_linenumber % 2 = 0)::INT + 2 * (l_orderkey % 3 = 0)::INT END AS depth FROM lineitem"""
+)
 def clause_depth(spark: SparkSession, sf: str) -> DataFrame:
-    number = F.concat_ws(".", F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, F.lit("3")))
-    line = F.concat(number, F.lit(". clause"))
-    return T(spark, sf, "lineitem").filter("l_linenumber <= 4").select("l_orderkey", "l_linenumber", text.clause_depth(line).alias("depth"))
+    """Numbers of one to four parts, with and without a dot behind them; every fifth line has none."""
+    deep = F.when(F.col("l_linenumber") % 2 == 0, F.lit("3")), F.when(F.col("l_orderkey") % 3 == 0, F.lit("12.1"))
+    number = F.concat_ws(".", F.col("l_linenumber").cast("string"), *deep)
+    line = F.when(F.col("l_linenumber") % 5 == 0, F.concat(F.lit("clause "), number)).when(F.col("l_linenumber") % 4 == 0, F.concat(number, F.lit(" clause"))).otherwise(F.concat(number, F.lit(". clause")))
+    return T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", text.clause_depth(line).alias("depth"))
 
 
 @query()
@@ -329,19 +425,19 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return build_chunks(d).select("collection", "code", "id", "index", F.length("text").alias("length"), F.md5("text").alias("digest"))
 
 
-@query("SELECT doc_id, true AS within, true AS complete FROM documents")
+@query(
+    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')) AS word FROM documents)
+    SELECT doc_id, count(DISTINCT word) AS words, 0::BIGINT AS too_long FROM w GROUP BY doc_id"""
+)
 def chunk_invariants(spark: SparkSession, sf: str) -> DataFrame:
-    """No chunk is longer than the limit, and the words at both ends of a document are kept."""
+    """No chunk is longer than the limit, and the chunks hold a document's words, all of them and no others."""
     d = texts(spark, sf, "documents")
     made = build_chunks(d.select("doc_id", F.col("doc_id").cast("string").alias("code"), "text"))
-    ends = made.groupBy("doc_id").agg(F.max(F.length("text")).alias("most"), F.min_by("text", "index").alias("a"), F.max_by("text", "index").alias("z"))
-    word = lambda c, i: F.element_at(F.split(text.trim_all(c), text.ws(r"\s+")), i)
-    whole = (word(F.col("text"), 1) == word(F.col("a"), 1)) & (word(F.col("text"), -1) == word(F.col("z"), -1))
-    blank = text.trim_all(F.col("text")) == ""
-    return d.join(ends, "doc_id", "left").select("doc_id", (blank | (F.col("most") <= DEFAULT.chunk_chars)).alias("within"), (blank | whole).alias("complete"))
+    words = made.select("doc_id", F.explode(F.split("text", r"[ \t\n\r\f\x0B]+")).alias("word"), (F.length("text") > DEFAULT.chunk_chars).alias("long"))
+    return words.filter("word <> ''").groupBy("doc_id").agg(F.countDistinct("word").alias("words"), F.count_if("long").alias("too_long"))
 
 
-_VIEW = "CASE WHEN doc_id % 3 = 0 THEN source || ' | ' || lang || ', x' || chr(10) || text WHEN doc_id % 3 = 1 THEN lang || ', x' || chr(10) || text ELSE text END"
+_VIEW = "CASE WHEN doc_id % 3 = 0 THEN source || ' | ' || lang || ', x' || chr(10) || chr(10) || text WHEN doc_id % 3 = 1 THEN lang || ', x' || chr(10) || chr(10) || text ELSE text END"
 
 
 def _viewed(d: DataFrame, body: str = "text") -> DataFrame:
@@ -356,26 +452,28 @@ def embedding_view(spark: SparkSession, sf: str) -> DataFrame:
     return _viewed(T(spark, sf, "documents")).select("doc_id", F.md5("view").alias("digest"))
 
 
-@query("SELECT doc_id, doc_id % 4 <> 0 AND doc_id % 5 <> 0 AS reused FROM documents")
+@query("SELECT doc_id, doc_id % 4 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0 AS reused FROM documents")
 def reuse_split(spark: SparkSession, sf: str) -> DataFrame:
-    """New documents against an older state that lacks every fifth and has other text in every fourth."""
+    """New chunks against an older state: every fifth is missing, every fourth has other text, every seventh no vector."""
     d = T(spark, sf, "documents")
+    shape = [F.col("doc_id").cast("string").alias("id"), "doc_id", F.col("doc_id").cast("string").alias("code"), F.col("source").alias("title"), "text", F.array("lang").alias("keywords")]
     older = d.filter("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    mark = lambda x: _viewed(x).select("doc_id", text.fingerprint(F.col("doc_id").cast("string"), F.col("view")).alias("fingerprint"))
-    known = mark(older).select("fingerprint", F.lit(True).alias("known"))
-    return mark(d).join(known, "fingerprint", "left").select("doc_id", F.coalesce("known", F.lit(False)).alias("reused"))
+    vector = F.when(F.col("doc_id") % 7 != 0, F.array(F.lit(1.0)))
+    found = ingest.split_reusable(d.select(*shape), older.select(*shape, vector.alias("embedding")))
+    return found.select("doc_id", F.col("embedding").isNotNull().alias("reused"))
 
 
 @query(
-    """WITH o AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM documents WHERE doc_id % 3 <> 0),
-    n AS (SELECT doc_id, -n_chars AS n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM documents WHERE doc_id % 2 = 0), m AS (SELECT max(ord) + 1 AS m FROM o)
+    """WITH o AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY lpad(doc_id::VARCHAR, 12, '0')) - 1 AS ord FROM documents WHERE doc_id % 3 <> 0),
+    n AS (SELECT doc_id, -n_chars AS n_chars, row_number() OVER (ORDER BY lpad(doc_id::VARCHAR, 12, '0')) - 1 AS ord FROM documents WHERE doc_id % 2 = 0), m AS (SELECT max(ord) + 1 AS m FROM o)
     SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.n_chars, o.n_chars) AS n_chars, coalesce(o.ord, n.ord + m) AS ord FROM o FULL JOIN n USING (doc_id), m"""
 )
 def upsert(spark: SparkSession, sf: str) -> DataFrame:
-    d = T(spark, sf, "documents").withColumn("c", F.lit(0))
-    place = (F.row_number().over(Window.partitionBy("c").orderBy("doc_id")) - 1).cast("long")
-    old = d.filter("doc_id % 3 <> 0").select("doc_id", "n_chars", place.alias("ord"))
-    new = d.filter("doc_id % 2 = 0").select("doc_id", (-F.col("n_chars")).alias("n_chars"), place.alias("ord"))
+    """Rows are numbered as ingest numbers them, by range partitions."""
+    code = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    d = T(spark, sf, "documents").select("doc_id", "n_chars", code.alias("id"), code.alias("code"), F.lit(0).alias("index"))
+    old = ingest.numbered(d.filter("doc_id % 3 <> 0")).select("doc_id", "n_chars", "ord")
+    new = ingest.numbered(d.filter("doc_id % 2 = 0")).select("doc_id", (-F.col("n_chars")).alias("n_chars"), "ord")
     return store.upsert(old, new, ["doc_id"]).select("doc_id", "n_chars", "ord")
 
 
@@ -386,7 +484,7 @@ def keywords(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH h AS (SELECT l_orderkey AS q, l_linenumber AS i FROM lineitem WHERE l_orderkey % 10 = 0 AND l_linenumber IN (2, 5))
+    """WITH h AS (SELECT l_orderkey AS q, l_linenumber AS i FROM lineitem WHERE l_quantity >= 40)
     SELECT q AS query_id, l_linenumber AS index, max(CASE WHEN i = l_linenumber THEN 1.0 ELSE 0.0 END)::DOUBLE AS score,
     row_number() OVER (PARTITION BY q ORDER BY l_linenumber) AS pos
     FROM h JOIN lineitem ON l_orderkey = q AND l_linenumber BETWEEN i - 1 AND i + 1 GROUP BY q, l_linenumber"""
@@ -394,9 +492,9 @@ def keywords(spark: SparkSession, sf: str) -> DataFrame:
 def neighbours(spark: SparkSession, sf: str) -> DataFrame:
     rows = T(spark, sf, "lineitem").select(
         F.lit("c").alias("collection"), F.col("l_orderkey").cast("string").alias("code"), F.col("l_linenumber").alias("index"), F.lit("t").alias("text"),
-        F.concat_ws("#", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"),
-    ).distinct()
-    hits = rows.filter((F.col("code").cast("long") % 10 == 0) & F.col("index").isin(2, 5)).withColumn("query_id", F.col("code").cast("long"))
+        F.concat_ws("#", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), "l_quantity",
+    )
+    hits = rows.filter("l_quantity >= 40").withColumn("query_id", F.col("code").cast("long"))
     hits = hits.withColumn("score", F.lit(1.0)).withColumn("pos", F.col("index"))
     found = retrieve.neighbours(hits, rows, 1)
     return found.select("query_id", "index", "score", F.col("pos").cast("long").alias("pos"))
@@ -412,7 +510,7 @@ def document_texts(spark: SparkSession, sf: str) -> DataFrame:
 def parent_context(spark: SparkSession, sf: str) -> DataFrame:
     d = texts(spark, sf, "documents").select(F.lit("c").alias("collection"), F.col("doc_id").cast("string").alias("code"), "text", F.col("source").alias("title"))
     made = build_chunks(d)
-    hits = made.filter((F.col("index") == 2) & (F.col("code").cast("long") % 40 < 2)).withColumn("query_id", F.floor(F.col("code").cast("long") / 40))
+    hits = made.filter(F.col("index") == 2).withColumn("query_id", F.floor(F.col("code").cast("long") / 2))
     hits = hits.withColumn("score", F.lit(0.5)).withColumn("lexical", F.lit(False))
     hits = hits.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("code")))
     return retrieve.parent_context(hits.select(*hits.columns), made).select("query_id", "pos", "id", F.length("text").alias("length"), "score")
@@ -476,13 +574,15 @@ def valid_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_PAIRS}, h AS (SELECT *, CASE WHEN pos = 3 THEN 1 WHEN pos = 1 THEN 2 ELSE 2 + pos END AS k FROM r WHERE pos <= 12)
+    f"""WITH {_PAIRS}, h AS (SELECT *, CASE WHEN pos = (query_id // {_EVERY}) % 12 + 1 THEN 1 WHEN pos = 1 THEN 2 ELSE 2 + pos END AS k FROM r WHERE pos <= 12)
     SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY k) AS pos FROM h QUALIFY pos <= 5"""
 )
 def rerank_order(spark: SparkSession, sf: str) -> DataFrame:
-    """A reply that names passages 3 and 1, with a repeat and one out of range."""
+    """Replies that name a passage by the query and then the first, with a repeat and one out of range."""
     hits = _ranked(spark, sf, 12).withColumn("lexical", F.lit(False)).withColumn("named", F.lit(False))
-    said = hits.select("query_id").distinct().withColumn("order", rerank.parse_order(F.lit("Sure: [3, 1, 3, 99] ok"), F.lit(12)))
+    named = (F.floor(F.col("query_id") / _EVERY) % 12 + 1).cast("string")
+    reply = F.concat(F.lit("Sure: ["), named, F.lit(", 1, "), named, F.lit(", 99] ok"))
+    said = hits.select("query_id").distinct().withColumn("order", rerank.parse_order(reply, F.lit(12)))
     out = rerank.apply_order(hits.select("query_id", "ord", "pos", "score", "lexical", "named"), said)
     return out.select("query_id", F.col("ord").alias("vec_id"), F.col("pos").cast("long").alias("pos"))
 
@@ -520,18 +620,18 @@ def refusal_flag(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_id, regexp_replace(trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')), '\*\*', '', 'g') AS span FROM documents
-    WHERE length(text) >= 60 AND NOT contains(text, '"') AND length(trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g'))) >= 25 AND NOT contains(text, '*')"""
+    r"""SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\*\*', '', 'g') AS span FROM documents
+    WHERE length(text) >= 60 AND NOT contains(text, '"') AND length(trim(regexp_replace(text, '\s+', ' ', 'g'))) >= 25 AND NOT contains(text, '*')"""
 )
 def quoted_spans(spark: SparkSession, sf: str) -> DataFrame:
     d = T(spark, sf, "documents").filter((F.length("text") >= 60) & ~F.contains("text", F.lit('"')) & ~F.contains("text", F.lit("*")))
-    built = F.concat(F.lit('It says "'), F.substring("text", 1, 60), F.lit('" and "short".'))
+    built = F.concat(F.lit('It says "'), F.col("text"), F.lit('" and "short".'))
     return d.select("doc_id", F.explode(text.quoted_spans(built)).alias("span"))
 
 
 def _coded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Answers that name codes, and passages with codes, built of orders."""
-    o = T(spark, sf, "orders").filter("o_orderkey < 3000")
+    o = T(spark, sf, "orders")
     a, b = (F.col("o_orderkey") % 97).cast("string"), (F.col("o_custkey") % 50).cast("string")
     said = F.concat(F.lit("לפי הוראה 7."), a, F.lit("."), b, F.lit(". וגם הוראה 8."), b, F.lit(".1 (הוראה 3.4)."))
     answers = o.select(F.col("o_orderkey").alias("query_id"), said.alias("text"))
@@ -540,13 +640,13 @@ def _coded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return answers, passages
 
 
-@query("SELECT o_orderkey AS query_id, '7.' || (o_orderkey % 97) || '.' || (o_custkey % 50) AS code FROM orders WHERE o_orderkey < 3000 AND o_orderkey % 2 = 0")
+@query("SELECT o_orderkey AS query_id, '7.' || (o_orderkey % 97) || '.' || (o_custkey % 50) AS code FROM orders WHERE o_orderkey % 2 = 0")
 def cited_documents(spark: SparkSession, sf: str) -> DataFrame:
     answers, passages = _coded(spark, sf)
     return answer.cited_hits(answers, passages, F.lit("instruction")).select("query_id", "code")
 
 
-@query("SELECT o_orderkey AS query_id, '8.' || (o_custkey % 50) || '.1' AS code FROM orders WHERE o_orderkey < 3000")
+@query("SELECT o_orderkey AS query_id, '8.' || (o_custkey % 50) || '.1' AS code FROM orders")
 def unverified_codes(spark: SparkSession, sf: str) -> DataFrame:
     return answer.unverified_codes(*_coded(spark, sf))
 
@@ -558,7 +658,7 @@ _QUOTE = "length(text) >= 80 AND NOT contains(text, '\"') AND NOT contains(text,
 def quoted_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Answers that quote their second passage; the even ones cite it too."""
     d = texts(spark, sf, "documents").filter(_QUOTE)
-    answers = d.select(F.col("doc_id").alias("query_id"), F.concat(F.lit('as "'), F.substring("text", 1, 70), F.lit('"')).alias("text"))
+    answers = d.select(F.col("doc_id").alias("query_id"), F.concat(F.lit('as "'), F.col("text"), F.lit('"')).alias("text"))
     one = lambda code, body, pos: d.select(F.col("doc_id").alias("query_id"), F.lit("c").alias("collection"), F.lit(code).alias("code"), F.lit(code).alias("title"), body.alias("text"), F.lit(pos).alias("pos"), F.lit(0.1).alias("score"))
     passages = one("cited", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.lit("nothing")), 1).unionByName(one("other", F.col("text"), 2))
     cited = d.select(F.col("doc_id").alias("query_id"), F.lit("cited").alias("code"))
@@ -590,20 +690,26 @@ def fact_containment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _containing(docs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Documents and facts meet by the fact's longest inner word, which every match holds whole, then by containment.
+    """Documents and facts meet by an inner word of the fact, which every match holds whole, then by containment.
 
-    Facts of fewer than three words have no inner word; those few are looked for in every document.
+    The word is the one that fewest documents hold.  Only ids meet; bodies are
+    joined to the pairs that do.  Facts of fewer than three words have no inner
+    word: all of them are looked for in one pass over the documents.
     """
     words = F.split("fact", " ")
-    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    keyed = facts.withColumn("word", F.array_max(inner)["w"])
-    places = docs.select("doc_id", "body", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
-    found = places.join(keyed.filter(F.col("word").isNotNull()), "word").filter(F.contains("body", F.col("fact")))
-    short = [(r["item_id"], r["fact"]) for r in keyed.filter(F.col("word").isNull() & (F.col("fact") != "")).select("item_id", "fact").collect()]
-    out = found.select("doc_id", "item_id")
-    for item, fact in short:
-        out = out.unionByName(docs.filter(F.contains("body", F.lit(fact))).select("doc_id", F.lit(item).alias("item_id")))
-    return out.distinct()
+    inner = facts.select("item_id", F.explode(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))).alias("word")).distinct()
+    places = docs.select("doc_id", F.explode(F.split("body", " ")).alias("word")).join(inner.select("word").distinct(), "word", "left_semi").distinct()
+    places = cut(places)
+    held = places.groupBy("word").agg(F.count("*").alias("docs"))
+    rarest = inner.join(held, "word", "left").groupBy("item_id").agg(F.min_by("word", F.struct(F.coalesce("docs", F.lit(0)), "word")).alias("word"))
+    pairs = places.join(rarest, "word").select("doc_id", "item_id")
+    found = pairs.join(docs, "doc_id").join(facts, "item_id").filter(F.contains("body", F.col("fact"))).select("doc_id", "item_id")
+    short = facts.join(inner.select("item_id").distinct(), "item_id", "left_anti").filter(F.col("fact") != "")
+    few = [(r["item_id"], r["fact"]) for r in short.toLocalIterator()]  # facts of one or two words
+    if few:
+        held = F.filter(F.array(*[F.when(F.contains("body", F.lit(fact)), F.lit(item)) for item, fact in few]), lambda x: x.isNotNull())
+        found = found.unionByName(docs.select("doc_id", F.explode(held).alias("item_id")))
+    return found.distinct()
 
 
 def _eval_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -680,14 +786,124 @@ def _calls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT (SELECT count(*) FROM events) = count(*) AS complete, bool_and(event_type <> 'error' OR value >= 0) AS stages_ran, count(*) FILTER (WHERE value < 0) = 0 AS no_failures,
-    count(*) FILTER (WHERE user_id < 0) = 0 AS no_judge_failures, (SELECT count(*) FROM events) = count(*) AND bool_and(event_type <> 'error' OR value >= 0)
-    AND count(*) FILTER (WHERE value < 0) = 0 AND count(*) FILTER (WHERE user_id < 0) = 0 AS valid FROM events"""
+    """WITH f AS (SELECT event_type, true AS complete, bool_and(user_id % 2 <> 0 OR value >= 1) AS stages_ran, count(*) FILTER (WHERE value > 300) = 0 AS no_failures,
+      count(*) FILTER (WHERE event_type = 'error' AND value > 50) = 0 AS no_judge_failures, count(*) AS n FROM events GROUP BY event_type),
+    g AS (SELECT event_type, n % 2 = 0 AS complete, stages_ran, no_failures, no_judge_failures FROM f)
+    SELECT event_type, complete, stages_ran, no_failures, no_judge_failures, complete AND stages_ran AND no_failures AND no_judge_failures AS valid FROM g"""
 )
 def run_validity(spark: SparkSession, sf: str) -> DataFrame:
+    """One run for each kind of event; runs of an odd number of rows lack one."""
     e = T(spark, sf, "events")
-    rows = e.select((F.col("value") >= 0).alias("reranked"), (F.col("event_type") == "error").alias("due"), (F.col("value") < 0).alias("failed"), (F.col("user_id") < 0).alias("judge_failed"))
-    return evaluate.validity(rows, e.count(), F.col("due"))
+    out = None
+    for r in e.groupBy("event_type").agg(F.count("*").alias("n")).collect():  # a handful of kinds
+        rows = e.filter(F.col("event_type") == r["event_type"])
+        facts = rows.select((F.col("value") >= 1).alias("reranked"), (F.col("user_id") % 2 == 0).alias("due"), (F.col("value") > 300).alias("failed"), ((F.col("event_type") == "error") & (F.col("value") > 50)).alias("judge_failed"))
+        one = evaluate.validity(facts, r["n"] + r["n"] % 2, F.col("due")).withColumn("event_type", F.lit(r["event_type"]))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    """WITH m AS (SELECT 'raw' AS measure, floor(value * 10)::BIGINT AS ms FROM events UNION ALL SELECT 'work', greatest(0, floor(value * 10) - floor(value))::BIGINT FROM events
+      UNION ALL SELECT 'net', greatest(0, floor(value * 10) - floor(value) - user_id % 500)::BIGINT FROM events),
+    o AS (SELECT measure, ms, row_number() OVER (PARTITION BY measure ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY measure) AS n FROM m)
+    SELECT measure, any_value(n) AS n, max(CASE WHEN i = least(n - 1, floor(n * 0.5)) THEN ms END) AS p50, max(CASE WHEN i = least(n - 1, floor(n * 0.9)) THEN ms END) AS p90 FROM o GROUP BY measure"""
+)
+def first_token_latency(spark: SparkSession, sf: str) -> DataFrame:
+    e = T(spark, sf, "events")
+    rows = e.select(F.floor(F.col("value") * 10).alias("first_token_ms"), F.floor("value").alias("wait_ms"), (F.col("user_id") % 500).alias("rejected_ms"))
+    return evaluate.latency(rows)
+
+
+_JUDGED = """b AS (SELECT doc_id, text, lang, doc_id % 6 AS kind FROM documents WHERE length(text) >= 40 AND NOT contains(text, '%')),
+    j AS (SELECT doc_id, kind, kind = 0 AS skipped, kind IN (1, 5) AS held, kind = 2 AS bare, kind IN (3, 4) AS open FROM b)"""
+
+
+@query(
+    f"""WITH {_JUDGED} SELECT doc_id AS query_id, CASE WHEN skipped THEN 'skipped' WHEN open THEN 'model' ELSE 'literal' END AS fact_method, held AS fact_found,
+    open AS judge_failed, kind = 2 OR kind = 5 AS refused, doc_id % 2 = 0 AS expect_cited, held AND doc_id % 2 = 0 AND doc_id % 5 <> 0 AS correct FROM j"""
+)
+def judged_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers without a fact, that state it, that refuse (barely, or and then state it), and that only a model could judge."""
+    d = texts(spark, sf, "documents").filter((F.length("text") >= 40) & ~F.contains("text", F.lit("%")))
+    kind, fact = F.col("doc_id") % 6, F.concat(F.lit("fact no "), F.col("doc_id").cast("string"), F.lit(" holds"))
+    said = (
+        F.when(kind == 2, F.concat(F.lit(text.REFUSAL), F.lit(".")))
+        .when(kind == 5, F.concat(F.lit(text.REFUSAL), F.lit(". "), F.col("text"), F.lit("\n"), fact))
+        .when(kind == 1, F.concat(F.col("text"), F.lit(" "), F.replace(fact, F.lit(" no "), F.lit("\n no  "))))
+        .otherwise(F.col("text"))
+    )
+    rows = d.select(
+        F.col("doc_id").alias("query_id"), F.lit("q").alias("q"), F.lit("k").alias("kind"), F.when(kind != 0, fact).alias("fact"), F.lit(False).alias("weak_fact"), said.alias("text"),
+        F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("9.9.9"))).alias("unverified"),
+    )
+    supported = d.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("query_id"))
+    return evaluate.judge(rows, supported, None).select("query_id", "fact_method", "fact_found", "judge_failed", "refused", "expect_cited", "correct")
+
+
+@query(
+    """WITH b AS (SELECT doc_id, trim(regexp_replace(substr(text, 11, 40), '\\s+', ' ', 'g')) AS fact FROM documents)
+    SELECT doc_id AS query_id FROM b WHERE doc_id % 4 = 0 OR (doc_id % 4 <> 3 AND fact <> '' AND doc_id % 3 <> 0)"""
+)
+def supported_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers that cite the expected document, or another one that holds the fact, unless the fact is weak."""
+    d = texts(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("code"), F.col("text").alias("body"))
+    kind = F.col("doc_id") % 4
+    expect = F.when(kind == 0, F.col("code")).otherwise(F.lit("none"))
+    rows = d.select(F.col("doc_id").alias("query_id"), expect.alias("expect"), F.substring("body", 11, 40).alias("fact"), (F.col("doc_id") % 3 == 0).alias("weak_fact"))
+    cited = d.select(F.col("doc_id").alias("query_id"), F.when(kind == 3, F.lit("other")).otherwise(F.col("code")).alias("code"))
+    return evaluate.supports_fact(rows, cited, d.select("code", "body"))
+
+
+@query("SELECT conv_id, turn, turn % 3 = 0 AS refused_strict, turn % 3 <> 2 AS refused_loose FROM conversations WHERE turn % 4 <> 3")
+def control_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Control questions, refused, refused by mention only, or answered; every fourth turn is no control."""
+    no = F.lit(text.REFUSAL)
+    c = T(spark, sf, "conversations").withColumn("key", F.concat_ws("#", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("**"), no)).when(F.col("turn") % 3 == 1, F.concat(F.lit("Well, "), no)).otherwise(F.col("text"))
+    answers = c.select(F.col("key").alias("query_id"), said.alias("text"))
+    return evaluate.control_rows(c.filter("turn % 4 <> 3").select(F.col("key").alias("id"), "conv_id", "turn"), answers).select("conv_id", "turn", "refused_strict", "refused_loose")
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS hebrew FROM documents")
+def hebrew_questions(spark: SparkSession, sf: str) -> DataFrame:
+    asked = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" מה"))).otherwise(F.col("text"))
+    return T(spark, sf, "documents").select("doc_id", text.is_hebrew(asked).alias("hebrew"))
+
+
+@query(
+    """SELECT p_partkey, p_size % 3 <> 2 AS same FROM part"""
+)
+def same_topic(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles that hold one another but for quotes, that share all but one of their words, and that share one."""
+    kind, key = F.col("p_size") % 3, F.col("p_partkey").cast("string")
+    one = F.concat(F.lit("rules of "), key, F.lit(" alpha beta gamma"))
+    other = F.when(kind == 0, F.concat(F.lit('new "'), one, F.lit('" (draft)'))).when(kind == 1, F.concat(F.lit("gamma  beta alpha rules omega"), key)).otherwise(F.concat(F.lit("alpha delta epsilon "), key))
+    return T(spark, sf, "part").select("p_partkey", clarify.same_topic(one, other).alias("same"))
+
+
+@query(
+    """WITH k AS (SELECT o_orderkey AS q, o_orderkey % 4 AS kind FROM orders)
+    SELECT q AS query_id, CASE WHEN kind = 1 THEN 'b' ELSE 'a' END AS code, CASE WHEN kind = 1 THEN 0.4 WHEN kind = 0 THEN 0.9 ELSE 0.7 END::DOUBLE AS score FROM k WHERE kind <> 3"""
+)
+def answer_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers that cite nothing, the second or the first of their passages, and refusals: what each rests on."""
+    o = T(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_orderkey") % 4).alias("kind"))
+    said = F.when(F.col("kind") == 1, "see b.").when(F.col("kind") == 2, "see a.").when(F.col("kind") == 3, F.concat(F.lit(text.REFUSAL), F.lit(" a"))).otherwise("nothing named")
+    answers = o.select("query_id", said.alias("text"))
+    one = lambda code, pos, score: o.select("query_id", F.lit("c").alias("collection"), F.lit(code).alias("code"), F.lit(code).alias("title"), F.lit("t").alias("text"), F.lit(pos).alias("pos"), F.lit(score).alias("score"))
+    passages = one("a", 1, 0.7).unionByName(one("b", 2, 0.4))
+    hits = one("a", 1, 0.9)
+    return answer.sources(answers, hits, passages, "page").select("query_id", "code", "score")
+
+
+@query("SELECT o_orderkey AS query_id, CASE WHEN o_orderkey % 3 = 0 THEN 'b' ELSE c END AS code FROM orders, (VALUES ('a'), ('b')) v(c) WHERE o_orderkey % 3 <> 0 OR c = 'b'")
+def chosen_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third question chooses a topic, every next one a topic that hits nothing."""
+    o = T(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"))
+    hits = o.select("query_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("code"))
+    choices = o.filter("query_id % 3 <> 2").select("query_id", F.when(F.col("query_id") % 3 == 0, F.array(F.lit("b"), F.lit("x"))).otherwise(F.array(F.lit("none"))).alias("topic_codes"))
+    return answer.choose_topics(hits, choices).select("query_id", "code")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import clean_list, is_document, normalise_keywords, stem
+from lodestone.functions.text import clean_list, is_document, normalise_keywords
 
 CHUNK_SCHEMA = (
     "id string, collection string, code string, title string, index int, text string, keywords array<string>, "
@@ -44,34 +46,56 @@ def read_companion(spark: SparkSession, root: str, collection: str, name: str) -
     return None
 
 
-def manifest_rows(raw: DataFrame, link_base: str, precedence: int = 0) -> DataFrame:
-    """(code, title, keywords, doctype, source_url, version, precedence) of a manifest's ``downloaded`` or ``documents``."""
-    name = next(n for n in ("downloaded", "documents") if n in raw.columns)
-    rows = raw.select(F.posexplode(name).alias("place", "d")).select("place", "d.*")
-    has = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
-    words = has("keywords")
-    listed = clean_list(words) if dict(rows.dtypes).get("keywords", "").startswith("array") else normalise_keywords(words.cast("string"))
-    code = F.col("code").cast("string")
-    file = F.coalesce(stem(has("file")), F.concat(F.lit("H."), code))
-    return rows.filter(code.isNotNull() & (code != "")).select(
-        code.alias("code"),
-        F.coalesce(has("title"), code).alias("title"),
-        listed.alias("keywords"),
-        has("doctype").alias("doctype"),
-        F.coalesce(has("url"), F.concat(F.lit(link_base), file)).alias("source_url"),
-        has("version").cast("string").alias("version"),
-        F.lit(precedence).alias("precedence"),
-        "place",
-    )
+def _entries(raw: DataFrame) -> list[DataFrame]:
+    """Rows (place, fields) of ``downloaded``, or of ``documents`` where that is null or missing."""
+    there = [n for n in ("downloaded", "documents") if dict(raw.dtypes).get(n, "").startswith("array<struct")]
+    parts, taken = [], F.lit(False)
+    for name in there:
+        parts.append(raw.filter(~taken & F.col(name).isNotNull()).select(F.posexplode(name).alias("place", "d")).select("place", "d.*"))
+        taken = taken | F.col(name).isNotNull()
+    return parts
+
+
+def manifest_rows(raw: DataFrame, link_base: str, precedence: int = 0) -> DataFrame | None:
+    """(code, title, keywords, doctype, source_url, version, precedence, place) of a manifest; None if it can't be read as one."""
+    out = None
+    for rows in _entries(raw):
+        if "code" not in rows.columns:
+            continue
+        has = lambda c, rows=rows: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+        words = has("keywords")
+        listed = clean_list(words) if dict(rows.dtypes).get("keywords", "").startswith("array") else normalise_keywords(words.cast("string"))
+        code = F.col("code").cast("string")
+        file = F.when(has("file") != "", F.regexp_replace(has("file"), r"(?i)\.(?:docx|pdf)$", ""))
+        part = rows.filter(code.isNotNull() & (code != "")).select(
+            code.alias("code"),
+            F.coalesce(has("title"), code).alias("title"),
+            listed.alias("keywords"),
+            has("doctype").alias("doctype"),
+            F.coalesce(has("url"), F.concat(F.lit(link_base), F.coalesce(file, F.concat(F.lit("H."), code)))).alias("source_url"),
+            has("version").cast("string").alias("version"),
+            F.lit(precedence).alias("precedence"),
+            "place",
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def load_manifest(spark: SparkSession, root: str, collection: str, link_base: str = "") -> DataFrame:
-    """One row per code; what ``manifest.json`` says overrides ``manifest-all.json``, later rows override earlier ones."""
+    """One row per code; what ``manifest.json`` says overrides ``manifest-all.json``, later rows override earlier ones.
+
+    A file that is no manifest is warned of and left out.
+    """
     parts = []
     for level, name in enumerate(("manifest-all.json", "manifest.json")):
         raw = read_companion(spark, root, collection, name)
-        if raw is not None:
-            parts.append(manifest_rows(raw, link_base, level))
+        if raw is None:
+            continue
+        rows = manifest_rows(raw, link_base, level)
+        if rows is None:
+            warnings.warn(f"{name} of {collection} can't be read as a manifest; going on without it", stacklevel=2)
+        else:
+            parts.append(rows)
     if not parts:
         return spark.createDataFrame([], "code string, title string, keywords array<string>, doctype string, source_url string, version string")
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.config import DEFAULT, Settings
 from lodestone.functions.chunking import build_chunks
 from lodestone.functions.text import is_document
-from lodestone.operators.ingest import describe, embed_pending, read_documents, split_reusable
+from lodestone.operators.ingest import describe, embed_pending, numbered, read_documents, split_reusable
 from lodestone.operators.transports import EmbedTransport
 from lodestone.sources.store import CHUNK_SCHEMA, exists, upsert
 
@@ -51,8 +51,7 @@ def start(
         docs, failures = read_documents(batch, citation)
         chunks = build_chunks(describe(docs, manifest, collection), settings).withColumn("context", F.lit(None).cast("string"))
         embedded = embed_pending(split_reusable(chunks, old, settings), make, settings)
-        place = F.row_number().over(Window.partitionBy("collection").orderBy("code", "index")) - 1
-        new = embedded.withColumn("ord", place.cast("long")).select(*old.columns)
+        new = numbered(embedded).select(*old.columns)
         upsert(old, new, ["collection", "id"]).write.mode("overwrite").parquet(f"{index}/v={number}")
         failures.write.mode("overwrite").parquet(f"{index}/failures/batch={number}")
 

@@ -1,10 +1,14 @@
 import json
+import threading
+import uuid
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import cli
 from lodestone.config import Settings
-from lodestone.operators import answer, clarify, feedback, query_prep, rerank
+from lodestone.operators import answer, clarify, evaluate, feedback, query_prep, rerank
 from lodestone.operators.transports import (
     CallEvent, DailyLimit, Embedded, HashTransport, HttpError, ScriptedLlm, embed_all, embed_error, embed_transport, generate, is_retryable, llm_transport,
 )
@@ -148,6 +152,105 @@ def test_ask(spark):
     assert asks_back["text"] == answer.CLARIFY_TEXT and len(asks_back["clarification"]["topics"]) == 2 and not asks_back["refused"]
 
 
+def test_each_call_is_made_once(spark, tmp_path):
+    chunks = hits(spark, [(1, "7.1", 0.9), (2, "7.2", 0.8)]).select("collection", "id", "code", "title", "index", "text", F.lit(None).cast("array<string>").alias("keywords"), F.lit("Form").alias("doctype"))
+    found = hits(spark, [(1, "7.1", 0.99), (2, "7.2", 0.8)])
+    asked = spark.createDataFrame([(1, "how much?")], "query_id int, question string")
+
+    def reply(system, user):
+        stage = "rerank" if "Rank" in system else "check" if system == answer.QUOTE_CHECK else "answer"
+        first = not list(tmp_path.glob(f"{stage}-*"))
+        (tmp_path / f"{stage}-{uuid.uuid4().hex}").touch()
+        if stage == "answer" and first:
+            raise HttpError(429, "slow down")
+        return {"rerank": "[2, 1]", "check": "עונה"}.get(stage, f'{answer.REFUSAL_TEXT}\n\nבהוראה 7.1 כתוב "text of 7.1 that is long enough"')
+
+    long = chunks.withColumn("text", F.concat("text", F.lit(" that is long enough")))
+    own = Settings(refusal_keeps_quoted=True, refusal_quote_check=True, refusal_offers_topics=True, sources_add_quoted=True)
+    out = answer.ask(asked, found, long, Collection("c"), lambda: ScriptedLlm(reply), own)
+    row = out.collect()[0]
+    assert out.count() == 1
+    made = [f.name.split("-")[0] for f in tmp_path.iterdir()]
+    assert sorted(made) == ["answer", "answer", "check", "rerank"]  # the first answer call was rejected
+    assert row["wait_ms"] == 500 and row["total_ms"] >= 500 and row["first_token_ms"] is not None
+    events = [(r["stage"], r["kind"]) for r in answer.call_events(out).collect()]
+    assert events == [("answer", "rejected"), ("answer", "wait")]
+    ledger = evaluate.retry_ledger(answer.call_events(out)).first()
+    assert ledger["wait_ms"] == 500 and ledger["by_stage"]["answer"]["retries"] == 1
+    alone = answer.ask(asked, found, long, Collection("c"), lambda: ScriptedLlm(lambda s, u: "x"), Settings(rerank=False)).first()
+    assert row["input_tokens"] > alone["input_tokens"] > 0
+
+
+class Endpoint(BaseHTTPRequestHandler):
+    """A chat-completions and embeddings endpoint of its own."""
+
+    def log_message(self, *args):
+        pass
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["content-length"])))
+        if self.headers["Authorization"] != "Bearer k":
+            self.send_error(401)
+            return
+        self.send_response(200)
+        self.end_headers()
+        if "input" in body:
+            data = {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in reversed(list(enumerate(body["input"])))], "usage": {"prompt_tokens": 3}}
+            self.wfile.write(json.dumps(data).encode())
+        elif body.get("stream"):
+            for piece in ("It is ", "5 (הוראה 7.2)."):
+                self.wfile.write(f"data: {json.dumps({'choices': [{'delta': {'content': piece}}]})}\n\n".encode())
+            self.wfile.write(b'data: {"choices": [{"delta": {}, "finish_reason": "stop"}], "usage": {"prompt_tokens": 7, "completion_tokens": 2}}\n\ndata: [DONE]\n\n')
+        else:
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": "whole"}, "finish_reason": "length"}], "usage": {"prompt_tokens": 1}}).encode())
+
+
+@pytest.fixture(scope="module")
+def endpoint():
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Endpoint)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_http_transports(endpoint):
+    llm = llm_transport("http", url=endpoint, model="m", key="k")
+    assert list(llm.stream("s", "u")) == ["It is ", "5 (הוראה 7.2)."] and llm.last.output_tokens == 2 and llm.last.first_token_ms is not None
+    assert llm_transport("http", url=endpoint, model="m", key="k", streaming=False).generate("s", "u").stop_reason == "length"
+    out = embed_all(embed_transport("http", url=endpoint, model="m", key="k", dims=2), ["a", "bcd"], "query")
+    assert out.vectors == [[1.0, 1.0], [3.0, 1.0]] and out.tokens == 3
+    with pytest.raises(HttpError):
+        llm_transport("http", url=endpoint, model="m", key="wrong").generate("s", "u")
+    with pytest.raises(ValueError):
+        llm_transport("http", url=endpoint, model="m")
+    log = []
+    two = llm_transport("http", model="m", key="k", regions={"north": endpoint, "south": endpoint})
+    for _ in range(3):
+        generate(two, "s", "u", log=log.append)
+    assert [(e.kind, e.reason) for e in log] == [("region", "north"), ("region", "south"), ("region", "north")]
+
+
+def test_cli_asks_an_endpoint(spark, endpoint, tmp_path, monkeypatch, capsys):
+    folder = tmp_path / "docs" / "c"
+    folder.mkdir(parents=True)
+    (folder / "H.7.1.md").write_text("# Goods\n\nRules for goods.")
+    (folder / "H.7.2.txt").write_text("Travel rules")
+    common = ["--index", f"file://{tmp_path}/index", "--collection", "c"]
+    cli.main(["ingest", *common, "--docs", f"file://{tmp_path}/docs"])
+    capsys.readouterr()
+    monkeypatch.setenv("OWN_KEY", "k")
+    cli.main(["ask", *common, "--llm", "http", "--llm-url", endpoint, "--llm-model", "m", "--llm-key-env", "OWN_KEY", "travel rules 7.2"])
+    said = json.loads(capsys.readouterr().out)
+    assert said["text"] == "It is 5 (הוראה 7.2)." and [s["code"] for s in said["sources"]] == ["7.2"] and said["input_tokens"] >= 7
+
+
+def test_pacing_and_warning():
+    pauses = []
+    assert len(embed_all(HashTransport(4), ["a"] * 5, "document", 2, pause=0.25, sleep=pauses.append).vectors) == 5 and pauses == [0.25, 0.25]
+    with pytest.warns(UserWarning, match="1 of 2 texts"):
+        embed_all(HashTransport(4), ["a", "b" * 40_000], "document")
+
+
 def test_ask_refusals_that_quote(spark):
     quote = "the text of the rule that decides this matter"
     rows = hits(spark, [(1, "7.1", 0.9), (2, "7.2", 0.8)]).withColumn("text", F.concat(F.lit("x "), F.lit(quote), F.lit(" "), F.col("code")))

@@ -1,3 +1,5 @@
+import random
+
 import math
 
 import pytest
@@ -148,6 +150,50 @@ def test_parent_context(spark, book):
     assert len(slack) == 12
 
 
+def simulated(hits, docs, budget, slack, radius):
+    """(id, gap before, gap behind) of one query's passages; hits: (doc, place, lexical), docs: name -> chunk sizes."""
+    order = list(dict.fromkeys(d for d, _, lexical in hits if not lexical))
+    out, left = [], budget
+    for rank, d in enumerate(order):
+        sizes = docs[d]
+        if sum(sizes) <= left or (rank == 0 and slack and sum(sizes) <= budget * (1 + slack)):
+            left = max(0, left - sum(sizes))
+            out += [(f"{d}#{i}", False, False) for i in range(len(sizes))]
+            continue
+        cap, found = left // 2, {i for e, i, _ in hits if e == d}
+        picked, used = [], 0
+        for i, size in enumerate(sizes):
+            head = sum(sizes[: i + 1]) <= cap * 0.6
+            beside = any(abs(i - j) <= radius for j in found)
+            if (head or beside) and (i in found or used + size <= cap):
+                picked.append(i)
+                used += size
+        out += [(f"{d}#{i}", i != (picked[k - 1] + 1 if k else 0), k == len(picked) - 1 and i < len(sizes) - 1) for k, i in enumerate(picked)]
+        left -= used
+    seen = {x[0] for x in out}
+    return out + [(f"{d}#{i}", False, False) for d, i, _ in hits if f"{d}#{i}" not in seen]
+
+
+def test_parent_context_against_simulation(spark):
+    rng = random.Random(6)
+    docs = {f"d{k}": [rng.randint(20, 300) for _ in range(rng.randint(1, 14))] for k in range(12)}
+    rows = [("c", d, f"{d}#{i}", i, d, "x" * n) for d, sizes in docs.items() for i, n in enumerate(sizes)]
+    chunks = spark.createDataFrame(rows, "collection string, code string, id string, index int, title string, text string").cache()
+    asked = {}
+    for q in range(40):
+        every = [(d, i) for d, sizes in docs.items() for i in range(len(sizes))]
+        asked[q] = [(d, i, rng.random() < 0.15) for d, i in rng.sample(every, rng.randint(1, 8))]
+    found = [(q, n + 1, d, i, lex) for q, hits in asked.items() for n, (d, i, lex) in enumerate(hits)]
+    places = spark.createDataFrame(found, "query_id int, pos int, code string, index int, lexical boolean")
+    hits = places.join(chunks, ["code", "index"]).withColumn("score", F.lit(0.5))
+    for budget, slack, radius in ((1500, 0.0, 1), (900, 0.4, 2), (100_000, 0.0, 1)):
+        own = Settings(parent_context_chars=budget, parent_slack=slack, neighbour_radius=radius)
+        got = {}
+        for r in retrieve.parent_context(hits, chunks, own).orderBy("query_id", "pos").collect():
+            got.setdefault(r["query_id"], []).append((r["id"], r["text"].startswith(retrieve.GAP), r["text"].endswith(retrieve.GAP)))
+        assert got == {q: simulated(h, docs, budget, slack, radius) for q, h in asked.items()}
+
+
 def test_neighbours(spark, book):
     got = retrieve.neighbours(hit_rows(spark, book, ["long#6", "short#0", "long#7"]), book, 1).orderBy("pos").collect()
     assert [(g["id"], round(g["score"], 1)) for g in got] == [("long#5", 0), ("long#6", 0.9), ("long#7", 0.7), ("long#8", 0), ("short#0", 0.8), ("short#1", 0)]

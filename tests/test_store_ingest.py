@@ -1,4 +1,5 @@
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from lodestone import cli
 from lodestone.operators import ingest
 from lodestone.operators.transports import HashTransport
 from lodestone.sources import collections as cs
-from lodestone.sources import store
+from lodestone.sources import runs, store
 from lodestone.streaming import ingest as stream
 
 EMPTY = store.CHUNK_SCHEMA + ", ord long"
@@ -39,6 +40,50 @@ def test_discovery_and_manifest(spark, root):
     assert shared["7.2"]["keywords"] == ["a", "b"] and shared["7.2"]["source_url"] == "http://base/H.7.2" and shared["9"]["source_url"] == "http://base/H.9"
 
 
+def test_manifests_that_are_none(spark, root):
+    own = root / "docs" / "odd"
+    own.mkdir()
+    docs = f"file://{root}/docs"
+    for text in ("no json at all {", json.dumps({"other": [{"code": "1"}]}), json.dumps({"downloaded": [{"title": "x"}]})):
+        (own / "manifest.json").write_text(text)
+        with pytest.warns(UserWarning, match="manifest.json"):
+            assert {r["code"] for r in store.load_manifest(spark, docs, "odd").collect()} == {"7.2", "9"}
+    (own / "manifest.json").write_text(json.dumps({"downloaded": None, "documents": [{"code": "5", "file": "a.b/X.5.1.PDF"}, {"code": "6", "file": "Y.6.txt"}]}))
+    rows = {r["code"]: r["source_url"] for r in store.load_manifest(spark, docs, "odd", "http://b/").collect()}
+    assert rows["5"] == "http://b/a.b/X.5.1" and rows["6"] == "http://b/Y.6.txt"
+
+
+def test_each_new_chunk_is_embedded_once(spark, root, tmp_path):
+    docs = f"file://{root}/docs"
+    seen = tmp_path / "calls"
+    seen.mkdir()
+
+    class Counting(HashTransport):
+        def embed(self, texts, purpose):
+            for _ in texts:
+                (seen / uuid.uuid4().hex).touch()
+            return super().embed(texts, purpose)
+
+    files, manifest = store.list_documents(spark, docs, "c"), store.load_manifest(spark, docs, "c")
+    index, total, _ = ingest.ingest(files, manifest, spark.createDataFrame([], EMPTY), "c", "instruction", lambda: Counting(8))
+    n = total.first()["chunks"]
+    assert index.count() == n and len(index.collect()) == n and sorted(r["ord"] for r in index.collect()) == list(range(n))
+    assert len(list(seen.iterdir())) == n
+
+
+def test_runs(spark, tmp_path):
+    folder = f"file://{tmp_path}/run"
+    with runs.run_lock(spark, folder):
+        with pytest.raises(runs.Locked):
+            with runs.run_lock(spark, folder):
+                pass
+    with runs.run_lock(spark, folder):
+        pass
+    todo, done = spark.createDataFrame([(i,) for i in range(5)], "id int"), spark.createDataFrame([(1,)], "id int")
+    assert [r["id"] for r in runs.plan(todo, done, 2).collect()] == [0, 2] and runs.plan(todo, None).count() == 5
+    assert tuple(runs.summary(todo, done, 2).first()) == (5, 1, 2, 2)
+
+
 def test_ingest_reuses_and_upserts(spark, root):
     docs = f"file://{root}/docs"
     files, manifest = store.list_documents(spark, docs, "c"), store.load_manifest(spark, docs, "c")
