@@ -22,7 +22,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from lodestone.llm.common import id_and_text, texts
 
@@ -236,11 +237,27 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of each row's whole text.
 
     Null and empty texts have 0 tokens and the hash of the empty string.
-    Repeated rows come back repeated.  The file at ``path`` is read on the
-    driver and sent to the executors (a vocabulary, of fixed size).
+    Repeated rows come back repeated; a null doc_id stays null; no rows in, no
+    rows out.  The file at ``path`` is read on the driver and sent to the
+    executors (a vocabulary, of fixed size).
     """
-    spark: SparkSession = docs.sparkSession
-    sent = spark.sparkContext.broadcast(read_spec(path))
+    found = encode_rows(id_and_text(docs), path)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else []))
+
+
+ADDED = "n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
+
+
+def encode_rows(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` with the token ids of each row's whole text, their number, and both hashes; all columns stay.
+
+    Null and empty texts have no ids.  A column of ``docs`` with one of the new
+    names gives way to it.  Repeated rows come back repeated; no rows in, no
+    rows out.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(read_spec(path))
+    new = [f.split(" ")[0] for f in ADDED.split(", ")]
+    kept = docs.select(*[c for c in docs.columns if c not in new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(sent.value)
@@ -252,17 +269,12 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                 ids_hash.append(hashlib.sha256(joined.encode()).hexdigest())
                 raw = b"".join([f[2] for f in found])
                 text_hash.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
-                if with_ids:
-                    ids.append([int(i) for i in joined.split(",")] if joined else [])
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return id_and_text(docs).mapInArrow(run, schema)
+                ids.append([int(i) for i in joined.split(",")] if joined else [])
+            columns = [pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string()), pa.array(ids, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *new])
+
+    added = [T.StructField(n, t, True) for n, t in zip(new, (T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.IntegerType())))]
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added]))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

@@ -320,7 +320,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """The rows of ``docs`` without a leak; all columns stay."""
+    """The rows of ``docs`` without a leak; all columns stay.
+
+    Rows are judged one by one: null and empty texts stay, repeated rows and
+    rows without a doc_id stay or go by their texts.  An empty benchmark keeps
+    all; no rows in, no rows out.
+    """
     for block in blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 

@@ -114,7 +114,12 @@ def score(docs: DataFrame, model: PairwiseGam) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: PairwiseGam, cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``cutoff``; all columns stay."""
+    """The rows of ``docs`` with a score of at least ``cutoff``; all columns stay.
+
+    Rows are judged one by one: null and empty texts get a score like any other,
+    repeated rows and rows without a doc_id stay or go by their texts.  No rows
+    in, no rows out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
