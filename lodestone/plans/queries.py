@@ -317,9 +317,9 @@ def hybrid_union_topk(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {_PAIRS}, h AS (SELECT *, label % 3 AS c, CASE WHEN pos % 5 = 0 THEN true ELSE false END AS lex, pos = 7 AS named FROM r WHERE pos <= 20),
     o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY NOT named, round(s, 12) DESC, c, vec_id) AS a FROM h WHERE NOT lex),
     m AS (SELECT *, row_number() OVER (PARTITION BY query_id, c, label ORDER BY a) AS n FROM o),
-    p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n > 2, a) AS k FROM m QUALIFY k <= 8),
+    g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n > 2, a) AS k FROM m QUALIFY k <= 8),
     e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, c, vec_id) AS b FROM h WHERE lex QUALIFY b <= 3)
-    SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY l, x) AS pos FROM (SELECT query_id, vec_id, 0 AS l, a AS x FROM p UNION ALL SELECT query_id, vec_id, 1, b FROM e)"""
+    SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY l, x) AS pos FROM (SELECT query_id, vec_id, 0 AS l, a AS x FROM g UNION ALL SELECT query_id, vec_id, 1, b FROM e)"""
 )
 def merged_collections(spark: SparkSession, sf: str) -> DataFrame:
     """Hits of three collections as one list, with named and word hits among them."""
@@ -494,7 +494,8 @@ def neighbours(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("c").alias("collection"), F.col("l_orderkey").cast("string").alias("code"), F.col("l_linenumber").alias("index"), F.lit("t").alias("text"),
         F.concat_ws("#", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), "l_quantity",
     )
-    hits = rows.filter("l_quantity >= 40").withColumn("query_id", F.col("code").cast("long"))
+    hits = rows.filter("l_quantity >= 40").drop("l_quantity").distinct().withColumn("query_id", F.col("code").cast("long"))
+    rows = rows.drop("l_quantity").distinct()
     hits = hits.withColumn("score", F.lit(1.0)).withColumn("pos", F.col("index"))
     found = retrieve.neighbours(hits, rows, 1)
     return found.select("query_id", "index", "score", F.col("pos").cast("long").alias("pos"))
@@ -575,7 +576,7 @@ def valid_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {_PAIRS}, h AS (SELECT *, CASE WHEN pos = (query_id // {_EVERY}) % 12 + 1 THEN 1 WHEN pos = 1 THEN 2 ELSE 2 + pos END AS k FROM r WHERE pos <= 12)
-    SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY k) AS pos FROM h QUALIFY pos <= 5"""
+    SELECT query_id, vec_id, row_number() OVER w AS pos FROM h WINDOW w AS (PARTITION BY query_id ORDER BY k) QUALIFY row_number() OVER w <= 5"""
 )
 def rerank_order(spark: SparkSession, sf: str) -> DataFrame:
     """Replies that name a passage by the query and then the first, with a repeat and one out of range."""
