@@ -907,6 +907,117 @@ def chosen_topics(spark: SparkSession, sf: str) -> DataFrame:
     return answer.choose_topics(hits, choices).select("query_id", "code")
 
 
+@query(
+    """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN NULL WHEN 2 THEN 'it''s ' || p_type ELSE p_brand END AS translation,
+    CASE p_size % 4 WHEN 0 THEN 'all about ' || p_name WHEN 1 THEN 'first of ' || p_partkey || '|second of ' || p_partkey ELSE '' END AS rewrites FROM part"""
+)
+def usable_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Translations (quoted, too long, plain, padded) and rewrites (one with a repeat of the question, three numbered, too short, too long)."""
+    kind, key = F.col("p_size") % 4, F.col("p_partkey").cast("string")
+    reply = F.when(kind == 0, F.concat(F.lit('"'), "p_name", F.lit('"'))).when(kind == 1, F.repeat(F.col("p_name"), 80)).when(kind == 2, F.concat(F.lit(" it's "), "p_type")).otherwise(F.concat(F.lit("\n "), "p_brand", F.lit("\n")))
+    lines = (
+        F.when(kind == 0, F.concat("p_name", F.lit("\nall about "), "p_name"))
+        .when(kind == 1, F.concat(F.lit("1. first of "), key, F.lit("\r\n- second of "), key, F.lit("\n3. third of "), key))
+        .when(kind == 2, F.lit("short\n\n"))
+        .otherwise(F.repeat(F.lit("far too long "), 20))
+    )
+    return T(spark, sf, "part").select(
+        "p_partkey", query_prep.usable_translation(reply).alias("translation"), F.array_join(query_prep.usable_rewrites(lines, F.col("p_name")), "|").alias("rewrites")
+    )
+
+
+@query(
+    """SELECT conv_id, turn, turn % 4 < 2 AS truncated, CASE turn % 3 WHEN 0 THEN 'answers' WHEN 1 THEN 'explains' ELSE 'failed' END AS verdict FROM conversations"""
+)
+def reply_checks(spark: SparkSession, sf: str) -> DataFrame:
+    stop = F.element_at(F.array(F.lit("max_tokens"), F.lit("length"), F.lit("stop"), F.lit(None).cast("string")), (F.col("turn") % 4 + 1).cast("int"))
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("\n עונה "), F.col("text"))).when(F.col("turn") % 3 == 1, F.lit("מסביר.")).otherwise(F.col("text"))
+    return T(spark, sf, "conversations").select("conv_id", "turn", answer.truncated(stop).alias("truncated"), answer.quote_check_verdict(said).alias("verdict"))
+
+
+@query(
+    """WITH m AS (SELECT p_brand, p_partkey, p_name, p_type, p_size FROM part WHERE p_size % 5 <> 0)
+    SELECT p_partkey::VARCHAR AS code, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_partkey::VARCHAR END AS title, lower(p_type) || '|' || p_size AS keywords,
+    CASE p_size % 3 WHEN 0 THEN 'http://base/x.' || p_partkey WHEN 1 THEN 'http://base/H.' || p_partkey ELSE 'http://own/' || p_partkey END AS source_url FROM m"""
+)
+def manifest_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """One manifest for each brand: rows with and without code, title, file and link."""
+    p = T(spark, sf, "part")
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    entry = F.struct(
+        F.when(size % 5 != 0, key).alias("code"), F.when(size % 2 == 0, F.col("p_name")).alias("title"),
+        F.concat(F.lit(" "), F.lower("p_type"), F.lit(" ;, "), size.cast("string")).alias("keywords"),
+        F.when(size % 3 == 0, F.concat(F.lit("x."), key, F.when(size % 2 == 0, F.lit(".DOCX")).otherwise(F.lit(".pdf")))).alias("file"),
+        F.when(size % 3 == 2, F.concat(F.lit("http://own/"), key)).alias("url"),
+    )
+    raw = p.groupBy("p_brand").agg(F.collect_list(entry).alias("documents")).withColumn("downloaded", F.lit(None).cast("string"))
+    rows = store.manifest_rows(raw, "http://base/")
+    return rows.select("code", "title", F.array_join("keywords", "|").alias("keywords"), "source_url")
+
+
+@query("SELECT doc_id FROM documents WHERE source IN ('src1', 'src4') AND doc_id % 2 = 0 OR source = 'src2'")
+def reusable_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of collections that were embedded by the same transport with the same setting."""
+    metas = [("src1", "t", False), ("src4", "t", None), ("src2", "t", False), ("src3", "other", False), ("src5", "t", True)]
+    meta = spark.createDataFrame(metas, "collection string, embed_transport string, contextual boolean")
+    d = T(spark, sf, "documents").filter("doc_id % 2 = 0 or source not in ('src1', 'src4')").select("doc_id", F.col("source").alias("collection"))
+    return store.reusable(d, meta, "t", False).select("doc_id")
+
+
+@query(
+    """WITH r AS (SELECT doc_id, doc_id % 3 = 0 AS reused, ceil(length(text) / 4.0) AS est FROM documents)
+    SELECT 7::BIGINT AS documents, count(*) AS chunks, count(*) FILTER (WHERE NOT reused) AS embedded, count(*) FILTER (WHERE reused) AS reused,
+    sum(CASE WHEN NOT reused THEN est ELSE 0 END)::BIGINT AS tokens, round(sum(CASE WHEN NOT reused THEN est ELSE 0 END) / 1e6 * 0.02, 9) AS cost_usd FROM r"""
+)
+def ingest_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """A run whose model tells no tokens: they are estimated for what was embedded."""
+    d = T(spark, sf, "documents").select(F.col("text").alias("view"), (F.col("doc_id") % 3 == 0).alias("reused"), F.lit(0).cast("long").alias("tokens"))
+    return ingest.summary(d, 7).withColumn("cost_usd", F.round("cost_usd", 9))
+
+
+@query(
+    """WITH b AS (SELECT doc_id AS q, doc_id % 6 AS k FROM labels)
+    SELECT q AS query_id, 'refusal-holds-fact' AS "check" FROM b WHERE k = 1 UNION ALL SELECT q, 'weak-fact-failed' FROM b WHERE k IN (3, 5)"""
+)
+def judge_self_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Refusals that hold the fact or don't, weak facts that failed or didn't, right answers."""
+    q, k = F.col("doc_id"), F.col("doc_id") % 6
+    fact = F.concat(F.lit("fact "), q.cast("string"))
+    codes = F.array(F.lit("a"))
+    rows = T(spark, sf, "labels").select(
+        q.alias("query_id"), (k == 0).alias("correct"), codes.alias("retrieved_codes"), codes.alias("ranked_codes"), F.lit("a").alias("expect"), k.isin(1, 2, 3).alias("refused"),
+        F.lit(True).alias("expect_cited"), fact.alias("fact"), k.isin(3, 5).alias("weak_fact"), F.when(k == 2, F.lit("nothing")).otherwise(F.concat(F.lit("no, but "), fact)).alias("text"),
+    )
+    return evaluate.judge_self_checks(rows)
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'new' ELSE 'old' END AS source, turn % 2 = 0 AS refused FROM conversations"""
+)
+def rejudged_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third row judged anew; refusal flags are taken from the text again."""
+    key = F.concat_ws("#", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    said = F.when(F.col("turn") % 2 == 0, F.lit(text.REFUSAL)).otherwise(F.col("text"))
+    c = T(spark, sf, "conversations").select(key.alias("query_id"), "conv_id", "turn", said.alias("text"), F.lit(None).cast("boolean").alias("refused"))
+    done = evaluate.rejudged(c.withColumn("source", F.lit("old")), c.filter("turn % 3 = 0").withColumn("source", F.lit("new")))
+    return done.select("conv_id", "turn", "source", "refused")
+
+
+@query(
+    """WITH k AS (SELECT o_orderkey AS q, o_orderkey % 3 AS n FROM orders)
+    SELECT q AS query_id, md5('[1] מתוך טופס a — "t":' || chr(10) || 'one' || CASE WHEN n > 0 THEN chr(10) || chr(10) || '[2] מתוך הוראה b — "t":' || chr(10) || 'מילות מפתח רשמיות: k, m' || chr(10) || 'two' ELSE '' END
+      || chr(10) || chr(10) || '---' || chr(10) || 'Cite only: a' || CASE WHEN n > 0 THEN ', b' ELSE '' END || chr(10) || 'Question: q' || q) AS digest FROM k"""
+)
+def user_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages of one and two passages, with and without keywords."""
+    o = T(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"))
+    none = F.lit(None).cast("array<string>")
+    one = lambda rows, code, pos, body, words, kind: rows.select("query_id", F.lit("c").alias("collection"), F.lit(code).alias("code"), F.lit("t").alias("title"), F.lit(body).alias("text"), words.alias("keywords"), F.lit(kind).cast("string").alias("doctype"), F.lit(pos).alias("pos"))
+    passages = one(o, "a", 1, "one", none, "Form").unionByName(one(o.filter("query_id % 3 > 0"), "b", 2, "two", F.array(F.lit("k"), F.lit("m")), None))
+    asked = o.withColumn("question", F.concat(F.lit("q"), F.col("query_id").cast("string")))
+    return answer.user_messages(asked, passages).select("query_id", F.md5("message").alias("digest"))
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_anti_join(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.resume(T(spark, sf, "documents").select("doc_id"), T(spark, sf, "labels"), "doc_id")

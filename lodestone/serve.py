@@ -1,18 +1,21 @@
 """A small HTTP front: collections, answers, and answers as server-sent events.
 
 The heavy lifting is a function from (question, collection, topic codes) to an
-answer, such as ``cli.run_ask`` over a warm session.
+answer, such as ``cli.run_ask`` over a warm session.  A second one may yield the
+answer's pieces as they come (as ``transports.HttpLlm.stream`` does) and then
+the answer; without it the whole text is one piece.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from lodestone.sources.collections import Registry
 
 Ask = Callable[[str, str, list[str]], dict]
+Stream = Callable[[str, str, list[str]], Iterator[str | dict]]
 MAX_BYTES = 64 * 1024
 
 
@@ -35,7 +38,15 @@ def checked(body: bytes) -> tuple[str, str, list[str]]:
     return question, str(data.get("collection") or ""), [str(c) for c in codes]
 
 
-def make_server(registry: Registry, available: Callable[[], list[str]], ask: Ask, port: int = 0) -> ThreadingHTTPServer:
+def make_server(registry: Registry, available: Callable[[], list[str]], ask: Ask, port: int = 0, stream: Stream | None = None) -> ThreadingHTTPServer:
+    def pieces(question: str, collection: str, codes: list[str]) -> Iterator[str | dict]:
+        if stream is not None:
+            yield from stream(question, collection, codes)
+        else:
+            answer = ask(question, collection, codes)
+            yield answer.get("text", "")
+            yield answer
+
     class Handler(BaseHTTPRequestHandler):
         def log_message(self, *args) -> None:
             pass
@@ -73,9 +84,11 @@ def make_server(registry: Registry, available: Callable[[], list[str]], ask: Ask
             self.send_header("content-type", "text/event-stream; charset=utf-8")
             self.end_headers()
             try:
-                answer = ask(question, registry.get(collection).id, codes)
-                self.event("token", {"text": answer.get("text", "")})
-                self.event("done", answer)
+                for piece in pieces(question, registry.get(collection).id, codes):
+                    if isinstance(piece, str):
+                        self.event("token", {"text": piece})
+                    else:
+                        self.event("done", piece)
             except Exception as e:  # noqa: BLE001
                 self.event("error", {"error": str(e)})
             return None

@@ -32,3 +32,17 @@ def test_server():
     events = post("ask-stream", {"question": "stream it"})[1]
     assert "event: token" in events and "event: done" in events and "event: error" in post("ask-stream", {"question": "boom"})[1]
     server.shutdown()
+
+
+def test_pieces_come_as_they_are_made():
+    def stream(question, collection, codes):
+        yield "one "
+        yield "two"
+        yield {"text": "one two"}
+
+    server = make_server(Registry([Collection("a")]), lambda: ["a"], lambda *x: {}, stream=stream)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/api/ask-stream", json.dumps({"question": "stream it"}).encode()) as r:
+        events = r.read().decode()
+    assert events.count("event: token") == 2 and events.index("one ") < events.index("two") < events.index("event: done")
+    server.shutdown()

@@ -168,6 +168,12 @@ def test_stream(spark, root):
     (root / "docs" / "c" / "H.7.3.txt").write_text("New rules")
     run()
     assert stream.current(spark, index).count() == before + 1
+    assert spark.read.parquet(f"{index}/v=1").count() == 1  # a batch writes its own chunks only
+    (root / "docs" / "c" / "H.7.3b.txt").write_text("Newer rules")
+    stream.start(spark, folder, index, f"file://{root}/cp", "c", "instruction", manifest, lambda: HashTransport(8), merge_every=2).awaitTermination()
+    assert [name for _, name in stream.folders(spark, index)] == ["merged=1", "v=2"]
+    rows = stream.current(spark, index).collect()
+    assert len(rows) == before + 2 and sorted(r["ord"] for r in rows) == list(range(before + 2))
 
 
 def test_command_line(spark, root, capsys):
