@@ -36,6 +36,7 @@ WIDTH = 24
 MASK = (1 << WIDTH) - 1
 NEVER = 1 << 60
 TOGETHER = 1 << 20
+ROWS = 1_000
 Piece = tuple[str, int, bytes]
 
 
@@ -241,37 +242,45 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     rows out.  The file at ``path`` is read on the driver and sent to the
     executors (a vocabulary, of fixed size).
     """
-    found = encode_rows(id_and_text(docs), path)
+    found = encode_rows(id_and_text(docs), path, with_ids)
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else []))
 
 
 ADDED = "n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
 
 
-def encode_rows(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with the token ids of each row's whole text, their number, and both hashes; all columns stay.
+def encode_rows(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
+    """``docs`` with the number of tokens of each row's whole text, both hashes, and the ids; all columns stay.
 
     Null and empty texts have no ids.  A column of ``docs`` with one of the new
     names gives way to it.  Repeated rows come back repeated; no rows in, no
     rows out.
     """
     sent = docs.sparkSession.sparkContext.broadcast(read_spec(path))
-    new = [f.split(" ")[0] for f in ADDED.split(", ")]
+    new = [f.split(" ")[0] for f in ADDED.split(", ")][: 4 if with_ids else 3]
     kept = docs.select(*[c for c in docs.columns if c not in new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(sent.value)
-        for batch in batches:
-            counts, ids_hash, text_hash, ids = [], [], [], []
-            for found in own.encoded(texts(batch)):
-                joined = ",".join([f[0] for f in found])
-                counts.append(sum([f[1] for f in found]))
-                ids_hash.append(hashlib.sha256(joined.encode()).hexdigest())
-                raw = b"".join([f[2] for f in found])
-                text_hash.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
-                ids.append([int(i) for i in joined.split(",")] if joined else [])
-            columns = [pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string()), pa.array(ids, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *new])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                yield encoded(own, whole.slice(start, ROWS))
+
+    def encoded(own: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, ids_hash, text_hash, ids = [], [], [], [np.zeros(0, dtype=np.int32)]
+        for found in own.encoded(texts(batch)):
+            joined = ",".join([f[0] for f in found])
+            counts.append(sum([f[1] for f in found]))
+            ids_hash.append(hashlib.sha256(joined.encode()).hexdigest())
+            raw = b"".join([f[2] for f in found])
+            text_hash.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
+            if joined and with_ids:
+                ids.append(np.array(joined.split(","), dtype=np.int32))
+        columns = [pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+        if with_ids:  # numbers stay in arrays: as objects they would take nine times the memory
+            ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))))
+        return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *new])
 
     added = [T.StructField(n, t, True) for n, t in zip(new, (T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.IntegerType())))]
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added]))

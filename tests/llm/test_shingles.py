@@ -53,7 +53,7 @@ def test_stage_on_the_test_data(spark):
 def test_large_groups_meet_in_tiles(monkeypatch):
     monkeypatch.setattr(shingles, "TILE", 7)
     zero = pa.array(np.zeros(50, int))
-    bits = pa.array([bytes(128)] * 50, pa.binary())
+    bits = pa.array([bytes(shingles.BITMAP // 8)] * 50, pa.binary())
     root = np.arange(50) // 5 * 5  # five sets each are linked already
     columns = [zero, zero, zero, pa.array(np.full(50, -1)), pa.array(np.arange(50)), pa.array(root), pa.array(np.full(50, 20)), zero, bits]
     batch = pa.RecordBatch.from_arrays(columns, names=["key", "g", "h", "side", "digest", "root", "n", "place", "bits"])
