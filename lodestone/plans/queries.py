@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, Settings
@@ -337,23 +337,30 @@ def named_codes(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve.named_codes(asked, _chunk_table(spark, sf))
 
 
-_PART_TEXT = "concat_ws(chr(9), p_partkey::VARCHAR, p_name, p_brand, p_type, p_size::VARCHAR, 'end')"
+_NAMED_PART = "p_name || ' nr' || p_partkey % 97"
+_PART_TEXT = f"concat_ws(chr(9), p_partkey::VARCHAR, {_NAMED_PART}, p_brand, p_type, p_size::VARCHAR, 'end')"
+
+
+def _named_part() -> Column:
+    return F.concat(F.col("p_name"), F.lit(" nr"), (F.col("p_partkey") % 97).cast("string"))
 
 
 def _part_chunks(spark: SparkSession, sf: str) -> DataFrame:
     p = T(spark, sf, "part")
-    cells = [F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string"), F.lit("end")]
+    cells = [F.col("p_partkey").cast("string"), _named_part(), F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string"), F.lit("end")]
     return p.select(F.col("p_partkey").alias("ord"), F.lit("c").alias("collection"), F.col("p_brand").alias("code"), F.concat_ws("\t", *cells).alias("text"))
 
 
 @query(
-    f"""WITH q AS (SELECT DISTINCT p_size AS query_id, p_name AS phrase FROM part),
+    f"""WITH w AS (SELECT p_size AS query_id, string_split({_NAMED_PART}, ' ') AS w FROM part),
+    q AS (SELECT DISTINCT query_id, w[i] || ' ' || w[i + 1] AS phrase FROM (SELECT query_id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM w) WHERE length(w[i]) >= 3 AND length(w[i + 1]) >= 3),
     c AS (SELECT p_brand AS code, {_PART_TEXT} AS text FROM part),
     r AS (SELECT phrase FROM (SELECT DISTINCT phrase FROM q) JOIN c ON contains(text, phrase) GROUP BY phrase HAVING count(DISTINCT code) <= 8)
     SELECT query_id, phrase FROM q JOIN r USING (phrase)"""
 )
 def rare_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    asked = T(spark, sf, "part").select(F.col("p_size").alias("query_id"), F.concat(F.lit("מה "), F.col("p_name"), F.lit("?")).alias("text"))
+    """Word pairs of the parts' names and numbers that at most eight brands' rows hold."""
+    asked = T(spark, sf, "part").select(F.col("p_size").alias("query_id"), F.concat(F.lit("מה "), _named_part(), F.lit("?")).alias("text"))
     return retrieve.rare_phrases(asked, _part_chunks(spark, sf))
 
 
