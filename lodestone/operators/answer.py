@@ -14,6 +14,7 @@ from lodestone.operators.query_prep import EVENTS, replies
 from lodestone.operators.retrieve import chunks_per_doc, confident, neighbours, parent_context, parent_vote
 from lodestone.operators.transports import LlmTransport
 from lodestone.sources.collections import Collection
+from lodestone.sources.shared import cut
 
 REFUSAL_TEXT = "לא מצאתי במסמכים שברשותי."
 CLARIFY_TEXT = "לא ברור לי למה התכוונת. איזה מהנושאים האלה?"
@@ -227,7 +228,7 @@ def ask(questions: DataFrame, hits: DataFrame, chunks: DataFrame, collection: Co
     if "topic_codes" in questions.columns:
         hits = choose_topics(hits, asked.filter("_chosen"))
     retrieved = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code", "title", "score"))), lambda h: F.struct(h["code"].alias("code"), h["title"].alias("title"), h["score"].alias("score"))).alias("retrieved"))
-    found = clarify.topics(hits, settings)
+    found = cut(clarify.topics(hits, settings))
     gate = asked.join(confident(hits, threshold), "query_id", "left").join(clarify.decide(hits, found, threshold, settings), "query_id", "left")
     state = (
         F.when(F.col("_chosen"), "go")
@@ -235,7 +236,7 @@ def ask(questions: DataFrame, hits: DataFrame, chunks: DataFrame, collection: Co
         .when(~F.coalesce("confident", F.lit(False)), "gate")
         .otherwise("go")
     )
-    gate = gate.select("query_id", "question", state.alias("state"))
+    gate = cut(gate.select("query_id", "question", state.alias("state")))
     going = gate.filter("state = 'go'")
     live = hits.join(going.select("query_id"), "query_id", "left_semi")
     if settings.parent_vote:
@@ -251,6 +252,7 @@ def ask(questions: DataFrame, hits: DataFrame, chunks: DataFrame, collection: Co
         passages = parent_context(ranked, chunks, settings).drop("title").join(detail, ["collection", "id"], "left")
     else:
         passages = neighbours(ranked, chunks, settings.neighbour_radius).join(detail, ["collection", "id"], "left")
+    ranked, passages = cut(ranked), cut(passages)  # each is read by many branches below
     told = replies(user_messages(going, passages, collection.citation), F.lit(system_prompt(collection, settings)), F.col("message"), make, attempts=settings.generate_attempts)
     calls.append(told)
     answers = told.select("query_id", F.col("reply.text").alias("text"), F.col("reply.error").alias("error"), "reply.first_token_ms", "reply.total_ms", truncated(F.col("reply.stop_reason")).alias("truncated"))
@@ -258,6 +260,7 @@ def ask(questions: DataFrame, hits: DataFrame, chunks: DataFrame, collection: Co
     if settings.refusal_quote_check:
         calls.append(_refusal_checks(going, answers, own, make))
         own = _checked_sources(own, calls[-1])
+    own = cut(own)
     listed = own.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code", "title", "score"))), lambda h: F.struct(h["code"].alias("code"), h["title"].alias("title"), h["score"].alias("score"))).alias("sources"))
     doubtful = unverified_codes(answers, passages, settings.unverified_allows_passages).groupBy("query_id").agg(F.array_sort(F.collect_list("code")).alias("unverified"))
     order = ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda h: h["code"]).alias("ranked"), F.max("reranked").alias("reranked"), F.max("rerank_reason").alias("rerank_reason"))
