@@ -12,9 +12,11 @@ tree is built by a stack scan.  Within each interval the left extensions are
 tested for diversity the same way, which gives all maximal repeats through the
 anchor with all their occurrences.
 
-Groups above ``GROUP_ROWS`` distinct surroundings are never brought together:
-their windows are compared by hash, in blocks first and one by one where a
-block is only partly repeated.
+An anchor that a sample of the documents shows in many distinct surroundings
+is dealt by them and never brought together: its windows are compared by hash,
+in blocks first and one by one where a block is only partly repeated.  The
+sample decides where rows go, never the result.  The same is done with an
+anchor that the sample missed and that has more than ``GROUP_ROWS``.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ WINDOW = 200
 ANCHOR = 40
 REACH = WINDOW - ANCHOR
 GROUP_ROWS = 32768
-BATCH_HOT = 1024
+SAMPLE = 5_000
+COMMON = 128
+MOST_COMMON = 100_000
 BLOCK = 16
 PIECE = 1 << 18
 SLICE = 1 << 20
@@ -148,56 +152,76 @@ def _source(docs: DataFrame) -> DataFrame:
 
 # Places with the same anchor ----------------------------------------------------
 
-SPAN, PLACE, HOT, MARKER = range(4)
+SPAN, PLACE, HOT = range(3)
 _PLACE_SCHEMA = "part long, other long, key long, at long, kind int"
 _PLACE_NAMES = ["part", "other", "key", "at", "kind"]
 _KIND_NAMES = ["kind", "h", "c", "key", "at", "n"]
 _KIND_SCHEMA = "kind int, h long, c long, key long, at long, n int"
 
 
-def _local_places(batch_hot: int):
+def _surrounding_hashes(texts: list[bytes], row: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Hash of the bytes around each place that its windows may cover."""
+    out = np.empty(len(row), dtype=np.uint64)
+    for k, (r, p) in enumerate(zip(row.tolist(), pos.tolist())):
+        low = p - REACH if p > REACH else 0
+        out[k] = xxhash.xxh3_64_intdigest(texts[r][low : p + WINDOW], p - low)
+    return out.view(np.int64)
+
+
+def common_anchors(source: DataFrame, sample: int = SAMPLE, least: int = COMMON) -> np.ndarray:
+    """Anchors with ``least`` or more distinct surroundings in a sample of about so many documents, sorted.
+
+    At most ``MOST_COMMON``, the commonest.
+    """
+    parts = max(1, source.count() // max(1, sample))
+    some = source.select("key", "mark", "text").filter(F.pmod(F.xxhash64("key", "mark"), F.lit(parts)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = list(byte_texts(batch))
+            row, pos, grams = _places([(i, d) for i, d in enumerate(texts) if len(d) >= WINDOW])
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(_surrounding_hashes(texts, row, pos))], names=["h", "c"])
+
+    seen = some.mapInArrow(run, "h long, c long").distinct().groupBy("h").count().filter(F.col("count") >= least)
+    return np.sort(seen.orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toArrow().column("h").to_numpy().astype(np.int64))
+
+
+def _local_places(sent):
     """mapInArrow body: (key, mark, text) -> one row per distinct (anchor, surroundings) of the batch.
 
     Places whose surroundings recur within the batch are reported as spans at
     once and stand for one row (n = 2), so that copies are folded before the
-    shuffle.  An anchor with many surroundings within the batch is hot: its rows
-    are dealt by surroundings, and a marker tells the anchor's own partition.
+    shuffle.  Rows of common anchors are dealt by surroundings, others by anchor.
     kind holds 4 * kind + n; at holds the place above the document's mark.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = sent.value
         for batch in batches:
             keys, marks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             texts = list(byte_texts(batch))
             row, pos, grams = _places([(i, d) for i, d in enumerate(texts) if len(d) >= WINDOW])
             if not len(row):
                 continue
-            c = np.empty(len(row), dtype=np.uint64)
-            for k, (r, p) in enumerate(zip(row.tolist(), pos.tolist())):
-                low = p - REACH if p > REACH else 0
-                c[k] = xxhash.xxh3_64_intdigest(texts[r][low : p + WINDOW], p - low)
-            h, c = grams.view(np.int64), c.view(np.int64)
+            h, c = grams.view(np.int64), _surrounding_hashes(texts, row, pos)
             key, at = keys[row], (pos.astype(np.int64) << 32) | marks[row].astype(np.int64)
             order = np.lexsort((c, h))
             h, c, key, at = h[order], c[order], key[order], at[order]
-            new_h = np.concatenate([[True], h[1:] != h[:-1]])
-            new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
-            first = np.nonzero(new_c)[0]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+            first = np.nonzero(new)[0]
             sizes = np.diff(np.append(first, len(h)))
             again = np.repeat(sizes > 1, sizes)
             n = np.minimum(sizes, 2)
-            of_h = np.cumsum(new_h[first]) - 1
-            hot = (np.bincount(of_h) > batch_hot)[of_h]
             h1, c1 = h[first], c[first]
-            own = new_h[first] & hot
-            none = np.zeros(own.sum(), dtype=np.int64)
+            hot = common[np.minimum(np.searchsorted(common, h1), len(common) - 1)] == h1 if len(common) else np.zeros(len(h1), dtype=bool)
             zero = np.zeros(again.sum(), dtype=np.int64)
             columns = (
-                (np.where(hot, c1, h1), h1[own], key[again] ^ (at[again] >> 3)),
-                (np.where(hot, h1, c1), none, zero),
-                (key[first], none, key[again]),
-                (at[first], none, at[again]),
-                (4 * np.where(hot, HOT, PLACE) + n, none + 4 * MARKER, zero + 4 * SPAN),
+                (np.where(hot, c1, h1), key[again] ^ (at[again] >> 3)),
+                (np.where(hot, h1, c1), zero),
+                (key[first], key[again]),
+                (at[first], at[again]),
+                (4 * np.where(hot, HOT, PLACE) + n, zero + 4 * SPAN),
             )
             arrays = [np.concatenate(x) for x in columns]
             yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in arrays[:4]), pa.array(arrays[4].astype(np.int32))], names=_PLACE_NAMES)
@@ -209,14 +233,14 @@ def _group_places(bound: int):
     """mapInArrow body over rows sorted by (part, kind downwards, other): spans, places with several surroundings, hot rows.
 
     Runs through the rows of an anchor in order and holds at most ``bound``
-    distinct surroundings; an anchor with more, or with a marker, is hot.
+    distinct surroundings; an anchor with more becomes hot.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         anchor: int | None = None
         held: list[list] = []  # c, key, at, n
-        hot = told = False
+        hot = False
 
         def close() -> None:
             if hot:
@@ -241,9 +265,6 @@ def _group_places(bound: int):
                 if p != anchor:
                     close()
                     anchor, hot = p, False
-                if what == MARKER:
-                    hot = True
-                    continue
                 if held and held[-1][0] == other:
                     last = held[-1]
                     if last[3] == 1:
@@ -271,9 +292,10 @@ def _kind_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_KIND_NAMES)
 
 
-def repeated_places(source: DataFrame, bound: int, batch_hot: int) -> DataFrame:
+def repeated_places(source: DataFrame, bound: int, sample: int, least: int) -> DataFrame:
     """(kind, h, c, key, at, n): whole spans, places to compare, and places of hot anchors."""
-    local = source.select("key", "mark", "text").mapInArrow(_local_places(batch_hot), _PLACE_SCHEMA)
+    common = source.sparkSession.sparkContext.broadcast(common_anchors(source, sample, least))
+    local = source.select("key", "mark", "text").mapInArrow(_local_places(common), _PLACE_SCHEMA)
     dealt = local.repartition("part").sortWithinPartitions("part", F.desc("kind"), "other")
     return store(dealt.mapInArrow(_group_places(bound), _KIND_SCHEMA))
 
@@ -389,36 +411,38 @@ def _window_rows(step: int):
     bytes of those that lie within the text.  Both include the anchor.
     """
 
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+
+    def hashed(row: tuple) -> Iterator[tuple]:
+        key, at, before, body = row[1:5]
+        text, a = before + body, len(before)
+        least = max(0, WINDOW - len(body))  # a window needs bytes behind the anchor
+        if len(row) > 5:
+            firsts = range(max(row[5], least), min(row[5] + BLOCK - 1, a) + 1)
+        else:
+            firsts = range(least - least % step, a + 1, step)
+        is_open = row[6] if len(row) > 6 else True
+        for first in firsts:
+            lo, hi = max(first, least), min(first + step - 1, a)
+            if lo <= hi:
+                inner = xxhash.xxh3_64_intdigest(text[a - first : a - (first + step - 1) + WINDOW], first)
+                cover = xxhash.xxh3_64_intdigest(text[a - hi : a - lo + WINDOW], lo * 256 + hi)
+                yield key, at, first, lo, hi, inner - 2**63, cover - 2**63, is_open
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-        for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                key, at, before, body = row[1:5]
-                text, a = before + body, len(before)
-                least = max(0, WINDOW - len(body))  # a window needs bytes behind the anchor
-                if len(row) > 5:
-                    firsts = range(max(row[5], least), min(row[5] + BLOCK - 1, a) + 1)
-                else:
-                    firsts = range(least - least % step, a + 1, step)
-                is_open = row[6] if len(row) > 6 else True
-                for first in firsts:
-                    lo, hi = max(first, least), min(first + step - 1, a)
-                    if lo <= hi:
-                        inner = xxhash.xxh3_64_intdigest(text[a - first : a - (first + step - 1) + WINDOW], first)
-                        cover = xxhash.xxh3_64_intdigest(text[a - hi : a - lo + WINDOW], lo * 256 + hi)
-                        out.append((key, at, first, lo, hi, inner - 2**63, cover - 2**63, is_open))
-                if len(out) > 20_000:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                out = [x for row in zip(*(c.to_pylist() for c in batch.columns)) for x in hashed(row)]
+                if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=_BLOCK_NAMES)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=_BLOCK_NAMES)
 
     return run
 
 
 def _recurring(blocks: DataFrame, name: str) -> DataFrame:
-    return blocks.groupBy(name).agg(F.count("*").alias("n")).filter("n > 1").select(name, F.lit(True).alias(f"{name}_recurs"))
+    """Hashes that recur, counted within each partition first; a table, so that Spark sees and splits a skewed join with it."""
+    return store(blocks.groupBy(name).agg(F.count("*").alias("n")).filter("n > 1").select(name, F.lit(True).alias(f"{name}_recurs")))
 
 
 def _cover_hot(rows: DataFrame) -> DataFrame:
@@ -427,9 +451,9 @@ def _cover_hot(rows: DataFrame) -> DataFrame:
     Where all bytes of a block recur its windows do; where its common bytes
     don't recur none does; only the blocks between are taken window by window.
     """
-    blocks = rows.mapInArrow(_window_rows(BLOCK), _BLOCK_SCHEMA)
+    blocks = store(rows.mapInArrow(_window_rows(BLOCK), _BLOCK_SCHEMA))  # these tables are read several times
     judged = blocks.join(_recurring(blocks, "inner"), "inner").join(_recurring(blocks, "cover"), "cover", "left")
-    judged = judged.select("key", "at", "first", "lo", "hi", "cover", "cover_recurs").repartition("key", "at")  # read three times
+    judged = store(judged.select("key", "at", "first", "lo", "hi", "cover", "cover_recurs"))
     span = _spans(F.col("hi"), F.col("lo"))
     whole = judged.filter("cover_recurs").select(*span)
     # An open block's windows recur in blocks with the same common bytes: all open ones, and one of each kind of covered ones.
@@ -437,7 +461,7 @@ def _cover_hot(rows: DataFrame) -> DataFrame:
     covered = judged.filter("cover_recurs").groupBy("cover").agg(F.min(F.struct("key", "at", "first")).alias("s"))
     wanted = open_blocks.unionByName(covered.select("s.*", F.lit(False).alias("open")))
     text = rows.join(wanted, ["key", "at"]).select("h", "key", "at", "before", "body", "first", "open")
-    windows = text.mapInArrow(_window_rows(1), _BLOCK_SCHEMA)
+    windows = store(text.mapInArrow(_window_rows(1), _BLOCK_SCHEMA))
     mine = windows.filter("open").join(_recurring(windows, "cover"), "cover")
     return whole.unionByName(mine.select(*span))
 
@@ -474,10 +498,10 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield emit(out)
 
 
-def repeated_spans(docs: DataFrame, group_rows: int = GROUP_ROWS, batch_hot: int = BATCH_HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, group_rows: int = GROUP_ROWS, sample: int = SAMPLE, least: int = COMMON) -> DataFrame:
     """(key, mark, start, stop): bytes that repeats of at least WINDOW bytes cover; spans may overlap and pass the ends."""
     source = _source(docs)
-    places = repeated_places(source, group_rows, batch_hot)
+    places = repeated_places(source, group_rows, sample, least)
     spans = places.filter(F.col("kind") == SPAN).select(*_spans(F.lit(REACH)))
     wanted = places.filter(F.col("kind") == PLACE).select("h", "key", "at", "kind")
     hot = places.filter(F.col("kind") == HOT)
@@ -507,7 +531,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, with_bytes: bool = False, batch_hot: int = BATCH_HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, with_bytes: bool = False, sample: int = SAMPLE, least: int = COMMON) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row.
 
     Each byte covered by a WINDOW-byte string that also starts elsewhere in the
@@ -516,7 +540,7 @@ def without_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, with_bytes: b
     doc_id stays null; no rows in, no rows out.
     """
     source = _source(docs)
-    spans = repeated_spans(docs, group_rows, batch_hot)
+    spans = repeated_spans(docs, group_rows, sample, least)
     listed = spans.groupBy("key", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # at most a document's places
     held = source.join(listed, ["key", "mark"], "left").select("doc_id", "text", "spans")
 

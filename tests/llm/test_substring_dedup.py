@@ -47,11 +47,12 @@ def corpus(seed):
     return [(i, t) for i, t in enumerate(texts)] + [(2, texts[2]), (None, texts[4])]
 
 
-@pytest.mark.parametrize(("seed", "bound", "hot"), [(1, sd.GROUP_ROWS, sd.BATCH_HOT), (2, sd.GROUP_ROWS, sd.BATCH_HOT), (3, 2, 99), (4, 1, 99), (5, 40, 1), (6, 40, 2), (7, 3, 4)])
-def test_against_brute_force(spark, seed, bound, hot):
+@pytest.mark.parametrize(("seed", "bound", "least"), [(1, sd.GROUP_ROWS, sd.COMMON), (3, 2, 99), (4, 1, 99), (5, 40, 2), (6, 40, 3), (7, 3, 4)])
+def test_against_brute_force(spark, seed, bound, least):
+    """By suffix arrays alone, with anchors above the bound, and with anchors that the sample shows as common."""
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, mark string")
-    out = sorted((tuple(r) for r in sd.without_repeats(docs, bound, batch_hot=hot).collect()), key=str)
+    out = sorted((tuple(r) for r in sd.without_repeats(docs, bound, least=least).collect()), key=str)
     assert out == brute(rows)
 
 
