@@ -2,78 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import cut, store
 from lodestone.sources.spread import spread
 
+__all__ = ["byte_texts", "cut", "id_and_text", "keep_representatives", "map_batches", "same_text", "small", "store", "table", "texts", "with_text"]
+
+#: Rows of ids or marks that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-_told: set[str] = set()
-
-
-def _shared_folder(spark: SparkSession) -> str:
-    """This application's own folder below the one that the cluster names in ``spark.checkpoint.dir``.
-
-    A temporary folder is used only where that is unset, in local tests.  The
-    folder goes when the driver ends.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-"))
-    folder = context._jsc.sc().getCheckpointDir().get()
-    if folder not in _told:
-        _told.add(folder)
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        atexit.register(_remove, path.getFileSystem(context._jsc.hadoopConfiguration()), path)
-    return folder
-
-
-def _remove(fs, path) -> None:
-    """Best effort: the JVM may be gone by then."""
-    with contextlib.suppress(Exception):
-        fs.delete(path, True)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder."""
-    _shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def store(df: DataFrame) -> DataFrame:
-    """``df`` written as a compact table in the shared folder and read back.
-
-    The table stands for the shuffles that made it, so Spark is told to remove
-    their files as soon as it is written.  It is told so in a copy of the
-    session that runs this one job; the session itself stays as it is.
-    """
-    spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    own = spark._jsparkSession.cloneSession()
-    own.conf().set(_CLEAN_UP, "true")
-    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own, df._jdf.queryExecution().logical())
-    rows.write().option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
-
-
 def byte_texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
     """UTF-8 bytes of a text column, row by row; null is empty."""
     index = batch.schema.get_field_index(column)
@@ -120,15 +68,27 @@ def same_text(text: Column) -> Column:
     return F.md5(F.coalesce(text.cast("string"), F.lit("")))
 
 
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A table (not a plan: it is counted) to be broadcast if it has few rows; joined by shuffle beyond that."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def keep_representatives(docs: DataFrame, placed: DataFrame) -> DataFrame:
     """One row of ``docs`` for each ``root`` of placed (doc_id, same, root); all columns stay.
 
     It is the row with the least doc_id (rows without one come last), then the
     least mark.  Rows with the same doc_id but other texts are told apart; of
     rows with the same doc_id and text one stays, whatever their other columns.
+    Texts are shuffled only where too many rows go, and those of repeated rows.
     """
     named = lambda doc_id, same: F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), same)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "same")).alias("r")
-    kept = placed.groupBy("root").agg(first).select(named(F.col("r.doc_id"), F.col("r.same")).alias("_row_mark"))
-    marked = docs.withColumn("_row_mark", named(F.col("doc_id"), same_text(F.col("text"))))
-    return marked.join(kept, "_row_mark", "left_semi").dropDuplicates(["_row_mark"]).drop("_row_mark")
+    rows = store(placed.groupBy("root", named(F.col("doc_id"), F.col("same")).alias("_row_mark")).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row_mark")).alias("r")
+    kept = rows.groupBy("root").agg(first).select(F.col("r._row_mark").alias("_row_mark"))
+    goes = store(rows.join(kept, "_row_mark", "left_anti").select("_row_mark"))
+    again = store(rows.filter("n > 1").join(kept, "_row_mark", "left_semi").select("_row_mark"))
+    marked = docs.withColumn("_row_mark", named(F.col("doc_id"), same_text(F.col("text")))).join(small(goes), "_row_mark", "left_anti")
+    if again.isEmpty():
+        return marked.drop("_row_mark")
+    once, repeated = (marked.join(small(again), "_row_mark", how) for how in ("left_anti", "left_semi"))
+    return once.unionByName(repeated.dropDuplicates(["_row_mark"])).drop("_row_mark")
