@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.sources.shared import cut, store
+from lodestone.sources.shared import cut, drop, store
 from lodestone.sources.spread import spread
 
-__all__ = ["byte_texts", "cut", "id_and_text", "keep_representatives", "map_batches", "same_text", "small", "store", "table", "texts", "with_text"]
+__all__ = ["byte_texts", "cut", "drop", "id_and_text", "keep_representatives", "map_batches", "same_text", "small", "store", "table", "texts", "with_text"]
 
 #: Rows of ids or marks that are broadcast at most.
 BROADCAST_ROWS = 500_000
@@ -87,6 +87,7 @@ def keep_representatives(docs: DataFrame, placed: DataFrame) -> DataFrame:
     kept = rows.groupBy("root").agg(first).select(F.col("r._row_mark").alias("_row_mark"))
     goes = store(rows.join(kept, "_row_mark", "left_anti").select("_row_mark"))
     again = store(rows.filter("n > 1").join(kept, "_row_mark", "left_semi").select("_row_mark"))
+    drop(rows)
     marked = docs.withColumn("_row_mark", named(F.col("doc_id"), same_text(F.col("text")))).join(small(goes), "_row_mark", "left_anti")
     if again.isEmpty():
         return marked.drop("_row_mark")
