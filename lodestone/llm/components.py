@@ -7,6 +7,8 @@ and one checksum per round.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,17 +16,18 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut
 
 
-def spanning(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (x, y) of the nodes 0 to n - 1 -> links from each node to the first of its part: the same components with few links."""
+def spanning(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each of the nodes 0 to n - 1 to the first node of its part: the same components with few links."""
     label = np.arange(n)
-    while True:
-        low = np.minimum(label[x], label[y])
-        if (low == label[x]).all() and (low == label[y]).all():
-            break
-        for side in (x, y):
-            np.minimum.at(label, label[side], low)
-            np.minimum.at(label, side, low)
-        label = label[label]
+    for x, y in pairs:
+        while True:
+            low = np.minimum(label[x], label[y])
+            if (low == label[x]).all() and (low == label[y]).all():
+                break
+            for side in (x, y):
+                np.minimum.at(label, label[side], low)
+                np.minimum.at(label, side, low)
+            label = label[label]
     while (label != label[label]).any():
         label = label[label]
     moved = np.nonzero(label != np.arange(n))[0]

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import shingles
 from lodestone.llm.common import byte_texts, cut, id_and_text, keep_representatives, map_batches, same_text
-from lodestone.llm.components import connected_components
-from lodestone.llm.shingles import runs
+from lodestone.llm.components import connected_components, spanning
+from lodestone.llm.shingles import majority, runs
 
 TILE = 512
 
@@ -42,13 +42,7 @@ def fingerprint(data: bytes, words: int = 3, seed: int = 42) -> int:
     else:
         shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words))))
         count = len(tokens) - words + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), dtype=np.uint64, count=count)
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, count, 8192):
-        part = hashes[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    bits = (2 * ones > count).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), dtype=np.uint64, count=count))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, with_text_mark: bool = False) -> DataFrame:
@@ -94,24 +88,6 @@ def close_pairs(fp: np.ndarray, bucket: np.ndarray, radius: int, side: np.ndarra
                 yield order[i + x], order[j + y]
 
 
-def _spanning(nodes: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Links from each node to the first node of its part: the same components with few links."""
-    label = np.arange(len(nodes))
-    for x, y in pairs:
-        while True:
-            low = np.minimum(label[x], label[y])
-            if (low == label[x]).all() and (low == label[y]).all():
-                break
-            for side in (x, y):
-                np.minimum.at(label, label[side], low)
-                np.minimum.at(label, side, low)
-            label = label[label]
-    while (label != label[label]).any():
-        label = label[label]
-    moved = np.nonzero(label != np.arange(len(nodes)))[0]
-    return nodes[moved], nodes[label[moved]]
-
-
 def _link_groups(radius: int):
     """mapInArrow body over rows (g1, g2, g3, g4, side, fp) sorted by the group columns; side is -1 where a bucket has none."""
 
@@ -119,7 +95,7 @@ def _link_groups(radius: int):
         for own in (side < 0, side >= 0):
             if own.any():
                 sides = side[own] if side[own][0] >= 0 else None
-                a, b = _spanning(fp[own], close_pairs(fp[own], bucket[own], radius, sides))
+                a, b = (fp[own][at] for at in spanning(own.sum(), close_pairs(fp[own], bucket[own], radius, sides)))
                 if len(a):
                     yield _links(a, b)
 
@@ -247,10 +223,11 @@ def keep_one(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFrame:
 def keep_similar(docs: DataFrame) -> DataFrame:
     """One row of each group of near duplicates, by five-word similarity of 0.8 or more; all columns stay.
 
-    Texts that similar differ in about ten of 64 fingerprint bits, a radius at
-    which no bit blocks agree often enough to be dealt by, so that fingerprints
-    would lose links.  The sets themselves are compared instead (``shingles``),
-    as fingerprints are here: in tiles, by exclusive-or and bit counts of
-    1,024-bit maps, and verified.  No link is lost.
+    SimHash fingerprints of the five-word shingles are linked at 3 bits as
+    everywhere here: rows meet where two of five bit blocks agree, and are
+    compared in tiles by exclusive-or and bit counts.  Texts that similar often
+    differ in ten bits, a radius at which no blocks agree often enough to be
+    dealt by.  So ``shingles`` adds the candidates of an exact prefix join,
+    tiled in the same way, and verifies all on the sets.  No link is lost.
     """
-    return shingles.keep_one(docs)
+    return shingles.keep_one(docs, near_links)
