@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestone.llm.common import id_and_text, texts
+from lodestone.llm.common import id_and_text, sparing, texts
 
 #: Word pattern of byte-level vocabularies (a fixed value of the format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -36,7 +36,6 @@ WIDTH = 24
 MASK = (1 << WIDTH) - 1
 NEVER = 1 << 60
 TOGETHER = 1 << 20
-ROWS = 1_000
 Piece = tuple[str, int, bytes]
 
 
@@ -262,9 +261,8 @@ def encode_rows(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(sent.value)
-        for whole in batches:
-            for start in range(0, whole.num_rows, ROWS):
-                yield encoded(own, whole.slice(start, ROWS))
+        for batch in batches:
+            yield encoded(own, batch)
 
     def encoded(own: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, ids_hash, text_hash, ids = [], [], [], [np.zeros(0, dtype=np.int32)]
@@ -283,7 +281,7 @@ def encode_rows(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *new])
 
     added = [T.StructField(n, t, True) for n, t in zip(new, (T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.IntegerType())))]
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added]))
+    return kept.mapInArrow(sparing(run), T.StructType([*kept.schema.fields, *added]))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

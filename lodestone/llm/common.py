@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,10 +13,12 @@ from pyspark.sql import functions as F
 from lodestone.sources.shared import cut, drop, store
 from lodestone.sources.spread import spread
 
-__all__ = ["byte_texts", "cut", "drop", "id_and_text", "keep_representatives", "map_batches", "same_text", "small", "store", "table", "texts", "with_text"]
+__all__ = ["byte_texts", "cut", "drop", "id_and_text", "keep_representatives", "map_batches", "same_text", "small", "sparing", "store", "table", "texts", "with_text"]
 
 #: Rows of ids or marks that are broadcast at most.
 BROADCAST_ROWS = 500_000
+#: Rows of a batch that are worked on together where that takes much more memory than the batch.
+ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +40,33 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
         yield value.as_py() or ""
 
 
+def release() -> None:
+    """Give the memory that Arrow and the C library keep for later back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def sparing(body: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A ``mapInArrow`` body that gets its batches in slices of ``ROWS`` rows, none empty, and keeps no memory that it doesn't use.
+
+    Workers live on beside the next stages; without this each keeps the most
+    that any batch took.
+    """
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                yield batch.slice(start, ROWS)
+            release()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from body(slices(batches))
+        release()
+
+    return run
+
+
 def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` over batches; ``make`` turns one batch into one batch."""
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.llm.boosting import BoostedTrees, Calibration
-from lodestone.llm.common import id_and_text, texts, with_text
+from lodestone.llm.common import id_and_text, sparing, texts, with_text
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "account", "local_phone", "national_id", "iban", "spelled_email")
@@ -356,8 +356,6 @@ def redact_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             at, new = batch.schema.get_field_index("text"), []
             for value in batch.column(at):
                 text = value.as_py()
@@ -365,4 +363,4 @@ def redact_documents(docs: DataFrame) -> DataFrame:
                 new.append(redact(text, spans) if spans else text)
             yield with_text(batch, new)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(sparing(run), docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import byte_texts, id_and_text, map_batches
+from lodestone.llm.common import byte_texts, id_and_text, map_batches, sparing
 from lodestone.llm.gam import PairwiseGam
 
 MAX_TRAIN = 20_000
@@ -123,7 +123,6 @@ def keep_good(docs: DataFrame, model: PairwiseGam, cutoff: float = CUTOFF) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(model.score(_matrix(batch)) >= cutoff))
+            yield batch.filter(pa.array(model.score(_matrix(batch)) >= cutoff))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(sparing(run), docs.schema)
