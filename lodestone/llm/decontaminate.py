@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -47,15 +49,21 @@ _CAP, _END, _UNITLIKE = 1 << 40, 1 << 41, 1 << 42
 _ID = (1 << 40) - 1
 _NOTHING = 1 << 43
 _NAMED = 1 << 44
+_AROUND = "\"'.,;:!?()[]"
+_LEADS = frozenset("-+$€£0123456789")
 SLICE = 50_000
+#: Words of texts that are looked at together, or one text.
+TOGETHER = 1 << 15
 
 
 def _describe(token: str, vocabulary: dict[str, int], names: set[str]) -> int:
     """A raw word's literal id (0: not in the benchmark) and its marks."""
-    core = token if token.isalpha() else _EDGE.sub("", token)
+    core = token if token.isalpha() else token.strip(_AROUND)
+    if not core.isalpha():
+        core = _EDGE.sub("", core)
     if not core:
         return _NOTHING
-    if _NUMBER.fullmatch(core):
+    if core[0] in _LEADS and _NUMBER.fullmatch(core):
         return NUM | (_END if token[-1] in ".!?" and not token[-1].isdigit() else 0)
     low = core.lower()
     out = vocabulary.get(low, 0)
@@ -70,11 +78,13 @@ def _describe(token: str, vocabulary: dict[str, int], names: set[str]) -> int:
     return out
 
 
-def _placed(described: np.ndarray) -> np.ndarray:
-    """Literal ids (0: unknown), with numbers and the units after them replaced."""
+def _placed(described: np.ndarray, text: np.ndarray | None = None) -> np.ndarray:
+    """Literal ids (0: unknown), with numbers and the units after them in the same text replaced."""
     ids = described & _ID
     unit = np.zeros(len(ids), dtype=bool)
     unit[1:] = (ids[:-1] == NUM) & ((described[1:] & _UNITLIKE) != 0)
+    if text is not None:
+        unit[1:] &= text[1:] == text[:-1]
     return np.where(unit, UNIT, ids)
 
 
@@ -100,15 +110,46 @@ def _hashes(ids: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def _row_hashes(rows: np.ndarray) -> np.ndarray:
-    """As ``_hashes``, of one window a row."""
-    out = np.zeros(len(rows), dtype=np.uint64)
-    for k in range(rows.shape[1]):
-        out = (out ^ rows[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+def _masked_hashes(ids: np.ndarray, at: np.ndarray, named: np.ndarray) -> np.ndarray:
+    """As ``_hashes``, of the windows at some places, with the words that a row of ``named`` marks read as names."""
+    out = np.zeros(len(at), dtype=np.uint64)
+    for k in range(named.shape[1]):
+        out = (out ^ np.where(named[:, k], NAME, ids[at + k]).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out
 
 
+class Known:
+    """The hashes of the benchmark's windows of one size.
+
+    A table over their first bits, at least 16 times as long, tells most others
+    apart before they are looked up.
+    """
+
+    def __init__(self, hashes: Iterable[int]) -> None:
+        self.sorted = np.array(sorted(hashes), dtype=np.uint64)
+        self.shift = np.uint64(64 - max(16, len(self.sorted).bit_length() + 4))
+        self.begins = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.begins[self.sorted >> self.shift] = True
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The places of those that are known."""
+        at = np.nonzero(self.begins[hashes >> self.shift])[0]
+        some = hashes[at]
+        return at[self.sorted[np.minimum(np.searchsorted(self.sorted, some), len(self.sorted) - 1)] == some]
+
+
+@lru_cache
+def _masks(window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ways to read words of a window as names, and which of them go: by the words that may be names (as bits) and the slots besides."""
+    spare = window - LITERALS
+    masks = np.array([m for m in np.ndindex(*[2] * window) if 0 < sum(m) <= spare], dtype=bool).reshape(-1, window)
+    bits = masks @ (1 << np.arange(window))
+    open_ = np.arange(1 << window)
+    goes = ((bits[None, :] & ~open_[:, None]) == 0)[:, None, :] & (np.arange(max(0, spare))[:, None] + masks.sum(axis=1) <= spare)[None]
+    return masks, goes
+
+
 def _words(text: str) -> tuple[list[str], np.ndarray]:
     """Words, and the number of each one's line."""
     lines = [line.split() for line in text.split("\n")]
@@ -126,7 +167,11 @@ class Memo(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= MEMO:
             self.clear()
-        out = self[word] = _describe(word, self.vocabulary, self.names)
+        if word.isalpha() and (low := word.lower()) not in self.vocabulary and low not in UNITS:
+            out = 0  # no mark matters of a word that the benchmark doesn't have
+        else:
+            out = _describe(word, self.vocabulary, self.names)
+        self[word] = out
         return out
 
 
@@ -168,7 +213,7 @@ class Templates:
                 self.items.append(Item(item_id, ids, words, window, counted, entry))
         self.memo.clear()  # the names are known only now
         self.by_window = {w: dict(h) for w, h in self.by_window.items()}
-        self.sorted = {w: np.array(sorted(h), dtype=np.uint64) for w, h in self.by_window.items()}
+        self.known = {w: Known(h) for w, h in self.by_window.items()}
 
     def _described(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The words that have a letter or digit, what they are, and their lines."""
@@ -180,46 +225,72 @@ class Templates:
             described, line = described[keep], line[keep]
         return words, described, line
 
-    def _hits(self, ids: np.ndarray, both: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
-        """(place, hash) of each window of a text that the benchmark has, under every reading of its words."""
-        wanted, spare = self.sorted[window], window - LITERALS
+    def _hits(self, ids: np.ndarray, both: np.ndarray, window: int, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, place, hash) of each window within a text that the benchmark has, under every reading of its words."""
+        known, spare = self.known[window], window - LITERALS
 
-        def known(at: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int]]:
-            hit = wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes
-            return zip(at[hit].tolist(), hashes[hit].tolist())
+        def found(at: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+            hit = known.places(hashes)
+            return zip(text[at[hit]].tolist(), at[hit].tolist(), hashes[hit].tolist())
 
+        n = len(ids) - window + 1
+        whole = text[window - 1 :] == text[:n]
         slots = np.concatenate([[0], np.cumsum(ids < FIRST)])
         slots = slots[window:] - slots[:-window]
-        at = np.nonzero(slots <= spare)[0]
+        at = np.nonzero(whole & (slots <= spare))[0]
         if len(at):
-            yield from known(at, _hashes(ids, window)[at])
-        open_ = np.concatenate([[0], np.cumsum(both)])
-        at = np.nonzero((slots < spare) & (open_[window:] > open_[:-window]))[0]
-        masks = np.array([m for m in np.ndindex(*[2] * window) if 0 < sum(m) <= spare], dtype=bool).reshape(-1, window)
+            yield from found(at, _hashes(ids, window)[at])
+        open_ = np.zeros(n, dtype=np.int64)
+        for k in range(window):
+            open_ |= both[k : k + n].astype(np.int64) << k
+        at = np.nonzero(whole & (slots < spare) & (open_ > 0))[0]
+        masks, goes = _masks(window)
         for i in range(0, len(at), SLICE):
             part = at[i : i + SLICE]
-            places = part[:, None] + np.arange(window)
-            fits = ~((~both[places]).astype(np.int8) @ masks.T.astype(np.int8)).astype(bool)
-            fits &= slots[part][:, None] + masks.sum(axis=1)[None, :] <= spare
-            row, mask = np.nonzero(fits)
+            row, mask = np.nonzero(goes[open_[part], slots[part]])
             if len(row):
-                read = np.where(masks[mask], NAME, ids[places[row]])
-                yield from known(part[row], _row_hashes(read))
+                yield from found(part[row], _masked_hashes(ids, part[row], masks[mask]))
 
     def match(self, text: str, share: float = SHARE) -> list[tuple[int, int, int, float]]:
         """(item_id, windows, windows found, share of them) of each item that leaks into the text, by its best reading."""
-        if not self.items:
-            return []
-        words, described, _ = self._described(text)
-        ids = _placed(described)
+        return next(self.matches([text], share))
+
+    def matches(self, texts: Iterable[str], share: float = SHARE) -> Iterator[list[tuple[int, int, int, float]]]:
+        """What ``match`` gives for each text, in turn.  Many short texts are looked at together, each within its own bounds."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append(text.split())
+            size += len(held[-1])
+            if size >= TOGETHER:
+                yield from self._matched(held, share)
+                held, size = [], 0
+        yield from self._matched(held, share)
+
+    def _matched(self, held: list[list[str]], share: float) -> list[list[tuple[int, int, int, float]]]:
+        """The leaks of each text, given as its words."""
+        words = list(chain.from_iterable(held))
+        if not self.items or not words:
+            return [[] for _ in held]
+        described = np.fromiter(map(self.memo.__getitem__, words), dtype=np.int64, count=len(words))
+        text = np.repeat(np.arange(len(held)), [len(x) for x in held])
+        keep = described != _NOTHING
+        if not keep.all():
+            words = list(compress(words, keep.tolist()))
+            described, text = described[keep], text[keep]
+        ids = _placed(described, text)
         both = (ids >= FIRST) & ((described & (_CAP | _NAMED)) != 0)
         ids = np.where(ids == 0, NAME, ids)
-        found: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for window in self.sorted:
+        found: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
+        for window in self.known:
             if len(ids) >= window:
-                for p, h in self._hits(ids, both, window):
+                for t, p, h in self._hits(ids, both, window, text):
                     for item, q in self.by_window[window][h]:
-                        found[item].add((p, q))
+                        found[t][item].add((p, q))
+        return [self._best(words, found[t], share) if t in found else [] for t in range(len(held))]
+
+    def _best(self, words: list[str], found: dict[int, set[tuple[int, int]]], share: float) -> list[tuple[int, int, int, float]]:
+        """Of the items with hits in a text those that leak, each by its best reading."""
         best: dict[int, tuple[int, int, int, float]] = {}
         for item in sorted(found):
             own, pairs = self.items[item], found[item]
@@ -308,7 +379,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = Templates(sent.value)
             for batch in batches:
-                rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), texts(batch)) for m in own.match(t, share)]
+                rows = [(d, *m) for d, found in zip(batch.column(0).to_pylist(), own.matches(texts(batch), share)) for m in found]
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
                     columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
@@ -333,7 +404,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> D
             own = Templates(sent.value)
             for batch in batches:
                 if batch.num_rows:
-                    yield batch.filter(pa.array([not own.match(t, share) for t in texts(batch)], pa.bool_()))
+                    yield batch.filter(pa.array([not found for found in own.matches(texts(batch), share)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
