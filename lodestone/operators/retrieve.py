@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, Settings
-from lodestone.functions.text import codes_in, is_tabular, question_phrases
+from lodestone.functions.text import PHRASE_BREAK, codes_in, is_tabular, question_phrases
 from lodestone.operators.dense import dense_topk, pair_scores
 from lodestone.operators.lexical import bm25, chunk_words, rrf
 
@@ -46,39 +46,52 @@ def named_codes(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 def rare_phrases(queries: DataFrame, chunks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """(query_id, phrase): word pairs of the question that few documents with tables hold.
 
-    Pairs are matched by the table's own word pairs, an equi join; a pair that
-    spans other separators is found by containment on the rows that share its
-    first word.
+    Of the tables only the distinct word pairs of each document are kept,
+    before anything is joined, so that no row meets a phrase.
     """
     asked = queries.select("query_id", F.explode(question_phrases(F.col("text"))).alias("phrase")).distinct()
-    tables = chunks.filter(is_tabular(F.col("text"))).select("collection", "code", "ord", "text")
-    matched = _holding(asked.select("phrase").distinct(), tables)
-    rare = matched.groupBy("phrase").agg(F.countDistinct("code").alias("docs")).filter(F.col("docs") <= settings.table_phrase_max_docs)
+    tables = chunks.filter(is_tabular(F.col("text")))
+    pairs = _word_pairs(tables, ["code"]).distinct()
+    matched = pairs.join(_matches(asked.select("phrase").distinct(), pairs), ["left", "right"]).select("phrase", "code").distinct()
+    rare = matched.groupBy("phrase").agg(F.count("code").alias("docs")).filter(F.col("docs") <= settings.table_phrase_max_docs)
     return asked.join(rare.select("phrase"), "phrase")
 
 
-def _holding(phrases: DataFrame, tables: DataFrame) -> DataFrame:
-    """(phrase, collection, code, ord) where the row's text contains the phrase.
+def _word_pairs(tables: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, left, right): what stands before and behind each blank, up to a character that no phrase has; short ones can't hold a phrase's word."""
+    words = F.split("text", " ")
+    last = F.greatest(F.size(words) - 1, F.lit(0))
+    ends = F.zip_with(
+        F.slice(words, 1, last), F.slice(words, 2, last),
+        lambda a, b: F.struct(F.regexp_replace(a, rf"(?s)^.*{PHRASE_BREAK}", "").alias("left"), F.regexp_replace(b, rf"(?s){PHRASE_BREAK}.*", "").alias("right")),
+    )
+    rows = tables.select(*keys, F.explode(F.array_distinct(ends)).alias("pair")).select(*keys, "pair.left", "pair.right")
+    return rows.filter((F.length("left") >= 3) & (F.length("right") >= 3))
+
 
-    Both sides are dealt by the phrase's middle: the end of its first word, a
-    blank and the start of its second, which every containing text has as it is.
+def _matches(phrases: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(phrase, left, right) where a text that has the pair holds the phrase.
+
+    Distinct pairs and phrases meet by the phrase's middle: the end of its
+    first word, a blank and the start of its second.
     """
     keyed = phrases.withColumn("key", F.regexp_extract("phrase", r"(\S{3} \S{3})", 1))
-    # Overlapping pairs are found by splitting at blanks and joining neighbours again.
-    words = F.split("text", " ")
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))),
-        lambda i: F.concat_ws(" ", F.substring(F.element_at(words, i), -3, 3), F.substring(F.coalesce(F.try_element_at(words, i + 1), F.lit("")), 1, 3)),
-    )
-    places = tables.select("ord", F.explode(F.array_distinct(pairs)).alias("key"))  # ids only; texts are joined to what meets
-    met = places.join(keyed, "key").select("ord", "phrase").distinct()
-    return tables.join(met, "ord").filter(F.contains("text", F.col("phrase"))).select("phrase", "collection", "code", "ord").distinct()
+    distinct = pairs.select("left", "right").distinct()
+    met = distinct.withColumn("key", F.concat_ws(" ", F.substring("left", -3, 3), F.substring("right", 1, 3))).join(keyed, "key")
+    first, second = F.substring_index("phrase", " ", 1), F.substring_index("phrase", " ", -1)
+    return met.filter(F.endswith("left", first) & F.startswith("right", second)).select("phrase", "left", "right")
+
+
+def _holding(phrases: DataFrame, tables: DataFrame) -> DataFrame:
+    """(phrase, ord) where the row's text contains the phrase; no text is shuffled."""
+    pairs = _word_pairs(tables, ["ord"])
+    return pairs.join(_matches(phrases, pairs), ["left", "right"]).select("phrase", "ord").distinct()
 
 
 def table_assist(queries: DataFrame, chunks: DataFrame, picked: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """(query_id, ord, score): tables that hold a rare phrase and weren't picked, best first, a few."""
     phrases = rare_phrases(queries.select("query_id", "text"), chunks, settings)
-    tables = chunks.filter(is_tabular(F.col("text"))).select("collection", "code", "ord", "text")
+    tables = chunks.filter(is_tabular(F.col("text")))
     held = _holding(phrases.select("phrase").distinct(), tables).join(phrases, "phrase").select("query_id", "ord").distinct()
     spare = held.join(picked.select("query_id", "ord"), ["query_id", "ord"], "left_anti")
     extra = pair_scores(spare, chunks, queries).filter(F.col("score").isNotNull())

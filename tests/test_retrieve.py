@@ -204,3 +204,22 @@ def test_spaces(spark):
     right = spark.createDataFrame([("m", "t", 3)], "embed_model string, embed_transport string, dims int")
     assert {r["collection"]: r["comparable"] for r in same_space(left, right).collect()} == {"a": True, "b": False, "c": False, "d": True}
     assert not retrieve.one_space(left).first()["same_space"]
+
+
+def test_no_table_row_meets_a_phrase(spark, monkeypatch):
+    """Rows of one document with the same words are one before they are joined, so that a frequent pair takes no more memory than a rare one."""
+    rows = [(i, "c", f"d{i % 3}", "\t".join([str(i), "large ring nr1", "a", "b", "c", "end"])) for i in range(300)]
+    chunks = spark.createDataFrame(rows, "ord long, collection string, code string, text string")
+    met, matches = [], retrieve._matches
+
+    def seen(phrases, pairs):
+        met.append(pairs.count())
+        return matches(phrases, pairs)
+
+    monkeypatch.setattr(retrieve, "_matches", seen)
+    asked = spark.createDataFrame([(1, "what says the large ring nr1?"), (2, "a ring nr2")], "query_id long, text string")
+    found = {tuple(r) for r in retrieve.rare_phrases(asked, chunks).select("query_id", "phrase").collect()}
+    assert found == {(1, "large ring"), (1, "ring nr1")}
+    assert met == [6]
+    held = retrieve._holding(asked.select(F.lit("arge ring").alias("phrase")).distinct(), chunks)
+    assert held.count() == 300
