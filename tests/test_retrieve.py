@@ -223,3 +223,29 @@ def test_no_table_row_meets_a_phrase(spark, monkeypatch):
     assert met == [6]
     held = retrieve._holding(asked.select(F.lit("arge ring").alias("phrase")).distinct(), chunks)
     assert held.count() == 300
+
+
+def test_a_task_holds_one_tile_and_gives_each_query_k_rows(monkeypatch):
+    """However many batches a task reads, it returns the best k once, and no more than a tile is scored at a time."""
+    import numpy as np
+
+    from lodestone.operators import dense
+
+    rng = np.random.default_rng(3)
+    vectors, asked = rng.normal(size=(900, 8)), rng.normal(size=(6, 8))
+    vectors[500:600] = vectors[:100]  # ties
+    vectors[7] = 0
+    monkeypatch.setattr(dense, "TILE_SCORES", 200)
+    sizes, tile = [], dense._Best._tile
+    monkeypatch.setattr(dense._Best, "_tile", lambda self, own, ords: (sizes.append(len(ords) * len(self.unit)), tile(self, own, ords))[1])
+    first = np.array([0, 2, 3, 4])  # the first and the last query have two and two variants
+    best = dense._Best(["a", "b", "c", "d"], first, dense._unit(asked), 5)
+    for part in np.array_split(np.arange(900), 7):
+        best.add(dense._unit(vectors[part]), part)
+    assert max(sizes) <= 200
+    got = [r for b in best.rows(dense.pa.string()) for r in b.to_pylist()]
+    scores = np.maximum.reduceat(np.nan_to_num(np.round(dense._unit(asked) @ dense._unit(vectors).T, 12), nan=-1.0), first, axis=0)
+    for q, name in enumerate("abcd"):
+        want = np.lexsort((np.arange(900), -scores[q]))[:5]
+        assert [r["ord"] for r in got if r["query_id"] == name] == want.tolist()
+    assert len(got) == 20
