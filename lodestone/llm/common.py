@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.memory import release
 from lodestone.sources.shared import cut, drop, store
 from lodestone.sources.spread import spread
 
@@ -40,13 +39,6 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
         yield value.as_py() or ""
 
 
-def release() -> None:
-    """Give the memory that Arrow and the C library keep for later back to the system."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def sparing(body: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A ``mapInArrow`` body that gets its batches in slices of ``ROWS`` rows, none empty, and keeps no memory that it doesn't use.
 

@@ -1,3 +1,4 @@
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -48,3 +49,15 @@ def test_build(spark):
     docs = spark.createDataFrame([("c", "7.1", "T", "para one\n\npara two", ["k"]), ("c", "7.2", "T", None, None)], "collection string, code string, title string, text string, keywords array<string>")
     rows = c.build_chunks(docs, TINY).collect()
     assert [(r["id"], r["index"], r["text"], r["keywords"]) for r in rows] == [("7.1#0", 0, "para one para two", ["k"])]
+
+
+def test_chunks_are_given_in_batches_of_bounded_size(spark, monkeypatch):
+    """A worker holds about BATCH_CHARS of chunks, however many rows it is sent at once."""
+    docs = spark.createDataFrame([("7.1", "x")], "code string, text string")
+    bodies, given_to = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, body, schema: (bodies.append(body), given_to(self, body, schema))[1])
+    c.build_chunks(docs, TINY)
+    text = "some words of a text. " * 500
+    batch = pa.RecordBatch.from_pydict({"code": [str(i) for i in range(400)], "text": [text] * 400})
+    sizes = [sum(map(len, b.column(2).to_pylist())) for b in bodies[0](iter([batch]))]
+    assert len(sizes) > 2 and max(sizes) <= c.BATCH_CHARS + 2 * len(text)
