@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +14,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from lodestone.config import DEFAULT, Settings
 from lodestone.functions.text import raw_words, tokenise, word_tokens
+from lodestone.functions.tokens import Tokens
 from lodestone.sources.shared import cut
 from lodestone.sources.spread import spread
 
@@ -22,6 +26,10 @@ BLOCK_QUERIES = 512
 BLOCK_TERMS = 50_000
 #: Rows times queries that are scored at once.
 BATCH_CELLS = 1 << 20
+#: Asked terms, or keys of rows that share them, that are sent to the tasks at most.
+SENT_TERMS = 500_000
+#: Rows of postings that a worker gives at once, beside those of its last text; texts whose terms it gives at once.
+GIVEN_ROWS, GIVEN_TEXTS = 50_000, 1_000
 
 
 def chunk_words(settings: Settings = DEFAULT) -> Column:
@@ -40,10 +48,51 @@ def token_rows(docs: DataFrame, words: Column, keys: list[str]) -> DataFrame:
     return raw.select(*keys, F.explode(word_tokens(F.col("_raw"))).alias("term"))
 
 
+def _texts(docs: DataFrame, words: Column, keys: list[str]) -> DataFrame:
+    return docs.select(*keys, F.coalesce(words, F.lit("")).alias("_text"))
+
+
+def _row_postings(text: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, term, tf, length) of each row by itself, in batches of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            rows: list[int] = []
+            terms: list[str] = []
+            tf: list[int] = []
+            length: list[int] = []
+            for row, value in enumerate(batch.column(len(keys))):
+                found = tokens.count(value.as_py())
+                rows += [row] * len(found)
+                terms += found
+                tf += found.values()
+                length += [sum(found.values())] * len(found)
+                if rows and (len(rows) >= GIVEN_ROWS or row + 1 == batch.num_rows):
+                    own = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[: len(keys)]]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.array(length, pa.int64())], names=[*keys, "term", "tf", "length"])
+                    rows, terms, tf, length = [], [], [], []
+
+    shape = StructType([*(text.schema[c] for c in keys), StructField("term", StringType()), StructField("tf", LongType()), StructField("length", LongType())])
+    return spread(text).mapInArrow(run, shape)
+
+
 def postings(docs: DataFrame, words: Column, keys: list[str]) -> DataFrame:
-    """(keys, term, tf, length): one pass over the text; lengths are sums over a row's terms."""
-    tf = token_rows(docs, words, keys).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    return tf.withColumn("length", F.sum("tf").over(Window.partitionBy(*keys)))
+    """(keys, term, tf, length): one pass over the text.
+
+    A row whose keys no other row has is done with where it is read.  Only rows
+    that share their keys are put together by shuffle.
+    """
+    text = _texts(docs, words, keys)
+    shared = cut(docs.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").select(*(F.col(c).alias(f"_again_{c}") for c in keys)))
+    n = shared.count()
+    if not n:
+        return _row_postings(text, keys)
+    own = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_again_{c}")) for c in keys))
+    some = F.broadcast(shared) if n <= SENT_TERMS else shared
+    once, again = (text.join(some, own, how) for how in ("left_anti", "left_semi"))
+    tf = _row_postings(again, keys).groupBy(*keys, "term").agg(F.sum("tf").alias("tf"))
+    return _row_postings(once, keys).unionByName(tf.withColumn("length", F.sum("tf").over(Window.partitionBy(*keys))))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -55,10 +104,37 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def asked_terms(docs: DataFrame, words: Column, keys: list[str], asked: DataFrame) -> DataFrame:
     """(keys, length, terms array<struct<term, tf>>): of each row its length and the asked terms that it holds.
 
-    The text is read once.  What nobody asks for is counted as one term, before
-    anything is shuffled.
+    The text is read once.  What nobody asks for is only counted, where the text
+    is read.  The asked terms are sent to the tasks; if there are too many of
+    them, tokens are joined to them instead.
     """
-    known = asked.select("term").distinct().withColumn("_asked", F.col("term"))
+    known = cut(asked.select("term").distinct())
+    if known.count() > SENT_TERMS:
+        return _joined_terms(docs, words, keys, known)
+    sent = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in known.toLocalIterator()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(sent.value)
+        for whole in batches:
+            for start in range(0, whole.num_rows, GIVEN_TEXTS):
+                batch = whole.slice(start, GIVEN_TEXTS)
+                counts = [tokens.count_asked(value.as_py()) for value in batch.column(len(keys))]
+                lists = [[{"term": t, "tf": n} for t, n in found.items()] for _, found in counts]
+                columns = [*batch.columns[: len(keys)], pa.array([n for n, _ in counts], pa.int64()), pa.array(lists, pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())])))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "length", "terms"])
+
+    text = _texts(docs, words, keys)
+    kind = ArrayType(StructType([StructField("term", StringType()), StructField("tf", IntegerType())]))
+    rows = spread(text).mapInArrow(run, StructType([*(text.schema[c] for c in keys), StructField("length", LongType()), StructField("terms", kind)]))
+    put = rows.filter("length > 0").groupBy(*keys).agg(F.sum("length").alias("length"), F.collect_list("terms").alias("_lists"))
+    every = F.flatten("_lists")
+    count = lambda t: F.aggregate(F.filter(every, lambda x: x["term"] == t), F.lit(0), lambda n, x: n + x["tf"])
+    merged = F.transform(F.array_distinct(F.transform(every, lambda x: x["term"])), lambda t: F.struct(t.alias("term"), count(t).alias("tf")))
+    return put.select(*keys, "length", F.array_sort(F.when(F.size("_lists") == 1, F.col("_lists")[0]).otherwise(merged)).alias("terms"))
+
+
+def _joined_terms(docs: DataFrame, words: Column, keys: list[str], known: DataFrame) -> DataFrame:
+    known = known.withColumn("_asked", F.col("term"))
     counted = token_rows(docs, words, keys).join(known, "term", "left").groupBy(*keys, "_asked").agg(F.count("*").alias("tf"))
     listed = F.array_sort(F.collect_list(F.when(F.col("_asked").isNotNull(), F.struct(F.col("_asked").alias("term"), F.col("tf").cast("int").alias("tf")))))
     return counted.groupBy(*keys).agg(F.sum("tf").alias("length"), listed.alias("terms"))
